@@ -17,7 +17,7 @@ def lit(text):
 
 
 def texts(values):
-    return "[" + ", ".join(lit(v) for v in values) + "]::VARCHAR[]"
+    return "([" + ", ".join(lit(v) for v in values) + "]::VARCHAR[])"
 
 
 def case(subject, pairs, default):
@@ -133,7 +133,7 @@ def signal_columns(c, d):
   {n_matches(d, rules.ERROR_PATTERNS)} + regexp_matches({c}, '[!?]{{2,}}')::INT
     + regexp_matches({c}, '[{WORD_CHARS}][!?.,;:][{WORD_CHARS}]')::INT AS lexical_errors,
   list_filter({texts(names)}, lambda b: contains({c}, b)) AS brands,
-  list_filter({texts(names)}, lambda b: regexp_matches({c}, '(?:^|{NOT_WORD})' || b || '(?:$|{NOT_WORD})')) AS word_brands,
+  {compact(*[(hit(c, [n]), lit(n)) for n in names])} AS word_brands,
   list_sort(list_distinct(list_concat(
     list_transform(regexp_extract_all({d}, {threat_pattern}, 1), lambda t: replace(t, '  ', ' ')),
     list_filter({texts(rules.THREAT_PHRASES)}, lambda t: contains({c}, t))))) AS threats"""
@@ -577,7 +577,7 @@ def oracle(name, select, extra=""):
 
 
 # --- sources and sinks -------------------------------------------------------
-oracle("read_messages_json", """SELECT message_id, md5(text_body) AS text_md5, len(attachments) AS n_attachments,
+oracle("read_messages_json", """SELECT message_id, md5(text_body) AS text_md5, len(attachments)::INT AS n_attachments,
   CASE WHEN lang = 'en' THEN 'en-US' ELSE 'es-ES' END AS user_locale,
   CASE WHEN v = 4 THEN 'service@paypal.com' ELSE '' END AS trusted_senders FROM mail""")
 EML = """
@@ -605,7 +605,7 @@ raw AS (SELECT message_id, replace(raw_headers, chr(10), chr(13) || chr(10)) ||
   CASE WHEN message_id % 2 = 0 THEN chr(13) || chr(10) || chr(13) || chr(10) ELSE chr(13) || chr(10) END || text_body AS raw FROM mail),
 cut AS (SELECT message_id, CASE WHEN contains(raw, chr(13) || chr(10) || chr(13) || chr(10))
   THEN split_part(raw, chr(13) || chr(10) || chr(13) || chr(10), 1) ELSE left(raw, 2000) END AS head FROM raw)"""
-oracle("split_raw_message", "SELECT message_id, md5(head) AS head_md5, length(head) AS n_chars FROM cut", RAW)
+oracle("split_raw_message", "SELECT message_id, md5(head) AS head_md5, length(head)::INT AS n_chars FROM cut", RAW)
 HTML_TEXT = (
     "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,"
     " '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?is)<script[^>]*>.*?</script>', '', 'g'),"
@@ -650,8 +650,8 @@ oracle("check_verdict_rows", """SELECT *, label_ok AND score_ok AND reasons_ok A
   FROM documents)""")
 
 # --- text preparation --------------------------------------------------------
-oracle("html_to_text", f"SELECT page_id, md5({HTML_TEXT}) AS text_md5, length({HTML_TEXT}) AS n_chars FROM pages")
-oracle("clean_text", f"SELECT doc_id, md5({cleaned('text')}) AS text_md5, length({cleaned('text')}) AS n_chars FROM documents")
+oracle("html_to_text", f"SELECT page_id, md5({HTML_TEXT}) AS text_md5, length({HTML_TEXT})::INT AS n_chars FROM pages")
+oracle("clean_text", f"SELECT doc_id, md5({cleaned('text')}) AS text_md5, length({cleaned('text')})::INT AS n_chars FROM documents")
 oracle("truncate_fields", """SELECT message_id, md5(left(raw_headers, 1000)) AS headers_md5, md5(left(text_body, 2000)) AS text_md5,
   array_to_string(string_split(text_body, ' ')[1:3], ' ') AS snippets,
   array_to_string(string_split(text_body, ' ')[1:5], ' ') AS metadata, 'example.com|empresa.com' AS owned_domains FROM acc""")
@@ -664,7 +664,7 @@ oracle("fingerprint", "SELECT doc_id, left(sha256(text), 16) AS fingerprint FROM
 
 
 def text_oracle(name, expression, source="acc"):
-    oracle(name, f"SELECT message_id, md5(r) AS text_md5, length(r) AS n_chars FROM (SELECT message_id, {expression} AS r FROM {source})")
+    oracle(name, f"SELECT message_id, md5(r) AS text_md5, length(r)::INT AS n_chars FROM (SELECT message_id, {expression} AS r FROM {source})")
 
 
 text_oracle("redact_emails", mask_emails("text_body"))
@@ -684,8 +684,8 @@ PLACED = ",\n".join([
     place("p1", "acc", EMAIL, "email", "text_body"), place("p2", "p1", PHONE, "phone", "p"),
     place("p3", "p2", ACCOUNT, "account", "p"), place("p4", "p3", CARD, "cc", "p"),
 ])
-oracle("redact_placeholder", "SELECT message_id, md5(p) AS text_md5, length(p) AS n_chars FROM p4", PLACED)
-oracle("redaction_ledger", f"""SELECT message_id, i - 1 AS pos, e.kind AS kind, left(sha256(e.m), 16) AS fingerprint FROM (
+oracle("redact_placeholder", "SELECT message_id, md5(p) AS text_md5, length(p)::INT AS n_chars FROM p4", PLACED)
+oracle("redaction_ledger", f"""SELECT message_id, (i - 1)::INT AS pos, e.kind AS kind, left(sha256(e.m), 16) AS fingerprint FROM (
   SELECT message_id, unnest(l) AS e, generate_subscripts(l, 1) AS i FROM (SELECT message_id, list_concat(
     list_transform(regexp_extract_all(text_body, {EMAIL}), lambda m: {{'kind': 'email', 'm': m}}),
     list_transform(regexp_extract_all(t1, {PHONE}), lambda m: {{'kind': 'phone', 'm': m}}),
@@ -779,7 +779,7 @@ oracle("threat_phrases", "SELECT message_id, array_to_string(threats, '|') AS th
 oracle("signal_descriptions", f"SELECT message_id, array_to_string({DESCRIPTIONS}, '|') AS descriptions FROM sig")
 oracle("text_score", f"SELECT message_id, round({TEXT_SCORE}, 6) AS text_score FROM sig")
 oracle("empty_text", f"""SELECT text_body = '' AS is_empty, count(*) AS n,
-  round(coalesce(sum({TEXT_SCORE}), 0), 6) AS total_score,
+  round(coalesce(sum({TEXT_SCORE}) FILTER (text_body <> ''), 0), 6) AS total_score,
   coalesce(sum(len(brands) + len(threats)), 0)::BIGINT AS n_found
 FROM mail LEFT JOIN sig USING (message_id) GROUP BY 1""")
 
