@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from mailrisk import rules
 from mailrisk.functions.common import contains_any, kept, let
 from mailrisk.functions.prep import clean_text
-from mailrisk.functions.regex import WORD, whole_words, word_bodies
+from mailrisk.functions.regex import WORD, by_first_letter, whole_words, word_bodies
 
 
 def folded(clean: Column) -> Column:
@@ -32,7 +32,7 @@ _PHRASES = (
 )
 _LONGEST = 5
 _SCAN = (
-    rf"(?<![{WORD}])(?=((?:{word_bodies(_PHRASES)})(?![{WORD}])"
+    rf"(?<![{WORD}])(?=((?:{by_first_letter(_PHRASES)})(?![{WORD}])"
     rf"[^ ]*(?: [^ ]+){{0,{_LONGEST}}}))"
 )
 

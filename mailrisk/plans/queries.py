@@ -27,7 +27,7 @@ from mailrisk.operators.review import review_requests, score_with_reviewer
 from mailrisk.operators.validate import check_verdict, fill_defaults, require_content
 from mailrisk.plans.classify import classify
 from mailrisk.plans.views import gauge_view, log_view, mail_of, mail_view, table
-from mailrisk.session import shared_dir
+from mailrisk.session import shared_dir, spread
 from mailrisk.sources.cases import case_messages, read_cases
 from mailrisk.sources.eml import parse_eml
 from mailrisk.sources.logs import parse_logs, split_logs
@@ -149,7 +149,7 @@ def split_raw_message(spark, sf_dir):
 
 def page_mail(spark, sf_dir):
     user = F.concat(F.lit("user"), F.col("page_id") % 7, F.lit("@corp"), F.col("page_id") % 3, F.lit(".example"))
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages")).select(
         F.col("page_id").alias("message_id"),
         F.concat(F.lit("From: web@"), F.col("page_id"), F.lit("\r\n\r\n"), F.col("html")).alias("raw"),
         "html",
@@ -325,7 +325,7 @@ def check_verdict_rows(spark, sf_dir):
 @query
 def html_to_text(spark, sf_dir):
     text = prep.html_to_text(F.col("html"))
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages")).select(
         "page_id", digest(text).alias("text_md5"), F.length(text).alias("n_chars")
     )
 
@@ -333,7 +333,7 @@ def html_to_text(spark, sf_dir):
 @query
 def clean_text(spark, sf_dir):
     text = prep.clean_text(F.col("text"))
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id", digest(text).alias("text_md5"), F.length(text).alias("n_chars")
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mailrisk.functions.common import strings
 from mailrisk.schemas import ATTACHMENT
+from mailrisk.session import spread
 
 _LINKS = "".join(
     f'<p><a href="https://host{i}.example.org/p?i={i}">go</a></p>' for i in range(1, 13)
@@ -33,7 +34,7 @@ VARIANTS = [
         "From: Banco Santander <avisos@clientes-{id}.tk>\nTo: cliente@empresa.com\n"
         "Reply-To: Soporte <soporte@otro-sitio.net>\nSubject: Datos\n"
         "Received-SPF: softfail (transition)",
-        "Estimado cliente, su contraseña caduca hoy. Debe confirmar identidad en las"
+        "Estimado cliente de Santander, su contraseña caduca hoy. Debe confirmar identidad en las"
         " últimas 2 horas, acceso bloqueado.\n",
         "<body><form action='https://acceso-seguro-banco.tk/login'>"
         "<img src=\"https://www.example.net/logo.png\"></form></body>",
@@ -50,7 +51,7 @@ VARIANTS = [
     (
         "From: IT Department <it@helpdesk-alerts.net>\nTo: user@example.com\n"
         "Authentication-Results: mx.example.com; spf=softfail; dkim=none",
-        "We detected suspicious activity. Unauthorized attempt from a new device, the"
+        "We detected suspicious activity &amp; more?! Unauthorized attempt from a new device, the"
         " session expires in 30 minutes. We was told these data are an information.\n",
         '<p>Review <a href="http://10.0.0.{id}/x">here</a> or '
         '<a href="https://bit.ly/a{id}">here</a></p><script>var a = 1;\nrun(a);</script>',
@@ -60,7 +61,7 @@ VARIANTS = [
         'From: "PayPal" <service@paypal.com>\nTo: user@example.com\n'
         "DKIM-Signature: v=1; a=rsa-sha256; d=paypal.com; s=k1\n"
         "Authentication-Results: mx.example.com; spf=pass; dkim=pass; dmarc=pass",
-        "Thank you for your payment. Card 4111-1111-1111-1111 was charged, receipt"
+        "Thank you for your PayPal payment at Amazon. Card 4111-1111-1111-1111 was charged, receipt"
         " number {id}.\n",
         '<a href="https://www.paypal.com/receipt/{id}">Receipt</a>',
         [],
@@ -78,7 +79,7 @@ VARIANTS = [
         "Received: from relay.tk ([127.0.0.1])\n by mx1.example.com; Mon\n"
         "Received: from localhost ([192.168.1.1])\n by relay.tk; Mon\n"
         "X-Real-IP: 198.51.100.{id}",
-        "Enter your password and confirm identity right now, last 2 hours.\n",
+        "Enter your Apple password and confirm identity right now, last 2 hours.\n",
         f"<div>{_LINKS}</div>",
         [],
     ),
@@ -136,7 +137,7 @@ def mail_of(documents: DataFrame) -> DataFrame:
 
 
 def mail_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mail_of(table(spark, sf_dir, "documents"))
+    return mail_of(spread(table(spark, sf_dir, "documents")))
 
 
 def log_of(events: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Defaults a job may override.  Partition counts are left to adaptive execution,
 # which coalesces small shuffles and splits skewed ones.
@@ -37,3 +37,12 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         base = tempfile.mkdtemp(prefix="mailrisk-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Use every core for a small input: scoring costs far more than moving it.
+
+    Only inputs with fewer splits than cores are moved; large ones stay in place.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

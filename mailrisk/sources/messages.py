@@ -8,6 +8,7 @@ from mailrisk.functions.common import strings
 from mailrisk.functions.prep import html_to_text, split_raw_message
 from mailrisk.operators.validate import fill_defaults
 from mailrisk.schemas import MESSAGE
+from mailrisk.session import spread
 
 # Senders trusted unless the account says otherwise.
 TRUSTED_SENDERS = [
@@ -20,7 +21,7 @@ TRUSTED_SENDERS = [
 
 def read_messages(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Messages with the explicit schema; missing lists and locale get defaults."""
-    return fill_defaults(spark.read.schema(MESSAGE).format(fmt).load(path))
+    return fill_defaults(spread(spark.read.schema(MESSAGE).format(fmt).load(path)))
 
 
 def typed_ingest(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
