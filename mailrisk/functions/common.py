@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,14 @@ def shown(number: Column, scale: int = 0) -> Column:
     """A number as text, ties rounded to even."""
     rounded = F.bround(number.cast("double"), scale)
     return F.format_string(f"%.{scale}f", rounded)
+
+
+def computed_once(rows: DataFrame, keep, columns: dict[str, Column]) -> DataFrame:
+    """``keep`` plus ``columns``, as a step that later filters do not look through.
+
+    A filter on a projected column is pushed below the projection by repeating the
+    column's expression; for long chains of expensive steps that repeats the whole
+    chain.  Values that come out of a generator are evaluated once.
+    """
+    packed = F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))
+    return rows.select(*keep, F.inline_outer(packed))

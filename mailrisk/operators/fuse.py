@@ -14,7 +14,7 @@ from mailrisk.functions import text as N
 from mailrisk.functions import urls as U
 from mailrisk.functions import verdict as V
 from mailrisk.functions.attachments import attachment_score
-from mailrisk.functions.common import strings
+from mailrisk.functions.common import computed_once, strings
 from mailrisk.functions.prep import clean_text
 from mailrisk.functions.redact import redact_headers, redact_text
 from mailrisk.operators.urls import analysed_urls
@@ -59,15 +59,20 @@ def heuristics(
             "lines": N.phrase_lines(F.col("clean")),
         }
     ).withColumn("signals", N.signals_of(F.col("clean"), F.col("lines")))
-    found = analysed.withColumns(
+    steps = ("header_fields", "clean", "lines", "urls", "analysed", "header_details", "signals")
+    found = computed_once(
+        analysed,
+        [c for c in analysed.columns if c not in steps],
         {
+            "header_details": F.col("header_details"),
+            "signals": F.col("signals"),
             "findings": H.findings_of(F.col("header_details")),
             "url_findings": F.array_compact(
                 F.transform("analysed", lambda a: a["finding"])
             ),
             "url_metadata": F.transform("analysed", lambda a: a["metadata"]),
             "descriptions": N.signal_descriptions(F.col("signals")),
-        }
+        },
     )
     scored = found.withColumns(
         {
@@ -78,9 +83,7 @@ def heuristics(
         }
     )
     components = ["header_score", "url_score", "text_score", "attachment_score"]
-    return scored.withColumn(
-        "total_score", V.total_score(*map(F.col, components))
-    ).drop("header_fields", "clean", "lines", "urls", "analysed")
+    return scored.withColumn("total_score", V.total_score(*map(F.col, components)))
 
 
 def _neutral_evidence(signal: str):

@@ -3,10 +3,12 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailrisk.functions.common import computed_once
 from mailrisk.operators.fuse import apply_policy, combine_review, heuristics
 from mailrisk.operators.validate import fill_defaults, require_content
 
 SCORES = ["header_score", "url_score", "text_score", "attachment_score", "total_score"]
+VERDICT = ["label", "risk_score", "top_reasons", "summary", "actions"]
 
 
 def classify(
@@ -27,13 +29,16 @@ def classify(
         "message_id", *keep, "findings", "url_findings", "signals", "descriptions", *SCORES
     )
     judged = apply_policy(combine_review(scored, reviews))
-    return judged.select(
-        "message_id",
-        *keep,
-        "verdict.*",
-        "evidence",
-        F.lit(0).alias("latency_ms"),
-        F.struct(
-            *SCORES, "findings", "url_findings", "descriptions", "critical"
-        ).alias("heuristics"),
+    verdict = {name: F.col(f"verdict.{name}") for name in VERDICT}
+    return computed_once(
+        judged,
+        ["message_id", *keep],
+        {
+            **verdict,
+            "evidence": F.col("evidence"),
+            "latency_ms": F.lit(0),
+            "heuristics": F.struct(
+                *SCORES, "findings", "url_findings", "descriptions", "critical"
+            ),
+        },
     )

@@ -15,6 +15,15 @@ def _strip(text: Column) -> Column:
     return F.regexp_replace(text, _BLANKS, "")
 
 
+def _decoded(content: Column) -> Column:
+    """UTF-8 text without the bytes that are none."""
+    raw = content.cast("string")
+    broken, held = F.lit("\ufffd"), F.lit("\uffff")
+    marked = F.make_valid_utf8(F.replace(raw, broken, held))
+    repaired = F.replace(F.replace(marked, broken, F.lit("")), held, broken)
+    return F.when(F.is_valid_utf8(raw), raw).otherwise(repaired)
+
+
 def _last_field(lines: Column, name: str, default: str) -> Column:
     """The last line with this name, trimmed and cut; also when it is in the body."""
     found = F.filter(lines, lambda line: line.startswith(name))
@@ -29,7 +38,6 @@ def parse_eml(files: DataFrame, content: str = "content") -> DataFrame:
     headers; body lines add up until they exceed 2,000 characters, which also ends
     the search for sender and subject.
     """
-    text = F.decode(F.col(content), "UTF-8")
     bodyless = ("From:", "Subject:")
 
     def is_field(line):
@@ -65,7 +73,7 @@ def parse_eml(files: DataFrame, content: str = "content") -> DataFrame:
     rest = F.slice(F.col("lines"), F.col("blank_at") + 2, MAX_LINES)
     fields = F.filter(F.concat(head, F.col("scan.seen")), is_field)
     return (
-        files.withColumn("decoded", text)
+        files.withColumn("decoded", _decoded(F.col(content)))
         .withColumn("lines", F.slice(F.split("decoded", "\n"), 1, MAX_LINES))
         .withColumn("blank_at", blank_at)
         .withColumn(
@@ -95,7 +103,7 @@ def parse_eml(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def read_eml(spark: SparkSession, path: str) -> DataFrame:
-    """All ``*.eml`` files below ``path``, one row per file."""
+    """All ``*.eml`` files below ``path``, one row per file; empty files have none."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.eml")
