@@ -37,7 +37,7 @@ def heuristics(
     """Add redacted texts, findings, component scores and the weighted total.
 
     Without ``intel`` the plan has no shuffle and works on streams.  With it the
-    URLs are exploded, joined to the domain table and regrouped per message.
+    URLs are exploded, joined to the domain table and regrouped by ``message_id``.
     """
     prepared = redacted(messages).withColumns(
         {
@@ -46,20 +46,21 @@ def heuristics(
             "urls": U.all_links(F.col("raw_html"), F.col("redacted_text")),
         }
     )
+    signalled = (
+        prepared.withColumns(
+            {
+                "header_details": H.header_details(F.col("header_fields")),
+                "lines": N.phrase_lines(F.col("clean")),
+            }
+        )
+        .withColumn("signals", N.signals_of(F.col("clean"), F.col("lines")))
+        .drop("header_fields", "clean", "lines")
+    )
     if intel is None:
-        located = prepared.withColumn("analysed", U.analyse_urls(F.col("urls")))
+        analysed = signalled.withColumn("analysed", U.analyse_urls(F.col("urls")))
     else:
-        looked_up = analysed_urls(prepared, intel, as_of)
-        located = prepared.join(looked_up, "message_id", "left").withColumn(
-            "analysed", F.coalesce("analysed", U.analyse_urls(F.col("urls")))
-        )
-    analysed = located.withColumns(
-        {
-            "header_details": H.header_details(F.col("header_fields")),
-            "lines": N.phrase_lines(F.col("clean")),
-        }
-    ).withColumn("signals", N.signals_of(F.col("clean"), F.col("lines")))
-    steps = ("header_fields", "clean", "lines", "urls", "analysed", "header_details", "signals")
+        analysed = analysed_urls(signalled, intel, as_of)
+    steps = ("urls", "analysed", "header_details", "signals")
     found = computed_once(
         analysed,
         [c for c in analysed.columns if c not in steps],

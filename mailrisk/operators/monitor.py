@@ -208,44 +208,31 @@ def phishing_share(logs: DataFrame, width: str = "10 minutes", slide: str | None
     )
 
 
-def calendar(rows: DataFrame, step: str) -> DataFrame:
-    """Every ``step`` between the first and the last row, empty ones included.
+def calendar(windows: DataFrame, step: str) -> DataFrame:
+    """Every ``step`` from the first to the last ``window_start``, empty ones included.
 
-    Days are spread over the cluster before they are divided into steps.
+    Takes windowed metrics, not rows: Spark then reuses their shuffle.  Days are
+    spread over the cluster before they are divided; ``step`` must divide a day.
     """
-    span = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    days = span.select(
-        "lo",
-        "hi",
-        F.explode(
-            F.sequence(
-                F.date_trunc("day", "lo"), F.date_trunc("day", "hi"), F.expr("interval 1 day")
-            )
-        ).alias("day"),
-    ).repartition("day")
-    ticks = days.select(
-        "lo",
-        "hi",
-        F.explode(
-            F.sequence(
-                F.col("day"),
-                F.col("day") + F.expr("interval 1 day") - F.expr(f"interval {step}"),
-                F.expr(f"interval {step}"),
-            )
-        ).alias("window_start"),
+    span = windows.agg(F.min("window_start").alias("lo"), F.max("window_start").alias("hi"))
+    one_day, one_step = F.expr("interval 1 day"), F.expr(f"interval {step}")
+    days = F.sequence(F.date_trunc("day", "lo"), F.date_trunc("day", "hi"), one_day)
+    steps = F.sequence(F.col("day"), F.col("day") + one_day - one_step, one_step)
+    return (
+        span.select("lo", "hi", F.explode(days).alias("day"))
+        .repartition("day")
+        .select("lo", "hi", F.explode(steps).alias("window_start"))
+        .filter(F.col("window_start").between(F.col("lo"), F.col("hi")))
+        .select("window_start")
     )
-    return ticks.filter(
-        (F.col("window_start") + F.expr(f"interval {step}") > F.col("lo"))
-        & (F.col("window_start") <= F.col("hi"))
-    ).select("window_start")
 
 
 def low_volume(logs: DataFrame, width: str = "10 minutes", per_minute: float = 5) -> DataFrame:
     """Windows with fewer classifications per minute than expected, empty ones too."""
-    counts = tumbling(logs.filter(classified()), width, n=F.count("*"))
+    counts = tumbling(logs, width, n=F.count_if(classified()))
     rate = F.coalesce("n", F.lit(0)) / (seconds(width) / 60)
     return (
-        calendar(logs, width)
+        calendar(counts, width)
         .join(counts.select("window_start", "n"), "window_start", "left")
         .select(
             "window_start",

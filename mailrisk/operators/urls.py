@@ -20,16 +20,18 @@ def message_urls(messages: DataFrame, limit: int = rules.MAX_URLS) -> DataFrame:
     )
 
 
-def lookup(facts: DataFrame, dimension: DataFrame, key: str, salts: int = LOOKUP_SALTS):
+def lookup(facts: DataFrame, dimension: DataFrame, key: str, spread_by: list[str]):
     """Left join facts to a dimension with one row per key, safe for hot keys.
 
     A dimension Spark knows to be small is broadcast.  Otherwise the rows of a
-    key are spread over ``salts`` partitions and the dimension row is copied to
-    each, so a key that holds a third of all rows is not one task's work.
+    key are spread over several partitions by the ``spread_by`` columns and the
+    dimension row is copied to each, so a key that holds a third of all rows is
+    not one task's work.
     """
-    spread = dimension.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salt = F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")
-    return facts.withColumn("salt", salt).join(spread, [key, "salt"], "left").drop("salt")
+    salts = F.sequence(F.lit(0), F.lit(LOOKUP_SALTS - 1))
+    copies = dimension.withColumn("salt", F.explode(salts))
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(LOOKUP_SALTS)).cast("int")
+    return facts.withColumn("salt", salt).join(copies, [key, "salt"], "left").drop("salt")
 
 
 def domain_intel(urls: DataFrame, intel: DataFrame, as_of) -> DataFrame:
@@ -43,7 +45,8 @@ def domain_intel(urls: DataFrame, intel: DataFrame, as_of) -> DataFrame:
     )
     located = urls.withColumn("domain", U.url_domain(F.col("url")))
     age = F.datediff(F.lit(as_of).cast("date"), F.col("intel.registered_on"))
-    return lookup(located, known, "domain").withColumn("age_days", age)
+    joined = lookup(located, known, "domain", ["message_id", "pos"])
+    return joined.withColumn("age_days", age)
 
 
 def url_analysis(urls: DataFrame, intel: DataFrame | None = None, as_of=None) -> DataFrame:
@@ -93,27 +96,44 @@ def url_score(findings: DataFrame) -> DataFrame:
     )
 
 
-def analysed_urls(messages: DataFrame, intel: DataFrame, as_of) -> DataFrame:
-    """``message_id, analysed`` as ``functions.urls.analyse_urls`` gives it, with lookups.
+def analysed_urls(rows: DataFrame, intel: DataFrame, as_of) -> DataFrame:
+    """Replace ``urls`` by ``analysed`` as ``functions.urls.analyse_urls``, with lookups.
 
-    ``urls`` of a message are at most ten, so the regrouped arrays stay small.
+    URLs are exploded, joined and regrouped by ``message_id``, at most ten each.
+    The other columns travel with a message's first URL only, so rows are read,
+    and everything before this step is computed, once.
     """
-    exploded = messages.select("message_id", F.posexplode("urls").alias("pos", "url"))
-    rows = url_analysis(exploded, intel, as_of)
-    ordered = F.array_sort(
-        F.collect_list(F.struct("pos", F.struct("finding", "metadata").alias("row")))
+    others = [c for c in rows.columns if c not in ("message_id", "urls")]
+    exploded = rows.select(
+        "message_id",
+        F.struct(*others).alias("others"),
+        F.posexplode_outer("urls").alias("pos", "url"),
+    )
+    carried = exploded.withColumn(
+        "others", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("others"))
     )
-    return rows.groupBy("message_id").agg(
-        F.transform(ordered, lambda s: s["row"]).alias("analysed")
+    judged = F.struct("pos", F.struct("finding", "metadata").alias("row"))
+    found = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), judged)))
+    return (
+        url_analysis(carried, intel, as_of)
+        .groupBy("message_id")
+        .agg(
+            F.first("others", ignorenulls=True).alias("others"),
+            F.transform(found, lambda s: s["row"]).alias("analysed"),
+        )
+        .select("message_id", "others.*", "analysed")
     )
 
 
-def registered_domain(rows: DataFrame, suffixes: DataFrame, key: str = "domain") -> DataFrame:
+def registered_domain(
+    rows: DataFrame, suffixes: DataFrame, key: str = "domain", row_id: tuple[str, ...] = ()
+) -> DataFrame:
     """Registrable domain by a public-suffix table (column ``suffix``).
 
     Plain, wildcard (``*.x``) and exception (``!a.x``) rules are supported; the
     longest wins and an unknown suffix is one label.  Distinct domains are looked
-    up by equality on their candidate suffixes and the answer is joined back.
+    up by equality on their candidate suffixes and the answer is joined back;
+    ``row_id`` names columns that tell the rows of one domain apart.
     """
     domains = rows.select(key).filter(F.col(key).isNotNull()).distinct()
     labels = F.split(F.ltrim(F.col(key), F.lit(".")), r"\.")
@@ -150,6 +170,6 @@ def registered_domain(rows: DataFrame, suffixes: DataFrame, key: str = "domain")
         )
     )
     size = F.least(F.coalesce("n", F.lit(1)) + 1, F.size(labels))
-    return lookup(rows, matched, key).withColumn(
+    return lookup(rows, matched, key, list(row_id or rows.columns)).withColumn(
         "registered_domain", tail(labels, size)
     ).drop("n")

@@ -16,7 +16,7 @@ from mailrisk.functions import urls as U
 from mailrisk.functions import verdict as V
 from mailrisk.functions.attachments import attachment_score
 from mailrisk.functions.common import let, strings
-from mailrisk.operators import alerts, evaluate, monitor, tables, urls
+from mailrisk.operators import alerts, evaluate, monitor, service_rules, tables, urls
 from mailrisk.operators.fuse import (
     apply_policy,
     combine_review,
@@ -25,6 +25,7 @@ from mailrisk.operators.fuse import (
 )
 from mailrisk.operators.review import review_requests, score_with_reviewer
 from mailrisk.operators.validate import check_verdict, fill_defaults, require_content
+from mailrisk.plans import four_class
 from mailrisk.plans.classify import classify
 from mailrisk.plans.views import gauge_view, log_view, mail_of, mail_view, table
 from mailrisk.session import shared_dir, spread
@@ -541,7 +542,8 @@ SUFFIXES = ["com", "net", "org", "example.net", "*.tk", "!www.tk"]
 def registered_domain(spark, sf_dir):
     located = page_urls(spark, sf_dir).withColumn("domain", U.url_domain(F.col("url")))
     suffixes = spark.createDataFrame([(s,) for s in SUFFIXES], "suffix string")
-    return urls.registered_domain(located, suffixes).select(
+    row_id = ("origin", "message_id", "pos")
+    return urls.registered_domain(located, suffixes, row_id=row_id).select(
         "origin", "message_id", "pos", "registered_domain"
     )
 
@@ -938,6 +940,38 @@ def file_class_verdict(spark, sf_dir):
     return rows.select("conv_id", "turn", "v.label", "v.risk_score")
 
 
+def message4(spark, sf_dir):
+    """Four-class messages: documents with the sender of their mail."""
+    sender = H.mailbox(H.header_fields(F.col("raw_headers"))["from_field"])["address"]
+    return accepted_mail(spark, sf_dir).select(
+        "message_id", F.col("text_body").alias("email_body"), sender.alias("sender"),
+        F.concat(F.lit("mail "), F.col("message_id")).alias("subject"), "attachments",
+    )
+
+
+@query
+def review_four_classes(spark, sf_dir):
+    remark = F.get(
+        strings(["VEREDICTO: PHISHING", "veredicto: spam", "Es una estafa", "Todo bien", ""]),
+        (F.col("message_id") % 5).cast("int"),
+    )
+    mail = message4(spark, sf_dir)
+    reviews = mail.filter("message_id % 4 != 2").select("message_id", remark.alias("response"))
+    return four_class.judge(mail, reviews).select(
+        "message_id", "label", "risk_score", "analysis", "explanation",
+        joined("recommendations").alias("recommendations"),
+        F.concat_ws(",", F.col("details")["sender"], F.col("details")["attachments"]).alias("details"),
+    )
+
+
+@query
+def four_class_request_rows(spark, sf_dir):
+    requests = four_class.review_requests(message4(spark, sf_dir))
+    return requests.select(
+        "message_id", "sender", "subject", digest(F.col("body")).alias("body_md5"), "n_attachments"
+    )
+
+
 @query
 def canonical_label(spark, sf_dir):
     words = ["Phishing", "MALICIOUS", "sospechoso", "suspicious", "Spam", "seguro", "safe"]
@@ -1076,7 +1110,7 @@ def evaluated_rules(spark, sf_dir):
         (F.col("n_phishing") / F.greatest("n", F.lit(1)) * 100 > 15).alias("phishing_wave"),
     )
     return alerts.rule_ticks(
-        counts, monitor.calendar(logs, ALERT_STEP), {r: r for r in ALERT_HOLDS}
+        counts, monitor.calendar(counts, ALERT_STEP), {r: r for r in ALERT_HOLDS}
     )
 
 
@@ -1088,6 +1122,14 @@ def sustained_alert(spark, sf_dir):
     )
 
 
+@query
+def service_alerts(spark, sf_dir):
+    fired = service_rules.service_alerts(log_view(spark, sf_dir), gauge_view(spark, sf_dir))
+    return fired.select(
+        "rule", "severity", time_text("since"), time_text("fired_at"), time_text("last_true"), "n_firing"
+    )
+
+
 NEWEST = 50
 
 

@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # recording the call site of every column costs seconds for wide plans
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -42,7 +44,8 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 def spread(rows: DataFrame) -> DataFrame:
     """Use every core for a small input: scoring costs far more than moving it.
 
-    Only inputs with fewer splits than cores are moved; large ones stay in place.
+    Only inputs with fewer splits than cores are moved, into a few parts per core
+    because texts differ in length; large inputs stay in place.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(3 * cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -848,6 +848,18 @@ def filed(part):
 oracle("four_class_verdict", f"""SELECT conv_id, turn, {four(0)} AS label, ({four(1)})::INT AS risk_score,
   {four(2)} AS explanation, {four(3)} AS recommendations FROM wording""", WORDING)
 oracle("file_class_verdict", f"SELECT conv_id, turn, {filed(0)} AS label, ({filed(1)})::INT AS risk_score FROM wording", WORDING)
+oracle("review_four_classes", f"""SELECT message_id, {four(0).replace('ELSE', 'WHEN low IS NULL THEN ' + lit(rules.FAILED_LABEL) + ' ELSE')} AS label,
+  ({four(1).replace('ELSE', 'WHEN low IS NULL THEN ' + lit(rules.FAILED_SCORE) + ' ELSE')})::INT AS risk_score,
+  coalesce(response, {lit(rules.FAILED_TEXT)}) AS analysis,
+  {four(2).replace('ELSE', "WHEN low IS NULL THEN '' ELSE")} AS explanation,
+  {four(3).replace('ELSE', 'WHEN low IS NULL THEN ' + lit('|'.join(rules.FAILED_RECOMMENDATIONS)) + ' ELSE')} AS recommendations,
+  from_address || ',' || len(attachments) AS details FROM (
+  SELECT *, lower(response) AS low FROM (
+    SELECT message_id, from_address, attachments, CASE WHEN message_id % 4 <> 2 THEN
+      ['VEREDICTO: PHISHING', 'veredicto: spam', 'Es una estafa', 'Todo bien', ''][message_id % 5 + 1] END AS response
+    FROM hbox JOIN acc USING (message_id)))""")
+oracle("four_class_request_rows", """SELECT message_id, from_address AS sender, 'mail ' || message_id AS subject,
+  md5(left(text_body, 1500)) AS body_md5, len(attachments)::INT AS n_attachments FROM hbox JOIN acc USING (message_id)""")
 SPELLINGS = ["Phishing", "MALICIOUS", "sospechoso", "suspicious", "Spam", "seguro", "safe"]
 oracle("canonical_label", f"""SELECT {canonical('raw')} AS label, count(*) AS n FROM (
   SELECT coalesce({texts(SPELLINGS)}[event_id % 9 + 1], event_type) AS raw FROM events) GROUP BY 1""")
@@ -935,6 +947,72 @@ oracle("gauge_alerts", f"""SELECT {times()}, instance, coalesce(up = 0, false) A
 oracle("sustained_alert", f"""SELECT rule, {times('since')}, {times('fired_at')}, {times('last_true')}, n_firing FROM (
   SELECT rule, since, min(ts) AS fired_at, max(ts) AS last_true, count(*) AS n_firing FROM since
   WHERE breach AND ts - since >= hold_hours * INTERVAL '1 hour' GROUP BY rule, since)""", HOURS)
+LOG_SUMS = {
+    "n_all": "count(*)", "n_5xx": N_5XX,
+    "n_internal": "count(*) FILTER (error_type = 'internal_error')",
+    "n_auth": "count(*) FILTER (error_type = 'authentication_failed')",
+    "n_classify": "count(*) FILTER (endpoint = '/classify')",
+    "n_slow": "count(*) FILTER (endpoint = '/classify' AND duration_ms > 2000)",
+    "n_classified": "count(classification)",
+    "n_phishing": "count(*) FILTER (classification = 'phishing')",
+    "n_calls": "count(*) FILTER (component = 'reviewer')",
+    "n_call_errors": "count(*) FILTER (component = 'reviewer' AND (status BETWEEN 500 AND 599 OR level = 'ERROR'))",
+    "n_call_slow": "count(*) FILTER (component = 'reviewer' AND duration_ms > 10000)",
+}
+GAUGE_SUMS = {
+    "n_down": "count(*) FILTER (metric = 'up' AND value = 0)", "cpu": gauge_mean("cpu_pct"),
+    "used": gauge_mean("memory_used"), "lim": gauge_mean("memory_limit"),
+    "restarts": gauge_mean("restarts", "sum"), "failed": gauge_mean("deployment_failed", "sum"),
+}
+# rule: (window in minutes, source, condition; a window without rows has zero counts and null means)
+SERVICE = {
+    "high_latency": (5, "log", "n_slow > 0.05 * n_classify"),
+    "low_availability": (10, "log", "(n_all - n_5xx) / n_all * 100 < 99.5"),
+    "high_error_rate": (5, "log", "n_5xx / n_all * 100 > 5"),
+    "critical_error_rate": (5, "log", "n_5xx / n_all * 100 > 15"),
+    "internal_errors": (5, "log", "n_internal / 300 > 0.1"),
+    "reviewer_errors": (5, "log", "n_call_errors / 300 > 0.05"),
+    "reviewer_latency": (5, "log", "n_call_slow > 0.05 * n_calls"),
+    "auth_failures": (5, "log", "n_auth / 300 > 1"),
+    "possible_attack": (1, "log", "n_auth / 60 > 10"),
+    "low_volume": (10, "log", "coalesce(n_classified, 0) / 10 < 5"),
+    "high_phishing_share": (10, "log", "n_phishing / nullif(n_classified, 0) * 100 > 25"),
+    "service_down": (1, "gauge", "n_down > 0"),
+    "high_cpu": (5, "gauge", "cpu > 80"),
+    "high_memory": (5, "gauge", "used / lim * 100 > 85"),
+    "frequent_restarts": (60, "gauge", "restarts > 3"),
+    "failed_deployment": (5, "gauge", "failed > 0"),
+}
+
+
+def service_windows(source, sums, minutes):
+    columns = ", ".join(f"{value} AS {name}" for name, value in sums.items())
+    return f"""
+{source}{minutes} AS (SELECT window_start + INTERVAL '{minutes - 1} minutes' AS ts, {columns}
+  FROM {sliding_rows(source, minutes, '1 minute')} GROUP BY 1),
+{source}{minutes}_t AS (SELECT m.ts, w.* EXCLUDE (ts) FROM {source}_minutes m LEFT JOIN {source}{minutes} w USING (ts))"""
+
+
+MINUTES = ", ".join(
+    f"""{t}_minutes AS (SELECT unnest(generate_series(date_trunc('minute', min(ts)), date_trunc('minute', max(ts)), INTERVAL '1 minute')) AS ts FROM {t})"""
+    for t in ("log", "gauge")
+)
+SERVICE_TICKS = " UNION ALL ".join(
+    f"SELECT '{rule}' AS rule, '{rules.ALERT_RULES[rule][2]}' AS severity, {int(rules.ALERT_RULES[rule][1].split()[0])} AS hold,"
+    f" ts, coalesce({condition}, false) AS breach FROM {source}{minutes}_t"
+    for rule, (minutes, source, condition) in SERVICE.items()
+)
+SERVICE_CHAIN = ",".join(
+    [MINUTES]
+    + [service_windows("log", LOG_SUMS, m) for m in (1, 5, 10)]
+    + [service_windows("gauge", GAUGE_SUMS, m) for m in (1, 5, 60)]
+) + f""",
+sticks AS ({SERVICE_TICKS}),
+sruns AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY ts) - row_number() OVER (PARTITION BY rule, breach ORDER BY ts) AS run FROM sticks),
+ssince AS (SELECT *, min(ts) OVER (PARTITION BY rule, breach, run) AS since FROM sruns)"""
+oracle("service_alerts", f"""SELECT rule, severity, {times('since')}, {times('fired_at')}, {times('last_true')}, n_firing FROM (
+  SELECT rule, severity, since, min(ts) AS fired_at, max(ts) AS last_true, count(*) AS n_firing FROM ssince
+  WHERE breach AND ts - since >= hold * INTERVAL '1 minute' GROUP BY rule, severity, since)""", SERVICE_CHAIN)
 oracle("log_search", f"""SELECT event_id, {times('ts')}, level, event FROM log
 WHERE level = 'ERROR' OR contains(event, 'security') OR contains(event, 'authentication') OR contains(error_type, 'authentication')
 ORDER BY log.ts DESC, event_id DESC LIMIT 50""")

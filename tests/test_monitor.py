@@ -163,7 +163,7 @@ def test_sustained_alerts_across_days(ticks):
 def test_rule_ticks_fill_gaps(logs, spark):
     data = logs([(0, 500, 1, "internal_error", None), (3, 200, 1, None, None), (3.5, 500, 1, "internal_error", None)])
     windows_ = monitor.error_rate(data, "1 minute").select("window_start", (F.col("error_pct") > 15).alias("bad"))
-    ticks_ = alerts.rule_ticks(windows_, monitor.calendar(data, "1 minute"), {"r": "bad"}).orderBy("ts").collect()
+    ticks_ = alerts.rule_ticks(windows_, monitor.calendar(windows_, "1 minute"), {"r": "bad"}).orderBy("ts").collect()
     assert [(minute(r.ts), r.breach) for r in ticks_] == [(0, True), (1, False), (2, False), (3, True)]
 
 
@@ -190,3 +190,30 @@ def test_quality_and_sweep(spark):
         assert r.false_positive == sum(s >= cut and e != "phishing" for e, _, s in rows)
     assert {r.expected_label: (r.phishing, r.seguro) for r in evaluate.confusion_matrix(judged).collect()} == {
         "phishing": (3, 1), "seguro": (1, 5)}
+
+
+def test_service_rules_against_brute_force(spark, logs):
+    from mailrisk import rules
+    from mailrisk.operators import service_rules
+
+    rows = random_rows(900, 6)
+    data = logs(rows)
+    got = {}
+    for r in service_rules.service_ticks(data).collect():
+        got.setdefault(r.rule, {})[minute(r.ts)] = r.breach
+    assert set(got) == set(rules.ALERT_RULES) - {"service_down", "high_cpu", "high_memory", "frequent_restarts", "failed_deployment"}
+
+    def share(part, whole):
+        return 100 * len(part) / len(whole) if whole else 0
+
+    for tick in got["low_volume"]:
+        ten, five = ([r for r in rows if tick + 1 - w <= r[0] < tick + 1] for w in (10, 5))
+        labelled = [r for r in ten if r[4]]
+        assert got["low_volume"][tick] == (len(labelled) / 10 < 5)
+        assert got["high_phishing_share"][tick] == (share([r for r in labelled if r[4] in ("phishing", "malicious")], labelled) > 25)
+        assert got["critical_error_rate"][tick] == (share([r for r in five if r[1] == 500], five) > 15)
+        assert got["high_latency"][tick] == (share([r for r in five if r[2] > 2000], five) > 5)
+        assert got["low_availability"][tick] == bool(ten and share([r for r in ten if r[1] != 500], ten) < 99.5)
+    fired = service_rules.service_alerts(data).collect()
+    assert {r.severity for r in fired if r.rule == "critical_error_rate"} == {"critical"}
+    assert all((r.fired_at - r.since).total_seconds() >= 60 for r in fired if r.rule == "critical_error_rate")
