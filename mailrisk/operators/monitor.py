@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mailrisk import rules
 from mailrisk.functions.verdict import canonical_label
+from mailrisk.session import settled
 
 
 
@@ -211,8 +212,9 @@ def phishing_share(logs: DataFrame, width: str = "10 minutes", slide: str | None
 def calendar(windows: DataFrame, step: str) -> DataFrame:
     """Every ``step`` from the first to the last ``window_start``, empty ones included.
 
-    Takes windowed metrics, not rows: Spark then reuses their shuffle.  Days are
-    spread over the cluster before they are divided; ``step`` must divide a day.
+    Takes windowed metrics, not rows; settle them first when they are read again.
+    Days are spread over the cluster before they are divided; ``step`` must divide
+    a day.
     """
     span = windows.agg(F.min("window_start").alias("lo"), F.max("window_start").alias("hi"))
     one_day, one_step = F.expr("interval 1 day"), F.expr(f"interval {step}")
@@ -229,7 +231,7 @@ def calendar(windows: DataFrame, step: str) -> DataFrame:
 
 def low_volume(logs: DataFrame, width: str = "10 minutes", per_minute: float = 5) -> DataFrame:
     """Windows with fewer classifications per minute than expected, empty ones too."""
-    counts = tumbling(logs, width, n=F.count_if(classified()))
+    counts = settled(tumbling(logs, width, n=F.count_if(classified())), "counts")
     rate = F.coalesce("n", F.lit(0)) / (seconds(width) / 60)
     return (
         calendar(counts, width)

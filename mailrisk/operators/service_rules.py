@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from mailrisk import rules
 from mailrisk.functions.verdict import canonical_label
 from mailrisk.operators import alerts, monitor
+from mailrisk.session import settled
 
 SLOW_SHARE = 0.05
 
@@ -101,8 +102,12 @@ def _gauge_conditions() -> dict:
 
 
 def _ticks(rows: DataFrame, sums: dict, conditions: dict, step: str) -> DataFrame:
-    """Rules of one table at every step, each over the window that ends there."""
-    buckets = monitor.tumbling(rows, step, **sums).withColumn("ts", F.col("window_start"))
+    """Rules of one table at every step, each over the window that ends there.
+
+    The buckets are written once, since every width and the calendar read them.
+    """
+    summed = monitor.tumbling(rows, step, **sums).withColumn("ts", F.col("window_start"))
+    buckets = settled(summed, "buckets")
     times = monitor.calendar(buckets, step)
     by_width = {}
     for rule in conditions:
@@ -146,11 +151,12 @@ def service_alerts(
     logs: DataFrame, gauges: DataFrame | None = None, step: str = "1 minute"
 ) -> DataFrame:
     """Alerts that fired, with severity, after their rule's hold time."""
+    ticks = settled(service_ticks(logs, gauges, step), "ticks")
     holds = {rule: _minutes(hold) * 60 for rule, (_, hold, _) in rules.ALERT_RULES.items()}
     severity = F.create_map(
         *[F.lit(part) for rule, (_, _, level) in rules.ALERT_RULES.items() for part in (rule, level)]
     )
-    fired = alerts.sustained_alert(service_ticks(logs, gauges, step), holds, step)
+    fired = alerts.sustained_alert(ticks, holds, step)
     return fired.withColumn("severity", severity[F.col("rule")])
 
 

@@ -28,7 +28,7 @@ from mailrisk.operators.validate import check_verdict, fill_defaults, require_co
 from mailrisk.plans import four_class
 from mailrisk.plans.classify import classify
 from mailrisk.plans.views import gauge_view, log_view, mail_of, mail_view, table
-from mailrisk.session import shared_dir, spread
+from mailrisk.session import settled, shared_dir, spread
 from mailrisk.sources.cases import case_messages, read_cases
 from mailrisk.sources.eml import parse_eml
 from mailrisk.sources.logs import parse_logs, split_logs
@@ -605,17 +605,8 @@ def url_metadata(spark, sf_dir):
 
 @query
 def url_score(spark, sf_dir):
-    mail = accepted_mail(spark, sf_dir)
-    findings = urls.url_findings(urls.message_urls(mail))
-    return (
-        mail.select("message_id")
-        .join(urls.url_score(findings), "message_id", "left")
-        .select(
-            "message_id",
-            F.coalesce("n_findings", F.lit(0)).alias("n_findings"),
-            F.coalesce("url_score", F.lit(0.0)).alias("url_score"),
-        )
-    )
+    findings = urls.url_findings(urls.message_urls(accepted_mail(spark, sf_dir)))
+    return urls.url_score(findings)
 
 
 # --- text signals ------------------------------------------------------------
@@ -1109,6 +1100,7 @@ def evaluated_rules(spark, sf_dir):
         (F.col("n_5xx") / F.col("n_all") * 100 > 5).alias("error_burst"),
         (F.col("n_phishing") / F.greatest("n", F.lit(1)) * 100 > 15).alias("phishing_wave"),
     )
+    counts = settled(counts, "counts")
     return alerts.rule_ticks(
         counts, monitor.calendar(counts, ALERT_STEP), {r: r for r in ALERT_HOLDS}
     )
@@ -1153,10 +1145,13 @@ def failed_requests(spark, sf_dir):
 
 # --- evaluation --------------------------------------------------------------
 def results(spark, sf_dir):
-    mail = labelled(spark, sf_dir)
-    expected = mail.select(
-        F.col("message_id").alias("name"), F.col("lang").alias("category"),
-        "expected_label", "expected_score",
+    """Labels as cases: a document whose mail was rejected has no verdict and fails."""
+    toxic = F.col("toxic") == 1
+    expected = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("name"),
+        F.concat(F.lit("quality "), "quality").alias("category"),
+        F.when(toxic, "phishing").otherwise("seguro").alias("expected_label"),
+        F.when(toxic, 70).otherwise(20).alias("expected_score"),
     )
     actual = classify(mail_view(spark, sf_dir)).select(
         F.col("message_id").alias("name"), "label", "risk_score", "latency_ms"
@@ -1172,7 +1167,9 @@ def judged(spark, sf_dir):
 
 @query
 def case_result(spark, sf_dir):
-    return results(spark, sf_dir)
+    return results(spark, sf_dir).withColumns(
+        {"label": F.coalesce("label", F.lit("")), "score_diff": F.coalesce("score_diff", F.lit(-1))}
+    )
 
 
 @query

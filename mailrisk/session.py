@@ -49,3 +49,14 @@ def spread(rows: DataFrame) -> DataFrame:
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(3 * cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def settled(rows: DataFrame, purpose: str) -> DataFrame:
+    """Write a small intermediate result to the shared folder and go on from there.
+
+    For aggregates that several branches of a plan read: branches that need
+    different columns do not share a shuffle, so each would scan the input again.
+    """
+    path = shared_dir(rows.sparkSession, purpose)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

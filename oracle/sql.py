@@ -509,11 +509,11 @@ truth AS (
 judged AS (SELECT f.*, expected_label, expected_score, lang FROM final f
   JOIN truth USING (message_id) JOIN acc USING (message_id)),
 results AS (
-  SELECT message_id AS name, lang AS category, expected_label, label,
-    abs(risk_score - expected_score) AS score_diff, label = expected_label AS label_ok,
-    abs(risk_score - expected_score) <= 20 AS score_ok,
-    label = expected_label AND abs(risk_score - expected_score) <= 20 AS passed, true AS latency_ok
-  FROM judged)"""
+  SELECT l.doc_id AS name, 'quality ' || quality AS category, expected_label, coalesce(label, '') AS label,
+    coalesce(abs(risk_score - expected_score), -1) AS score_diff, coalesce(label = expected_label, false) AS label_ok,
+    coalesce(abs(risk_score - expected_score) <= 20, false) AS score_ok,
+    label_ok AND score_ok AS passed, label IS NOT NULL AS latency_ok
+  FROM labels l JOIN truth t ON t.message_id = l.doc_id LEFT JOIN final f ON f.message_id = l.doc_id)"""
 
 
 def times(column="window_start"):
@@ -762,8 +762,7 @@ oracle("url_findings_intel", "SELECT message_id, pos::INT AS pos, url, reason, r
 oracle("url_metadata", """SELECT message_id, pos::INT AS pos, url, domain, NOT no_https AS https, 0 AS redirections,
   CASE WHEN similarity > 0.8 THEN round(similarity, 6) ELSE 0 END AS similarity, false AS blacklist_hit,
   false AS analysis_failed FROM facts""")
-oracle("url_score", f"""SELECT message_id, coalesce(n_findings, 0) AS n_findings, coalesce(url_score, 0) AS url_score
-FROM acc LEFT JOIN (SELECT message_id, count(*) AS n_findings, {URL_SCORE} AS url_score FROM finds GROUP BY 1) USING (message_id)""")
+oracle("url_score", f"SELECT message_id, count(*) AS n_findings, {URL_SCORE} AS url_score FROM finds GROUP BY 1")
 
 # --- text signals ------------------------------------------------------------
 oracle("urgency", "SELECT message_id, round(urgency, 6) AS urgency FROM sig")
