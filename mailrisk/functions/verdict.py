@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailrisk import rules
-from mailrisk.functions.common import contains_any, kept, shown, strings
+from mailrisk.functions.common import contains_any, kept, let, shown, strings
 from mailrisk.schemas import REVIEW
 
 
@@ -88,13 +88,18 @@ def parse_review(response: Column) -> Column:
         (first > 0) & response.contains("}"),
         F.substring(response, first, last - first + 1),
     )
-    parsed = F.from_json(body, REVIEW)
+    return let(F.from_json(body, REVIEW), _checked_review)
+
+
+def _checked_review(parsed: Column) -> Column:
+    """The parsed answer as a verdict, or null."""
     evidence = parsed["evidence"]
     findings = evidence["header_findings"]
     summary = F.substring(parsed["non_technical_summary"], 1, 200)
     words = F.size(F.filter(F.split(summary, r"\s+"), lambda w: w != ""))
     auth = F.coalesce(findings["spf_dkim_dmarc"], F.lit("ok"))
-    urls = F.coalesce(evidence["url_findings"], F.array().cast(REVIEW["evidence"].dataType["url_findings"].dataType))
+    no_urls = F.array().cast(REVIEW["evidence"].dataType["url_findings"].dataType)
+    urls = F.coalesce(evidence["url_findings"], no_urls)
     urls_ok = F.forall(
         urls,
         lambda u: u["url"].isNotNull()

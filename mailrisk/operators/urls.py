@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from mailrisk import rules
 from mailrisk.functions import urls as U
-from mailrisk.functions.common import let
+from mailrisk.functions.common import computed_once, let
 
 LOOKUP_SALTS = 8
 
@@ -57,7 +57,7 @@ def url_analysis(urls: DataFrame, intel: DataFrame | None = None, as_of=None) ->
         rows = domain_intel(urls, intel, as_of)
         redirects, age, known = F.col("intel.redirects"), F.col("age_days"), F.col("intel")
     return (
-        rows.withColumn("facts", U.url_facts(F.col("url")))
+        computed_once(rows, rows.columns, {"facts": U.url_facts(F.col("url"))})
         .withColumn("reasons", U.url_reasons(F.col("facts"), redirects, age))
         .select(
             *urls.columns,
