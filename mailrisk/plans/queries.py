@@ -552,12 +552,15 @@ AS_OF = "2024-02-01"
 
 
 def intel_of(rows: DataFrame) -> DataFrame:
-    """A domain table from the domains seen: facts follow from the name's length."""
+    """A domain table of the domains seen, but for one suffix nobody knows about.
+
+    Facts follow from the length of the name.
+    """
     n = F.length("domain")
     return (
         rows.select(U.url_domain(F.col("url")).alias("domain"))
         .distinct()
-        .filter(n % 4 != 0)
+        .filter(~F.col("domain").endswith(".org"))
         .select(
             "domain",
             F.date_sub(F.lit(AS_OF).cast("date"), n * 3).alias("registered_on"),
@@ -947,7 +950,8 @@ def review_four_classes(spark, sf_dir):
         (F.col("message_id") % 5).cast("int"),
     )
     mail = message4(spark, sf_dir)
-    reviews = mail.filter("message_id % 4 != 2").select("message_id", remark.alias("response"))
+    unanswered = F.col("message_id") % 4 == 2
+    reviews = mail.select("message_id", F.when(~unanswered, remark).alias("response"))
     return four_class.judge(mail, reviews).select(
         "message_id", "label", "risk_score", "analysis", "explanation",
         joined("recommendations").alias("recommendations"),

@@ -33,7 +33,9 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     The setting belongs to the cluster; only local sessions fall back to a
     temporary folder of the machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+        "spark.checkpoint.dir"
+    )
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")

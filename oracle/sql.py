@@ -324,7 +324,7 @@ URL_SCORE = """least(sum(CASE risk_level WHEN 'high' THEN 30 WHEN 'medium' THEN
 INTEL = """
   SELECT domain, DATE '2024-02-01' - (length(domain) * 3)::INT AS registered_on,
     length(domain) % 5 AS redirects, length(domain) % 7 = 0 AS blacklisted
-  FROM (SELECT DISTINCT {domain} AS domain FROM {source}) WHERE length(domain) % 4 <> 0"""
+  FROM (SELECT DISTINCT {domain} AS domain FROM {source}) WHERE NOT ends_with(domain, '.org')"""
 
 
 def intel(source):
