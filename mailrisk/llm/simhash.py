@@ -69,6 +69,11 @@ def variants(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
+def differing(a: np.ndarray, b) -> np.ndarray:
+    """Differing bits of signed longs (numpy counts the bits of a negative number's absolute value)."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def near(fps: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Links that hold the near ones of one bucket together: a tree's edges, not all pairs.
 
@@ -81,7 +86,7 @@ def near(fps: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            hit = np.bitwise_count(left ^ x) <= bits
+            hit = differing(left, x) <= bits
             if hit.any():
                 found = left[hit]
                 a.append(np.full(len(found), x))
@@ -107,7 +112,7 @@ def _links(bits: int, block: int | None):
             if not same.any():
                 break
             x, y = few[step:], few[:-step]
-            hit = same & (np.bitwise_count(x ^ y) <= bits) & (x != y)
+            hit = same & (differing(x, y) <= bits) & (x != y)
             pairs.append([x[hit], y[hit]])
         for at, n in zip(begin[size > FEW], size[size > FEW]):
             pairs.append(near(fp[at : at + n], bits))
