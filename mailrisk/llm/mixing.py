@@ -83,8 +83,8 @@ def mix(
     are values like others; an empty table gives no rows; ``passing`` names further columns to keep.
     """
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *passing)
-    row = F.xxhash64("doc_id", "source", "size", *passing)
-    sized = settled(sized.withColumn("row", row), "mix-sizes")
+    tie = F.xxhash64("doc_id", "source", "size", *passing)
+    sized = settled(sized.withColumn("_tie", tie), "mix-sizes")
     per_size = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
     per_size = per_size.select(
         "*", F.greatest(F.lit(1), F.ceil(F.col("n") / group_rows)).cast("long").alias("cuts")
@@ -104,7 +104,7 @@ def mix(
     pieces = matched(pieces, target, "source").select(
         "source", "size", "cut", "before", "source_size", "target", rate.alias("rate"), offset.alias("offset")
     )
-    place = Window.partitionBy("source", "size", "cut").orderBy("doc_id", "row")
+    place = Window.partitionBy("source", "size", "cut").orderBy("doc_id", "_tie")
     ranked = cut.select("*", F.row_number().over(place).alias("place"))
     placed = matched(ranked, pieces, "source", "size", "cut")
     end = F.col("before") + F.col("place")
@@ -123,3 +123,10 @@ def mix(
         (copies * F.col("size")).alias("taken"),
         *passing,
     )
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it."""
+    rows = docs.select("doc_id", "source", "text", F.struct("*").alias("row"))
+    copies = mix(rows, passing=("row",), **options)
+    return copies.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("nth")).select("row.*")

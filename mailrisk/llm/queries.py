@@ -3,13 +3,41 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailrisk.llm import mixing, packing, shards, simhash
+from mailrisk.llm import ann, html, langid, mixing, neardup_vectors, packing, quality, shards, simhash
+from mailrisk.llm.shared import held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs.select("doc_id", "text"), model).select(
+        "row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", "predicted"
+    )
+
+
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return html.extract(pages, html.fit(pages))
+
+
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of vectors with equal labels and a cosine of at least 0.93."""
+    return neardup_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from labelled ones that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs.select("doc_id", "text"), langid.sample(docs))
+    return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score", "rate")
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of near equal bytes; equal texts stay together."""
     docs = table(spark, sf_dir, "documents").select(
@@ -34,15 +62,26 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of each whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(ann.index(vectors), vectors, F.col("vec_id") % 20 == 0)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of every document in a mix of 150 % of all words."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_html": op2_html,
+    "op3_near_vectors": op3_near_vectors,
+    "op4_language": op4_language,
     "op5_shards": op5_shards,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
+    "op8_nearest": op8_nearest,
     "op9_mixing": op9_mixing,
 }
 

@@ -5,6 +5,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Words are runs of anything but blank, tab, line feed, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,3 +50,11 @@ def matched(left: DataFrame, right: DataFrame, *columns: str) -> DataFrame:
     for c in columns:
         condition = condition & F.col(c).eqNullSafe(F.col(f"_right_{c}"))
     return left.join(renamed, condition).drop(*[f"_right_{c}" for c in columns])
+
+
+def with_fields(rows: DataFrame, *fields: tuple[str, str]) -> StructType:
+    """The schema of ``rows`` and further ``(name, type)`` fields."""
+    out = StructType(list(rows.schema.fields))
+    for name, kind in fields:
+        out = out.add(name, kind)
+    return out

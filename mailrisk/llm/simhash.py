@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailrisk.llm.components import components, roots
-from mailrisk.llm.shared import settled
+from mailrisk.llm.shared import settled, with_fields
 
 WORDS = 5
 SEED = 42
@@ -41,17 +41,22 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED, block: i
     return int(np.packbits(2 * ones > len(every), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """``doc_id, fp`` (a signed long) of every row; null, empty and wordless texts have 0."""
+def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, passing: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp`` (a signed long) of every row; null, empty and wordless texts have 0.
+
+    ``passing`` names further columns to keep.
+    """
 
     def run(batches):
         for batch in batches:
             fps = [fingerprint(t.as_py(), words, seed) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"]
+                [batch.column(0), *batch.columns[2:], pa.array(np.array(fps, np.uint64).view(np.int64))],
+                ["doc_id", *passing, "fp"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *passing)
+    return rows.mapInArrow(run, with_fields(rows.drop("text"), ("fp", "long")))
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -179,13 +184,13 @@ def links(fps: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     return first.where("b is not null").select("a", "b").union(again.select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, seed: int = SEED, block: int = BLOCK) -> DataFrame:
-    """``doc_id, fp, component_id``: the smallest id that links of at most ``bits`` bits reach.
+def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, seed: int = SEED, block: int = BLOCK, passing: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp, component_id, root``: the smallest id that links of at most ``bits`` bits reach.
 
     Every row of ``docs`` gives a row; equal fingerprints are one class and linked.  Rows with null
-    ids belong to classes but are never their smallest id.  Other columns are ignored.
+    ids belong to classes but are never their smallest id.  ``root`` names the group even then.  Other columns are ignored.
     """
-    marked = settled(fingerprints(docs, words, seed), "simhash")
+    marked = settled(fingerprints(docs, words, seed, passing), "simhash")
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
     joined = components(links(classes.select("fp"), bits, block))
     group = classes.join(joined, classes["fp"] == joined["node"], "left").select(
@@ -193,4 +198,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, seed:
     )
     lowest = group.groupBy("root").agg(F.min("low").alias("component_id"))
     named = group.join(lowest, "root").select("fp", "root", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id", "root")
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id", "root", *passing)
+
+
+def without_copies(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the one with the smallest id stays.
+
+    Of equal ids and of groups without an id one row stays, chosen by a hash of the row; of
+    rows equal in all columns one stays.
+    """
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.withColumn("_row", row)
+    found = near_duplicates(keyed.select("doc_id", "text", "_row"), words, bits, passing=("_row",))
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("_row").alias("_row"), F.first("doc_id").alias("_id"))
+    equal = found.groupBy("_row").agg(F.count("*").alias("_equal"))
+    stays = settled(first.join(equal, "_row").select("_row", "_id", "_equal"), "simhash-kept").withColumnRenamed("_row", "_kept")
+    joined = keyed.join(stays, (F.col("_row") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    once = joined.where("_equal = 1").select(*docs.columns)
+    more = joined.where("_equal > 1").dropDuplicates(["_row"]).select(*docs.columns)
+    return once.union(more)
