@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailrisk.llm import ann, html, langid, mixing, neardup_vectors, packing, quality, shards, simhash
+from mailrisk.llm import ann, html, langid, licenses, mixing, neardup_vectors, packing, quality, shards, simhash, sql
 from mailrisk.llm.shared import held_out
 
 
@@ -73,6 +73,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence, its own or that of the nearest directory above it."""
+    files = licenses.document_paths(table(spark, sf_dir, "documents"))
+    return licenses.scan(files).withColumnRenamed("file_id", "doc_id")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_html": op2_html,
@@ -83,6 +89,7 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_nearest": op8_nearest,
     "op9_mixing": op9_mixing,
+    "op10_licences": op10_licences,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_mixing": sql.MIXING, "op10_licences": sql.LICENCES}
