@@ -1,6 +1,7 @@
 """Sequences of bounded length by sum-of-squares packing of tokenised documents."""
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailrisk.llm.shared import settled
+from mailrisk.llm.shared import settled, with_fields
 
 TOKENS = 2048
 TOKENIZER = "byte_bpe_50k.json"
@@ -18,7 +19,7 @@ END = 0
 # documents packed together by one task, and how full a sequence must be to be closed early
 GROUP = 32_768
 FULL = 0.995
-CACHE = 250_000
+CACHE = 500_000
 
 _BEFORE_WORD = re.compile(r" (?=\S)")
 _LOOSE = re.compile(r" (?:\s|$)")
@@ -30,6 +31,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def _packed_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds(dict):
     """Ids of a blank and the word behind it, as little-endian bytes, remembered.
 
@@ -49,18 +54,25 @@ class WordIds(dict):
         # the byte alphabet of such vocabularies: printable bytes stand for themselves
         self.alphabet = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    def plain(self, part: str) -> bytes:
-        """Ids of a blank with letters only: one word for the model."""
-        letters = part.encode().decode("latin-1").translate(self.alphabet)
-        return np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+    def letters(self, part: str) -> bytes:
+        """Ids of letters, with or without a blank before them: one word for the model."""
+        if part.isascii():
+            known = "\u0120" + part[1:] if part[0] == " " else part
+        else:
+            known = part.encode().decode("latin-1").translate(self.alphabet)
+        return _packed_ids([t.id for t in self.model.tokenize(known)])
 
     def encode(self, part: str) -> bytes:
-        word = part[1:]
-        if part[:1] == " " and word.isalpha() and max(word) < "ɐ":
-            return self.plain(part)
-        if len(part) > 2 and part[-1] in ".,;:!?" and part[:1] == " " and word[:-1].isalpha() and max(word) < "ɐ":
+        word = part[1:] if part[:1] == " " else part
+        if word.isalpha() and max(word) < "ɐ":
+            return self.letters(part)
+        # marks and a lone line feed behind a letter, and what follows, are words of their own
+        if len(word) > 1 and part[-1] in ".,;:!?" and word[-2].isalpha() and word[-2] < "ɐ":
             return self[part[:-1]] + self[part[-1]]
-        return np.array(self.whole.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        line, feed, rest = part.partition("\n")
+        if feed and line.strip() and rest and not line[-1].isspace() and not rest[0].isspace():
+            return self[line] + self[feed] + self[rest]
+        return _packed_ids(self.whole.encode(part, add_special_tokens=False).ids)
 
     def __missing__(self, part: str) -> bytes:
         ids = self.old.get(part)
@@ -200,7 +212,7 @@ def pack(items: DataFrame, most: int = TOKENS, group: int = GROUP, full: float =
         "*", (F.lit(-2) - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
     rest = items.where(F.col("length") < most)
-    schema = rest.schema.add("sequence_id", "long").add("offset", "long")
+    schema = with_fields(rest, ("sequence_id", "long"), ("offset", "long"))
     base, results = 0, [whole]
     left = None
     while True:
