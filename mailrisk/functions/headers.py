@@ -75,7 +75,9 @@ def parse_headers(raw: Column) -> Column:
 
 
 # --- addresses ---------------------------------------------------------------
-_QUOTED = r'"(?:[^"\\]|\\.)*"'
+# What is opened and never closed reaches to the end, so every opening is scanned once.
+_QUOTED = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?\z)'
+_COMMENT = r"\([^)]*+(?:\)|\z)"
 
 
 def mailbox(field: Column) -> Column:
@@ -85,16 +87,16 @@ def mailbox(field: Column) -> Column:
     comment after a bare address; bare words are no usable name.
     """
     bare = F.regexp_replace(field, _QUOTED, "")
-    several = F.regexp_replace(bare, r"\([^)]*\)|<[^>]*>", "").contains(",")
+    several = F.regexp_replace(bare, rf"{_COMMENT}|<[^>]*+(?:>|\z)", "").contains(",")
     angled = bare.rlike("<[^<>]*>")
     inner = F.regexp_extract(field, r"<([^<>]*)>[^<>]*\z", 1)
     before = F.trim(F.regexp_extract(field, r"\A((?s:.*?))<[^<>]*>[^<>]*\z", 1))
-    comment = F.regexp_extract(field, r"\(([^)]*)\)", 1)
+    comment = F.regexp_extract(field, r"\(([^)]*+)(?:\)|\z)", 1)
     spoken = F.regexp_replace(
         F.regexp_replace(before, r'\\(.)|"', "$1"), rf"[{SPACE}]+", " "
     )
     lone = F.regexp_extract(
-        F.regexp_replace(field, r"\([^)]*\)", " "), rf"([^{SPACE}]*@[^{SPACE}]*|[^{SPACE}]+)", 1
+        F.regexp_replace(field, _COMMENT, " "), rf"([^{SPACE}]*@[^{SPACE}]*|[^{SPACE}]+)", 1
     )
     name = F.when(angled, F.trim(spoken)).otherwise(comment)
     address = F.when(angled, F.regexp_replace(inner, rf"[{SPACE}]+", "")).otherwise(lone)

@@ -12,7 +12,15 @@ from mailrisk import rules
 from mailrisk.functions.common import contains_any, let
 from mailrisk.functions.regex import SPACE, jvm_regex
 
-EMAIL = jvm_regex(rules.EMAIL_PATTERN, ignore_case=True)
+# The rule's pattern, tried once per run of address characters: where the rule finds an
+# address, it starts at the first word edge of a run that an @ follows.
+_LOCAL = "[A-Za-z0-9._%+-]"
+EMAIL = jvm_regex(
+    rf"(?:(?<!{_LOCAL})|\G)(?={_LOCAL}++@)(?>{_LOCAL}*?\b)({_LOCAL}++"
+    + rules.EMAIL_PATTERN.removeprefix(rf"\b{_LOCAL}+")
+    + ")",
+    ignore_case=True,
+)
 PHONE = jvm_regex(rules.PHONE_PATTERN, first="+(0-9")
 ACCOUNT = jvm_regex(rules.ACCOUNT_PATTERN, ignore_case=True, first="acn")
 CARD = jvm_regex(rules.CARD_PATTERN, first="0-9")
@@ -70,7 +78,7 @@ def mask_card(card: Column) -> Column:
 def find_emails(text: Column) -> Column:
     # the '@' test is far cheaper than the pattern and rules most texts out
     return F.when(
-        text.contains("@"), F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))
+        text.contains("@"), F.regexp_extract_all(text, F.lit(EMAIL), F.lit(1))
     ).otherwise(F.array().cast("array<string>"))
 
 
@@ -175,12 +183,12 @@ def redact_headers(headers: Column) -> Column:
     )
 
 
-def safe_snippets(text: Column, max_len: int = 500) -> Column:
-    """Up to three pieces of token-redacted sentences worth a reviewer's look.
+def safe_snippets(text: Column, max_len: int = 500, most: int | None = None) -> Column:
+    """Pieces of token-redacted sentences worth a reviewer's look; ``most`` limits their number.
 
     The first three long sentences always stay; later ones only with a keyword.
     Sentences are packed in order, so the fold carries finished pieces plus the
-    open one and stops growing after three.
+    open one and, with a limit, stops growing there.
     """
     blanks = rf"\A[{SPACE}]+|[{SPACE}]+\z"
     sentences = F.transform(
@@ -199,8 +207,9 @@ def safe_snippets(text: Column, max_len: int = 500) -> Column:
     def pack(acc, sentence):
         fits = F.length(acc["piece"]) + F.length(sentence) < max_len
         opened = F.concat(sentence, F.lit(". "))
+        full = F.lit(False) if most is None else F.size(acc["done"]) >= most
         flushed = F.when(
-            (acc["piece"] == "") | (F.size(acc["done"]) >= 3), acc["done"]
+            (acc["piece"] == "") | full, acc["done"]
         ).otherwise(F.array_append(acc["done"], F.trim(acc["piece"])))
         return F.when(fits, state(acc["done"], F.concat(acc["piece"], opened))).otherwise(
             state(flushed, opened)
@@ -208,7 +217,8 @@ def safe_snippets(text: Column, max_len: int = 500) -> Column:
 
     def close(acc):
         last = F.when(acc["piece"] != "", F.trim(acc["piece"]))
-        return F.slice(F.array_compact(F.array_append(acc["done"], last)), 1, 3)
+        pieces = F.array_compact(F.array_append(acc["done"], last))
+        return pieces if most is None else F.slice(pieces, 1, most)
 
     start = state(F.array().cast("array<string>"), F.lit(""))
     return F.aggregate(relevant, start, pack, close)

@@ -9,35 +9,73 @@ from pyspark.sql import functions as F
 
 from mailrisk import rules
 from mailrisk.functions.common import any_of, kept, let, strings
+from mailrisk.functions.prep import replace_closed, without_elements
 from mailrisk.functions.regex import SPACE, jvm_regex
 
 _TAG = r"""(?is)<(?:a|img|form)(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*+>"""
+# One attribute after the other: a name, and a value in either kind of quotes or in none.
+_ATTRIBUTE = r"""(?is)(?:\G|\A<[a-z]+)[\s/"']*+([^\s/>="'][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)|))?"""
 _ATTRIBUTES = ("href", "src", "action")
-# Character references that occur in link attributes.
-_REFERENCES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-    ("&#61;", "="), ("&#x3D;", "="), ("&#47;", "/"), ("&#x2F;", "/"), ("&amp;", "&"),
-]
+_COMMENT = r"(?s)<!--.*?-->"
+_REFERENCE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z]+);?"
+# Named character references that may stand for a character of a link.
+_NAMED = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "colon": ":", "sol": "/", "equals": "=", "period": ".",
+    "comma": ",", "num": "#", "quest": "?", "excl": "!", "dollar": "$", "percnt": "%", "plus": "+", "lowbar": "_",
+    "commat": "@", "semi": ";", "lpar": "(", "rpar": ")", "lsqb": "[", "rsqb": "]", "ast": "*", "bsol": "\\",
+    "Tab": "\t", "NewLine": "\n", "nbsp": "\u00a0", "hyphen": "\u2010", "dash": "\u2010",
+}
+# Of these the names also count without their semicolon.
+_LOOSE = ("amp", "lt", "gt", "quot", "nbsp")
 TEXT_URL = jvm_regex(rules.TEXT_URL_PATTERN, ignore_case=True)
 SUSPICIOUS = [jvm_regex(p, ignore_case=True) for p in rules.URL_PATTERNS]
 IP_URL = jvm_regex(rules.IP_URL_PATTERN)
 
 
 # --- extraction --------------------------------------------------------------
-def _attribute(tag: Column, name: str) -> Column:
-    found = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
-    value = F.concat(*[F.regexp_extract(tag, found, g) for g in (1, 2, 3)])
-    for reference, char in _REFERENCES:
-        value = F.replace(value, F.lit(reference), F.lit(char))
-    return value
+def _character(reference: Column) -> Column:
+    """The character of one reference; unknown names stay as they are."""
+    body = F.regexp_replace(reference, r"\A&|;\z", "")
+    hexed = F.lower(F.substring(body, 1, 2)) == "#x"
+    digits = F.when(hexed, F.substring(body, F.lit(3), F.length(body))).otherwise(F.substring(body, F.lit(2), F.length(body)))
+    digits = F.when(digits.rlike(r"\A0*\z"), "0").otherwise(F.regexp_replace(digits, r"\A0+", ""))
+    number = F.when(F.length(digits) > 8, F.lit(0)).otherwise(F.when(hexed, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("long"))
+    real = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+    code = F.lpad(F.hex(F.when(real, number).otherwise(0xFFFD)), 8, "0")
+    known = F.create_map(*[F.lit(x) for pair in _NAMED.items() for x in pair])
+    named = F.when(reference.endswith(";") | body.isin(*_LOOSE), F.try_element_at(known, body))
+    return F.when(body.startswith("#"), F.decode(F.unhex(code), "UTF-32")).otherwise(F.coalesce(named, reference))
+
+
+def decoded(value: Column) -> Column:
+    """Character references decoded in one pass: what a reference yields is not read again."""
+    found = F.transform(F.regexp_extract_all(value, F.lit(_REFERENCE), F.lit(0)), _character)
+    between = F.split(value, _REFERENCE)
+    parts = F.zip_with(between, found, lambda text, char: F.concat(text, F.coalesce(char, F.lit(""))))
+    return F.when(value.contains("&"), F.array_join(parts, "")).otherwise(value)
+
+
+def _links_of(tag: Column) -> Column:
+    """The first href, src and action of a tag, in this order."""
+    name, double, single, bare = (F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(g)) for g in (1, 2, 3, 4))
+    pairs = F.arrays_zip(name.alias("name"), double.alias("a"), single.alias("b"), bare.alias("c"))
+
+    def value(wanted):
+        first = F.get(F.filter(pairs, lambda p: F.lower(p["name"]) == wanted), F.lit(0))
+        return decoded(F.concat(first["a"], first["b"], first["c"]))
+
+    return F.array_compact(F.array(*[value(a) for a in _ATTRIBUTES]))
+
+
+def _visible(html: Column) -> Column:
+    """Without comments and script and style elements, whose links nobody can follow."""
+    return without_elements(replace_closed(html, _COMMENT, "-->", ""), "script", "style")
 
 
 def html_links(html: Column) -> Column:
     """Absolute http(s) links of anchors, images and forms, in page order."""
-    tags = F.regexp_extract_all(html, F.lit(_TAG), F.lit(0))
-    values = F.flatten(
-        F.transform(tags, lambda t: F.array(*[_attribute(t, a) for a in _ATTRIBUTES]))
-    )
+    tags = F.regexp_extract_all(_visible(html), F.lit(_TAG), F.lit(0))
+    values = F.flatten(F.transform(tags, _links_of))
     return F.filter(values, lambda u: u.startswith("http://") | u.startswith("https://"))
 
 
@@ -45,9 +83,10 @@ def text_links(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TEXT_URL), F.lit(0))
 
 
-def all_links(html: Column, text: Column, limit: int = rules.MAX_URLS) -> Column:
-    """Distinct URLs by first appearance, HTML before text, cut to ``limit``."""
-    return F.slice(F.array_distinct(F.concat(html_links(html), text_links(text))), 1, limit)
+def all_links(html: Column, text: Column, limit: int | None = None) -> Column:
+    """Distinct URLs by first appearance, HTML before text; all, or the first ``limit``."""
+    found = F.array_distinct(F.concat(html_links(html), text_links(text)))
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 # --- checks ------------------------------------------------------------------

@@ -32,7 +32,7 @@ def redacted(messages: DataFrame) -> DataFrame:
 
 
 def heuristics(
-    messages: DataFrame, intel: DataFrame | None = None, as_of=None
+    messages: DataFrame, intel: DataFrame | None = None, as_of=None, url_limit: int | None = None
 ) -> DataFrame:
     """Add redacted texts, findings, component scores and the weighted total.
 
@@ -43,7 +43,7 @@ def heuristics(
         {
             "header_fields": H.header_fields(F.col("redacted_headers")),
             "clean": clean_text(F.col("redacted_text")),
-            "urls": U.all_links(F.col("raw_html"), F.col("redacted_text")),
+            "urls": U.all_links(F.col("raw_html"), F.col("redacted_text"), url_limit),
         }
     )
     signalled = (

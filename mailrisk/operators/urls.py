@@ -10,8 +10,8 @@ from mailrisk.functions.common import computed_once, let
 LOOKUP_SALTS = 8
 
 
-def message_urls(messages: DataFrame, limit: int = rules.MAX_URLS) -> DataFrame:
-    """Distinct URLs of a message in order of appearance; cut before exploding."""
+def message_urls(messages: DataFrame, limit: int | None = None) -> DataFrame:
+    """Distinct URLs of a message in order of appearance, all or the first ``limit``."""
     return messages.select(
         "message_id",
         F.posexplode(

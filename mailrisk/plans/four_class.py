@@ -7,14 +7,15 @@ from mailrisk import rules
 from mailrisk.functions.common import strings
 from mailrisk.functions.verdict import file_class_verdict, four_class_verdict
 
+# What the interactive service shows a reviewer of a mail and of a mail file.
 MAIL_CHARS, FILE_CHARS = 1500, 1200
 
 
-def review_requests(mails: DataFrame, max_chars: int = MAIL_CHARS) -> DataFrame:
+def review_requests(mails: DataFrame, max_chars: int | None = None) -> DataFrame:
     """What a reviewer sees of a mail; takes ``message_id, email_body, sender, subject,
-    attachments``.  Files use ``FILE_CHARS``.
+    attachments``.  ``max_chars`` limits the body.
     """
-    body = F.substring("email_body", 1, max_chars)
+    body = F.col("email_body") if max_chars is None else F.substring("email_body", 1, max_chars)
     request = mails.select(
         "message_id", "sender", "subject", body.alias("body"),
         F.greatest(F.size("attachments"), F.lit(0)).alias("n_attachments"),

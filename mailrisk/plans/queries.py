@@ -28,7 +28,7 @@ from mailrisk.operators.validate import check_verdict, fill_defaults, require_co
 from mailrisk.plans import four_class
 from mailrisk.plans.classify import classify
 from mailrisk.plans.views import gauge_view, log_view, mail_of, mail_view, table
-from mailrisk.session import settled, shared_dir, spread
+from mailrisk.session import settled, shared_dir
 from mailrisk.sources.cases import case_messages, read_cases
 from mailrisk.sources.eml import parse_eml
 from mailrisk.sources.logs import parse_logs, split_logs
@@ -150,7 +150,7 @@ def split_raw_message(spark, sf_dir):
 
 def page_mail(spark, sf_dir):
     user = F.concat(F.lit("user"), F.col("page_id") % 7, F.lit("@corp"), F.col("page_id") % 3, F.lit(".example"))
-    return spread(table(spark, sf_dir, "pages")).select(
+    return table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("message_id"),
         F.concat(F.lit("From: web@"), F.col("page_id"), F.lit("\r\n\r\n"), F.col("html")).alias("raw"),
         "html",
@@ -326,7 +326,7 @@ def check_verdict_rows(spark, sf_dir):
 @query
 def html_to_text(spark, sf_dir):
     text = prep.html_to_text(F.col("html"))
-    return spread(table(spark, sf_dir, "pages")).select(
+    return table(spark, sf_dir, "pages").select(
         "page_id", digest(text).alias("text_md5"), F.length(text).alias("n_chars")
     )
 
@@ -334,7 +334,7 @@ def html_to_text(spark, sf_dir):
 @query
 def clean_text(spark, sf_dir):
     text = prep.clean_text(F.col("text"))
-    return spread(table(spark, sf_dir, "documents")).select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id", digest(text).alias("text_md5"), F.length(text).alias("n_chars")
     )
 
@@ -488,6 +488,21 @@ def html_links(spark, sf_dir):
     )
 
 
+@query
+def html_links_injected(spark, sf_dir):
+    """Pages with an encoded link and a misleading title put in, and links that only look like some."""
+    number = F.col("page_id").cast("string")
+    page = F.concat(
+        F.col("html"),
+        F.lit('<a href="https&colon;&#x2f;&#47;x'), number, F.lit('.example&sol;&#104;?a=1&amp;b=2">x</a>'),
+        F.lit('<!-- <a href="http://comment.example"> --><script>var a = "<a href=\'http://script.example\'>";</script>'),
+        F.lit('<img title="see href=https://wrong.example now" src=https://right.example/'), number, F.lit(">"),
+    )
+    return table(spark, sf_dir, "pages").select(
+        F.col("page_id"), F.posexplode(U.html_links(page)).alias("pos", "url")
+    )
+
+
 @query
 def text_links(spark, sf_dir):
     return accepted_mail(spark, sf_dir).select(

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from mailrisk.functions.regex import SPACE
 
-MAX_LINES = 200
-MAX_TEXT = 2000
+# What the interactive service reads of a file.
+SERVICE_LIMITS = {"max_lines": 200, "max_chars": 2000, "field_chars": 100}
 _BLANKS = rf"\A[{SPACE}]+|[{SPACE}]+\z"
 _DISPOSITION = "content-disposition: attachment"
 
@@ -24,19 +24,27 @@ def _decoded(content: Column) -> Column:
     return F.when(F.is_valid_utf8(raw), raw).otherwise(repaired)
 
 
-def _last_field(lines: Column, name: str, default: str) -> Column:
-    """The last line with this name, trimmed and cut; also when it is in the body."""
+def _last_field(lines: Column, name: str, default: str, chars: int | None) -> Column:
+    """The last line with this name, trimmed, at most ``chars`` of it; also when it is in the body."""
     found = F.filter(lines, lambda line: line.startswith(name))
     value = F.regexp_replace(F.get(found, F.size(found) - 1), rf"\A{name}", "")
-    return F.when(F.size(found) > 0, F.substring(_strip(value), 1, 100)).otherwise(default)
-
-
-def parse_eml(files: DataFrame, content: str = "content") -> DataFrame:
-    """Sender, subject, headers, body and attachment count of mail files.
-
-    Only the first 200 lines are looked at.  The first blank line ends the
-    headers; body lines add up until they exceed 2,000 characters, which also ends
-    the search for sender and subject.
+    value = _strip(value) if chars is None else F.substring(_strip(value), 1, chars)
+    return F.when(F.size(found) > 0, value).otherwise(default)
+
+
+def parse_eml(
+    files: DataFrame,
+    content: str = "content",
+    max_lines: int | None = None,
+    max_chars: int | None = None,
+    field_chars: int | None = None,
+) -> DataFrame:
+    """Sender, subject, headers, body and attachment count of whole mail files.
+
+    The first blank line ends the headers.  Limits are off unless given: ``max_lines`` lines
+    are looked at; body lines add up until they exceed ``max_chars`` characters, which also ends
+    the search for sender and subject; headers are cut to as many; sender and
+    subject to ``field_chars``.
     """
     bodyless = ("From:", "Subject:")
 
@@ -59,7 +67,7 @@ def parse_eml(files: DataFrame, content: str = "content") -> DataFrame:
     )
 
     def read(acc, line):
-        open_ = F.length(acc["body"]) <= MAX_TEXT
+        open_ = F.length(acc["body"]) <= max_chars
         body = F.when(
             open_ & ~is_field(line), F.concat(acc["body"], line, F.lit("\n"))
         ).otherwise(acc["body"])
@@ -70,29 +78,34 @@ def parse_eml(files: DataFrame, content: str = "content") -> DataFrame:
 
     n_head = F.coalesce(F.col("blank_at"), F.size("lines"))
     head = F.slice(F.col("lines"), 1, n_head)
-    rest = F.slice(F.col("lines"), F.col("blank_at") + 2, MAX_LINES)
+    none = F.array().cast("array<string>")
+    rest = F.when(
+        F.col("blank_at").isNotNull(),
+        F.slice(F.col("lines"), F.col("blank_at") + 2, F.size("lines")),
+    ).otherwise(none)
+    if max_chars is None:
+        text = F.filter(rest, lambda line: ~is_field(line))
+        scan = F.struct(
+            F.filter(rest, is_field).alias("seen"),
+            F.when(F.size(text) > 0, F.concat(F.array_join(text, "\n"), F.lit("\n"))).otherwise("").alias("body"),
+        )
+    else:
+        scan = F.aggregate(rest, start, read)
     fields = F.filter(F.concat(head, F.col("scan.seen")), is_field)
+    headers = F.array_join(head, "\n")
+    lines = F.split("decoded", "\n")
     return (
         files.withColumn("decoded", _decoded(F.col(content)))
-        .withColumn("lines", F.slice(F.split("decoded", "\n"), 1, MAX_LINES))
+        .withColumn("lines", lines if max_lines is None else F.slice(lines, 1, max_lines))
         .withColumn("blank_at", blank_at)
-        .withColumn(
-            "scan",
-            F.aggregate(
-                F.when(F.col("blank_at").isNotNull(), rest).otherwise(
-                    F.array().cast("array<string>")
-                ),
-                start,
-                read,
-            ),
-        )
+        .withColumn("scan", scan)
         .select(
             *[c for c in files.columns if c != content],
-            _last_field(fields, bodyless[0], "Unknown").alias("sender"),
-            _last_field(fields, bodyless[1], "No Subject").alias("subject"),
+            _last_field(fields, bodyless[0], "Unknown", field_chars).alias("sender"),
+            _last_field(fields, bodyless[1], "No Subject", field_chars).alias("subject"),
             F.when(
                 F.col("blank_at").isNotNull(),
-                F.substring(F.array_join(head, "\n"), 1, MAX_TEXT),
+                headers if max_chars is None else F.substring(headers, 1, max_chars),
             ).otherwise("").alias("headers"),
             F.col("scan.body").alias("body"),
             (F.size(F.split(F.lower("decoded"), _DISPOSITION)) - 1).alias(
@@ -102,12 +115,12 @@ def parse_eml(files: DataFrame, content: str = "content") -> DataFrame:
     )
 
 
-def read_eml(spark: SparkSession, path: str) -> DataFrame:
-    """All ``*.eml`` files below ``path``, one row per file; empty files have none."""
+def read_eml(spark: SparkSession, path: str, **limits) -> DataFrame:
+    """All ``*.eml`` files below ``path``, one row per file; empty files have none.  ``limits`` as in `parse_eml`."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.eml")
         .option("recursiveFileLookup", "true")
         .load(path)
     )
-    return parse_eml(files.select("path", "content"))
+    return parse_eml(files.select("path", "content"), **limits)

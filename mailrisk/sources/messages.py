@@ -8,7 +8,6 @@ from mailrisk.functions.common import strings
 from mailrisk.functions.prep import html_to_text, split_raw_message
 from mailrisk.operators.validate import fill_defaults
 from mailrisk.schemas import MESSAGE
-from mailrisk.session import spread
 
 # Senders trusted unless the account says otherwise.
 TRUSTED_SENDERS = [
@@ -21,7 +20,7 @@ TRUSTED_SENDERS = [
 
 def read_messages(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Messages with the explicit schema; missing lists and locale get defaults."""
-    return fill_defaults(spread(spark.read.schema(MESSAGE).format(fmt).load(path)))
+    return fill_defaults(spark.read.schema(MESSAGE).format(fmt).load(path))
 
 
 def typed_ingest(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -70,8 +69,8 @@ def extract_mail_fields(raw_mails: DataFrame) -> DataFrame:
     )
 
 
-def extract_review_fields(raw_mails: DataFrame) -> DataFrame:
-    """Rows for the four-class review: short body and headers made from the fields.
+def extract_review_fields(raw_mails: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Rows for the four-class review: the body, at most ``max_chars`` of it, and headers made from the fields.
 
     Takes ``message_id, sender, subject, sent_at, plain, html, attachments``.
     """
@@ -82,7 +81,7 @@ def extract_review_fields(raw_mails: DataFrame) -> DataFrame:
         F.format_string(
             "From: %s\nSubject: %s\nDate: %s", "sender", "subject", "sent_at"
         ).alias("email_headers"),
-        F.substring(body, 1, 2000).alias("email_body"),
+        (body if max_chars is None else F.substring(body, 1, max_chars)).alias("email_body"),
         "sender",
         "subject",
         "attachments",

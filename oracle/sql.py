@@ -262,7 +262,7 @@ def text_link_list(t):
 
 
 def url_table(name, source, text):
-    """Distinct URLs per message by first appearance, at most ten."""
+    """Distinct URLs per message by first appearance."""
     return f"""
 {name}_all AS (
   SELECT message_id, unnest(l) AS url, generate_subscripts(l, 1) AS i FROM (
@@ -270,7 +270,7 @@ def url_table(name, source, text):
 {name}_first AS (SELECT message_id, url, min(i) AS i FROM {name}_all GROUP BY ALL),
 {name} AS (
   SELECT message_id, row_number() OVER (PARTITION BY message_id ORDER BY i) - 1 AS pos, url
-  FROM {name}_first QUALIFY pos < 10)"""
+  FROM {name}_first)"""
 
 
 DOMAIN = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1))"
@@ -584,7 +584,7 @@ EML = """
 eml AS (SELECT message_id, raw_headers || chr(10) || chr(10) || text_body
     || repeat(chr(10) || 'Content-Disposition: attachment; x', len(attachments)) AS content FROM acc),
 eml_lines AS (SELECT message_id, content, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (
-  SELECT message_id, content, string_split(content, chr(10))[1:200] AS l FROM eml)),
+  SELECT message_id, content, string_split(content, chr(10)) AS l FROM eml)),
 eml_blank AS (SELECT message_id, min(i) AS blank FROM eml_lines
   WHERE regexp_full_match(line, '[\\s]*') GROUP BY 1),
 eml_sum AS (
@@ -592,11 +592,11 @@ eml_sum AS (
     coalesce(sum(CASE WHEN i > blank AND NOT is_field THEN length(line) + 1 ELSE 0 END)
       OVER (PARTITION BY message_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM eml_lines JOIN eml_blank USING (message_id)),
-eml_read AS (SELECT * FROM eml_sum WHERE i <= blank OR before <= 2000)"""
+eml_read AS (SELECT * FROM eml_sum)"""
 oracle("parse_eml_files", """SELECT message_id,
-  coalesce(left(trim(substr(max_by(line, i) FILTER (starts_with(line, 'From:')), 6)), 100), 'Unknown') AS sender,
-  coalesce(left(trim(substr(max_by(line, i) FILTER (starts_with(line, 'Subject:')), 9)), 100), 'No Subject') AS subject,
-  md5(left(string_agg(line, chr(10) ORDER BY i) FILTER (i < blank), 2000)) AS headers_md5,
+  coalesce(trim(substr(max_by(line, i) FILTER (starts_with(line, 'From:')), 6)), 'Unknown') AS sender,
+  coalesce(trim(substr(max_by(line, i) FILTER (starts_with(line, 'Subject:')), 9)), 'No Subject') AS subject,
+  md5(string_agg(line, chr(10) ORDER BY i) FILTER (i < blank)) AS headers_md5,
   md5(coalesce(string_agg(line || chr(10), '' ORDER BY i) FILTER (i > blank AND NOT is_field), '')) AS body_md5,
   ((length(any_value(content)) - length(replace(lower(any_value(content)), 'content-disposition: attachment', ''))) // 31)::INT AS attachment_count
 FROM eml_read GROUP BY message_id""", EML)
@@ -604,7 +604,7 @@ RAW = """
 raw AS (SELECT message_id, replace(raw_headers, chr(10), chr(13) || chr(10)) ||
   CASE WHEN message_id % 2 = 0 THEN chr(13) || chr(10) || chr(13) || chr(10) ELSE chr(13) || chr(10) END || text_body AS raw FROM mail),
 cut AS (SELECT message_id, CASE WHEN contains(raw, chr(13) || chr(10) || chr(13) || chr(10))
-  THEN split_part(raw, chr(13) || chr(10) || chr(13) || chr(10), 1) ELSE left(raw, 2000) END AS head FROM raw)"""
+  THEN split_part(raw, chr(13) || chr(10) || chr(13) || chr(10), 1) ELSE raw END AS head FROM raw)"""
 oracle("split_raw_message", "SELECT message_id, md5(head) AS head_md5, length(head)::INT AS n_chars FROM cut", RAW)
 HTML_TEXT = (
     "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,"
@@ -616,7 +616,7 @@ oracle("extract_mail_fields_pages", f"""SELECT page_id AS message_id, 'From: web
   'corp' || (page_id % 3) || '.example' AS owned_domains, 'es-ES' AS user_locale FROM pages""")
 oracle("extract_review_fields_pages", """SELECT page_id AS message_id,
   'From: user' || (page_id % 7) || '@corp' || (page_id % 3) || '.example' || chr(10) || 'Subject: ' || url || chr(10) || 'Date: Mon, 1 Jan 2024' AS email_headers,
-  md5(left(CASE WHEN page_id % 4 = 0 THEN url ELSE html END, 2000)) AS body_md5,
+  md5(CASE WHEN page_id % 4 = 0 THEN url ELSE html END) AS body_md5,
   'user' || (page_id % 7) || '@corp' || (page_id % 3) || '.example' AS sender FROM pages""")
 oracle("read_cases_json", """SELECT 'doc ' || message_id AS name, md5(text_body) AS text_md5,
   CASE expected_label WHEN 'phishing' THEN 'phishing_examples' ELSE 'legitimate_examples' END AS category,
@@ -707,8 +707,8 @@ packed AS (
   SELECT r.message_id, r.k,
     CASE WHEN length(piece) + length(s) < 500 THEN piece || s || '. ' ELSE s || '. ' END,
     CASE WHEN length(piece) + length(s) < 500 THEN piece_no ELSE piece_no + 1 END
-  FROM packed p JOIN relevant r ON r.message_id = p.message_id AND r.k = p.k + 1 WHERE piece_no <= 3),
-pieces AS (SELECT message_id, piece_no, trim(max_by(piece, k)) AS piece FROM packed WHERE piece_no <= 3 GROUP BY ALL)"""
+  FROM packed p JOIN relevant r ON r.message_id = p.message_id AND r.k = p.k + 1),
+pieces AS (SELECT message_id, piece_no, trim(max_by(piece, k)) AS piece FROM packed GROUP BY ALL)"""
 oracle("safe_snippets", """SELECT message_id, count(piece)::INT AS n_snippets,
   md5(coalesce(string_agg(piece, '|' ORDER BY piece_no), '')) AS snippets_md5
 FROM acc LEFT JOIN pieces USING (message_id) GROUP BY message_id""", SNIPPETS)
@@ -742,6 +742,9 @@ oracle("header_score", f"SELECT message_id, {HEADER_SCORE} AS header_score FROM
 # --- URLs --------------------------------------------------------------------
 LINKS = "SELECT message_id, (i - 1)::INT AS pos, url FROM (SELECT message_id, unnest(l) AS url, generate_subscripts(l, 1) AS i FROM (SELECT message_id, {0} AS l FROM acc))"
 oracle("html_links", LINKS.format(HTML_LINKS))
+oracle("html_links_injected", """SELECT page_id, i::INT AS pos,
+  CASE i WHEN 0 THEN 'https://x' || page_id || '.example/h?a=1&b=2' ELSE 'https://right.example/' || page_id END AS url
+FROM pages CROSS JOIN (SELECT unnest([0, 1]) AS i)""")
 oracle("text_links", LINKS.format(text_link_list("text_body")))
 oracle("message_urls", "SELECT message_id, pos::INT AS pos, url FROM urls")
 PAGE = "SELECT origin, message_id, pos::INT AS pos, "
@@ -858,7 +861,7 @@ oracle("review_four_classes", f"""SELECT message_id, {four(0).replace('ELSE', 'W
       ['VEREDICTO: PHISHING', 'veredicto: spam', 'Es una estafa', 'Todo bien', ''][message_id % 5 + 1] END AS response
     FROM hbox JOIN acc USING (message_id)))""")
 oracle("four_class_request_rows", """SELECT message_id, from_address AS sender, 'mail ' || message_id AS subject,
-  md5(left(text_body, 1500)) AS body_md5, len(attachments)::INT AS n_attachments FROM hbox JOIN acc USING (message_id)""")
+  md5(text_body) AS body_md5, len(attachments)::INT AS n_attachments FROM hbox JOIN acc USING (message_id)""")
 SPELLINGS = ["Phishing", "MALICIOUS", "sospechoso", "suspicious", "Spam", "seguro", "safe"]
 oracle("canonical_label", f"""SELECT {canonical('raw')} AS label, count(*) AS n FROM (
   SELECT coalesce({texts(SPELLINGS)}[event_id % 9 + 1], event_type) AS raw FROM events) GROUP BY 1""")

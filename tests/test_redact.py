@@ -69,7 +69,7 @@ def test_ledger_keeps_repeats_and_order(spark, messages):
     ]
 
 
-def brute_snippets(text, keywords, size=500):
+def brute_snippets(text, keywords, size=500, most=None):
     """Straight loop over sentences, for texts without personal data."""
     chosen = []
     for sentence in re.split(r"[.!?]+", text):
@@ -88,7 +88,7 @@ def brute_snippets(text, keywords, size=500):
             piece = sentence + ". "
     if piece:
         pieces.append(piece.strip())
-    return pieces[:3]
+    return pieces[:most]
 
 
 def test_safe_snippets(values):
@@ -102,6 +102,18 @@ def test_safe_snippets(values):
     ]
     found = values(redact.safe_snippets, samples)
     assert found == [brute_snippets(s, rules.SNIPPET_KEYWORDS) for s in samples]
+    found = values(lambda t: redact.safe_snippets(t, most=3), samples)
+    assert found == [brute_snippets(s, rules.SNIPPET_KEYWORDS, most=3) for s in samples]
+    assert max(map(len, found)) == 3
+
+
+def test_addresses_equal_the_rule(values):
+    """The pattern that looks at every run once finds what the rule finds."""
+    rng = random.Random(7)
+    samples = ["".join(rng.choice("ab1.@-_+% é|,") for _ in range(rng.randint(3, 40))) for _ in range(1500)]
+    samples += ["a@b.com.x@y.org", "a@b-.x@c.com", ".a@b.co", "a@b.co@c.de", "éa@b.co", "a@b.co_", "x@y.a.b.cd.e"]
+    rule = re.compile(rules.EMAIL_PATTERN, re.IGNORECASE)
+    assert values(redact.find_emails, samples) == [rule.findall(s) for s in samples]
 
 
 def middle(value, keep):

@@ -7,7 +7,7 @@ from mailrisk.functions import prep
 from mailrisk.operators.tables import attachment_hash
 from mailrisk.plans.classify import classify
 from mailrisk.sources.cases import case_messages, read_cases
-from mailrisk.sources.eml import read_eml
+from mailrisk.sources.eml import SERVICE_LIMITS, read_eml
 from mailrisk.sources.logs import read_logs, split_logs
 from mailrisk.sources.messages import (
     extract_mail_fields,
@@ -18,23 +18,23 @@ from mailrisk.sources.messages import (
 from mailrisk.sources.sinks import export_metrics, write_verdicts
 
 
-def brute_eml(content):
+def brute_eml(content, most_lines=None, most_chars=None, most_field=None):
     """The fields of a mail file, line by line."""
     text = content.decode("utf-8", errors="ignore")
     lines = text.split("\n")
     found = {"sender": "Unknown", "subject": "No Subject", "headers": "", "body": ""}
     reading = False
-    for number, line in enumerate(lines[:200]):
+    for number, line in enumerate(lines[:most_lines]):
         if line.startswith("From:"):
-            found["sender"] = line[5:].strip()[:100]
+            found["sender"] = line[5:].strip()[:most_field]
         elif line.startswith("Subject:"):
-            found["subject"] = line[8:].strip()[:100]
+            found["subject"] = line[8:].strip()[:most_field]
         elif reading:
             found["body"] += line + "\n"
-            if len(found["body"]) > 2000:
+            if most_chars and len(found["body"]) > most_chars:
                 break
         elif not line.strip():
-            reading, found["headers"] = True, "\n".join(lines[:number])[:2000]
+            reading, found["headers"] = True, "\n".join(lines[:number])[:most_chars]
     return {**found, "attachment_count": text.lower().count("content-disposition: attachment")}
 
 
@@ -52,12 +52,13 @@ def test_read_eml(spark, tmp_path):
     (tmp_path / "broken.eml").write_bytes(b"From: caf\xc3\xa9\n\nok")
     (tmp_path / "empty.eml").write_text("")
     (tmp_path / "skip.txt").write_text("From: no")
-    rows = {r.path.rsplit("/", 1)[1]: r for r in read_eml(spark, str(tmp_path)).collect()}
-    assert len(rows) == len(mails) + 1
-    for path in set(tmp_path.glob("*.eml")) - {tmp_path / "empty.eml"}:
-        row = rows[path.name].asDict()
-        row.pop("path")
-        assert row == brute_eml(path.read_bytes()), path.name
+    for limits, brute in (({}, ()), (SERVICE_LIMITS, (200, 2000, 100))):
+        rows = {r.path.rsplit("/", 1)[1]: r for r in read_eml(spark, str(tmp_path), **limits).collect()}
+        assert len(rows) == len(mails) + 1
+        for path in set(tmp_path.glob("*.eml")) - {tmp_path / "empty.eml"}:
+            row = rows[path.name].asDict()
+            row.pop("path")
+            assert row == brute_eml(path.read_bytes(), *brute), path.name
 
 
 def test_bad_bytes_are_dropped(spark, tmp_path):
@@ -88,7 +89,9 @@ def test_wrong_types_reject_the_record(spark):
 
 def test_split_raw_message(values):
     assert values(prep.split_raw_message, ["A: b\r\nC: d\r\n\r\nbody\r\n\r\nmore", "x" * 2500, "\r\n\r\nrest"]) == [
-        "A: b\r\nC: d", "x" * 2000, ""]
+        "A: b\r\nC: d", "x" * 2500, ""]
+    cut = lambda raw: prep.split_raw_message(raw, prep.HEADER_FALLBACK_CHARS)
+    assert values(cut, ["A: b\r\n\r\nmore", "x" * 2500]) == ["A: b", "x" * 2000]
 
 
 def test_extract_fields(spark):

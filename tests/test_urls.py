@@ -113,6 +113,11 @@ def test_html_links_equal_a_parser(values):
         '<a data-href="http://no.no" href = "http://a.b/5"/><a>none</a><abbr href="http://no.no">',
         '<a title="href=\'x\'" href="HTTP://no.no"><a href="/rel"><img src="https://a.b/6" href="https://a.b/7">',
         '<a\nhref="http://a.b/8"\n>multi</a>', "", "<a href=>",
+        '<a href="https:&#x2f;&#x2F;a.b/9">', "<a href=&#104;ttps&colon;&sol;&sol;a.b/10>", '<a href="http://a.b/?a=1&amp;#x2f;&amp;amp;b&#0;&#x110000;">',
+        '<!-- <a href="http://no.no"> --><a href="http://a.b/11"><!-- <img src="http://no.no">-->',
+        """<script>var a = "<a href='http://no.no'>";</script><a href="http://a.b/12"><style>a{b:"<img src=http://no.no>"}</style>""",
+        '<a title="see href=https://wrong.com now" href="https://a.b/13">', '<a href="http://a.b/14" href="http://no.no">', "<a href=http://a.b/15?q='x'>",
+        '<a class=x disabled href="http://a.b/16" href>', '<a href="http://a.b/&#128512;">',
     ]
     for page, got in zip(pages, values(U.html_links, pages)):
         parser = Links()
@@ -120,15 +125,16 @@ def test_html_links_equal_a_parser(values):
         assert got == parser.found, page
 
 
-def test_message_urls_order_and_cut(messages):
+def test_message_urls_order_and_limit(messages):
     html = "".join(f'<a href="https://h{i}.org/">x</a>' for i in range(12))
-    rows = O.message_urls(
-        messages(
-            {"html": html, "text": "https://late.org/"},
-            {"html": '<a href="https://b.org/x">', "text": "https://a.org/ https://b.org/x https://a.org/"},
-        )
-    ).orderBy("message_id", "pos").collect()
-    assert [r.url for r in rows if r.message_id == 0] == [f"https://h{i}.org/" for i in range(10)]
+    mails = messages(
+        {"html": html, "text": "https://late.org/"},
+        {"html": '<a href="https://b.org/x">', "text": "https://a.org/ https://b.org/x https://a.org/"},
+    )
+    every = [f"https://h{i}.org/" for i in range(12)] + ["https://late.org/"]
+    for limit in (None, rules.SERVICE_MAX_URLS):
+        rows = O.message_urls(mails, limit).orderBy("message_id", "pos").collect()
+        assert [r.url for r in rows if r.message_id == 0] == every[:limit]
     assert [r.url for r in rows if r.message_id == 1] == ["https://b.org/x", "https://a.org/"]
 
 
