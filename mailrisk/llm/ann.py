@@ -50,6 +50,9 @@ def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     dealt = rows.join(sizes, "space").select(
         "space", F.pmod(F.xxhash64("vec_id", F.lit(13)), F.col("shards")).cast("int").alias("shard"), "vec_id", "vec"
     )
+    # a task per shard: small shards would else be put together, and building is what takes time
+    shards = sizes.agg(F.coalesce(F.sum("shards"), F.lit(1))).first()[0]
+    dealt = dealt.repartition(int(shards), "space", "shard")
     schema = "space int, shard int, vec_id long, vec array<double>, place int, near array<int>"
     return settled(dealt.groupBy("space", "shard").applyInArrow(_built, schema), "ann-index")
 
