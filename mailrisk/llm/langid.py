@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from mailrisk.llm.shared import held_out, with_fields
 
 UNKNOWN = "und"
-# labelled text per language: so many passages of so many code points at most
+# languages, and labelled text of each: so many passages of so many code points at most
+LANGUAGES = 200
 PASSAGES = 120
 PASSAGE_CHARS = 400
 # texts are parsed in blocks of so many bytes at once, and so many bytes are in memory at once
@@ -20,19 +21,23 @@ SHORT = 400
 AT_ONCE = 4 << 20
 
 
-def sample(docs: DataFrame, passages: int = PASSAGES, chars: int = PASSAGE_CHARS) -> dict[str, list[str]]:
+def sample(docs: DataFrame, passages: int = PASSAGES, chars: int = PASSAGE_CHARS, languages: int = LANGUAGES) -> dict[str, list[str]]:
     """At most ``passages`` passages of ``chars`` code points of each language's labelled text.
 
     Rows with a language and a letter in their text, held-out ids left out.  Rows are chosen by
     a hash of the id, passages by another; the number of rows per language sets the rate first, so
-    only a few times the sample is sorted.
+    only a few times the sample is sorted.  The ``languages`` with most rows are learned.
     """
     labelled = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}")
     )
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    counts = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("lang").agg(F.count("*").alias("n"))
-    chosen = labelled.join(counts, "lang").withColumn("draw", draw).where(F.col("draw") * F.col("n") < 4 * passages)
+    counts = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("lang").count()
+    counts = counts.orderBy(F.desc("count"), "lang").limit(languages).collect()
+    if not counts:
+        return {}
+    rate = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], 4.0 * passages / r["count"])]), F.col("lang"))
+    chosen = labelled.where(F.col("lang").isin([r["lang"] for r in counts])).withColumn("draw", draw).where(F.col("draw") < rate)
     first = Window.partitionBy("lang").orderBy("draw", "doc_id", F.xxhash64("text"))
     start = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.greatest(F.lit(1), F.length("text") - chars)) + 1
     rows = (
