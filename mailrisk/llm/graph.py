@@ -180,6 +180,8 @@ def hnsw(vectors: np.ndarray, degree: int = 16, width: int = 96, seed: int = 9)
     """
     n = len(vectors)
     level = np.minimum((-np.log(1 - np.random.default_rng(seed).random(n)) / np.log(degree)).astype(int), 12)
+    # the top layer has two nodes at least, so that its edges tell where a search begins
+    level = np.minimum(level, np.sort(level)[-2] if n > 1 else 0)
     layers: list[np.ndarray] = [None] * (int(level.max(initial=0)) + 1)
     order = np.argsort(-level, kind="stable")
     top = order[:1]

@@ -119,6 +119,7 @@ class Parsers:
             for symbol, state in follow[0].items():
                 alone[symbol] = state
             go = np.tile(~(alone + base), (len(follow) + 1, 1))
+            go[0] = alone + base  # the first phrase of a block has none before it
             for state, out in enumerate(follow):
                 for symbol, target in out.items():
                     go[state, symbol] = target + base

@@ -13,7 +13,7 @@ from mailrisk.llm.shared import settled
 
 SHARDS = 8
 TOLERANCE = 0.001
-PROBES = 16
+PROBES, ALL_PROBES = 16, 4096
 # parts of one shard are sorted by tasks of about this many bytes
 PART_BYTES = 32 << 20
 PART_ROWS = 200_000
@@ -63,10 +63,12 @@ def splitters(keyed: DataFrame, parts: int, total: int, tolerance: float = TOLER
     found: list[int | None] = [None] * len(want)
     while any(x is None for x in found):
         tried = set()
+        # the fewer boundaries are open, the more probes each gets
+        per = max(probes, ALL_PROBES // sum(x is None for x in found))
         for i, x in enumerate(found):
             if x is None:
                 a, b = low[i][0], high[i][0]
-                tried |= {a + (b - a) * j // (probes + 1) for j in range(1, probes + 1)} - {a}
+                tried |= {a + (b - a) * j // (per + 1) for j in range(1, per + 1)} - {a}
         known = sorted(tried)
         below = histogram(keyed, known)[0].tolist()
         for i, x in enumerate(found):

@@ -207,13 +207,13 @@ def without_copies(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> Dat
     Of equal ids and of groups without an id one row stays, chosen by a hash of the row; of
     rows equal in all columns one stays.
     """
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.withColumn("_row", row)
+    row = F.struct("*")
+    keyed = docs.select("doc_id", "text", row.alias("doc"), F.xxhash64(row).alias("_row"))
     found = near_duplicates(keyed.select("doc_id", "text", "_row"), words, bits, passing=("_row",))
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("_row").alias("_row"), F.first("doc_id").alias("_id"))
     equal = found.groupBy("_row").agg(F.count("*").alias("_equal"))
     stays = settled(first.join(equal, "_row").select("_row", "_id", "_equal"), "simhash-kept").withColumnRenamed("_row", "_kept")
     joined = keyed.join(stays, (F.col("_row") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    once = joined.where("_equal = 1").select(*docs.columns)
-    more = joined.where("_equal > 1").dropDuplicates(["_row"]).select(*docs.columns)
+    once = joined.where("_equal = 1").select("doc.*")
+    more = joined.where("_equal > 1").dropDuplicates(["_row"]).select("doc.*")
     return once.union(more)
