@@ -80,21 +80,22 @@ def sustained_alert(ticks: DataFrame, holds: dict[str, int], step: str) -> DataF
     )
 
 
-def rule_ticks(windows: DataFrame, times: DataFrame, rules: dict, series=None) -> DataFrame:
-    """Evaluate boolean columns of a windowed metric at every calendar time.
+def rule_ticks(counts: DataFrame, times: DataFrame, rules: dict, series=None) -> DataFrame:
+    """Evaluate conditions on windowed counts at every calendar time.
 
-    ``rules`` maps a rule name to its boolean column.  A window without rows
-    means the condition does not hold.
+    ``rules`` maps a rule name to a condition on the columns of ``counts``.  A window without
+    rows counts as zero before the conditions are looked at, so silence can breach; a condition
+    that is null does not hold.
     """
     series = F.lit("all") if series is None else series
-    evaluated = times.join(windows, "window_start", "left")
+    evaluated = times.join(counts, "window_start", "left").fillna(0)
     conditions = F.array(
         *[
             F.struct(
                 F.lit(name).alias("rule"),
-                F.coalesce(F.col(column), F.lit(False)).alias("breach"),
+                F.coalesce(condition, F.lit(False)).alias("breach"),
             )
-            for name, column in rules.items()
+            for name, condition in rules.items()
         ]
     )
     return evaluated.select(

@@ -21,6 +21,10 @@ from mailrisk.operators.urls import analysed_urls
 from mailrisk.schemas import EVIDENCE, HEADER_FINDINGS
 
 
+# labels from harmless to grave
+GRAVITY = ["seguro", "sospechoso", "phishing"]
+
+
 def redacted(messages: DataFrame) -> DataFrame:
     """Masked headers and text next to the original columns."""
     return messages.withColumns(
@@ -103,7 +107,7 @@ def combine_review(scored: DataFrame, reviews: DataFrame | None = None) -> DataF
     """The reviewer's verdict where it is valid, else the score's own verdict.
 
     ``reviews`` has ``message_id, response``; should a message have several, the
-    answers are reduced to one before the join.
+    gravest label counts, of equal labels the highest score.
     """
     fallback = V.fallback_verdict(F.col("total_score"))
     if reviews is None:
@@ -111,7 +115,7 @@ def combine_review(scored: DataFrame, reviews: DataFrame | None = None) -> DataF
     parsed = (
         reviews.select("message_id", V.parse_review(F.col("response")).alias("review"))
         .groupBy("message_id")
-        .agg(F.max("review").alias("review"))
+        .agg(F.max_by("review", F.struct(F.array_position(strings(GRAVITY), F.col("review.label")), "review")).alias("review"))
     )
     joined = scored.join(parsed, "message_id", "left")
     answered = F.col("review").isNotNull()

@@ -209,23 +209,23 @@ def phishing_share(logs: DataFrame, width: str = "10 minutes", slide: str | None
     )
 
 
-def calendar(windows: DataFrame, step: str) -> DataFrame:
-    """Every ``step`` from the first to the last ``window_start``, empty ones included.
+def calendar(windows: DataFrame, step: str, *keys) -> DataFrame:
+    """Every ``step`` from the first to the last ``window_start``, of each key, empty ones included.
 
     Takes windowed metrics, not rows; settle them first when they are read again.
     Days are spread over the cluster before they are divided; ``step`` must divide
     a day.
     """
-    span = windows.agg(F.min("window_start").alias("lo"), F.max("window_start").alias("hi"))
+    span = windows.groupBy(*keys).agg(F.min("window_start").alias("lo"), F.max("window_start").alias("hi"))
     one_day, one_step = F.expr("interval 1 day"), F.expr(f"interval {step}")
     days = F.sequence(F.date_trunc("day", "lo"), F.date_trunc("day", "hi"), one_day)
     steps = F.sequence(F.col("day"), F.col("day") + one_day - one_step, one_step)
     return (
-        span.select("lo", "hi", F.explode(days).alias("day"))
+        span.select(*keys, "lo", "hi", F.explode(days).alias("day"))
         .repartition("day")
-        .select("lo", "hi", F.explode(steps).alias("window_start"))
+        .select(*keys, "lo", "hi", F.explode(steps).alias("window_start"))
         .filter(F.col("window_start").between(F.col("lo"), F.col("hi")))
-        .select("window_start")
+        .select(*keys, "window_start")
     )
 
 
@@ -374,7 +374,7 @@ def monthly_slo(
         fast.alias("fast_pct"),
         (available >= availability_pct).alias("availability_met"),
         (fast >= latency_pct).alias("latency_met"),
-        (1 - spent / allowed).alias("budget_left"),
+        (1 - spent / F.nullif(allowed, F.lit(0.0))).alias("budget_left"),
     )
 
 

@@ -71,29 +71,33 @@ def prompt_text():
     )
 
 
-def score_with_reviewer(requests: DataFrame, fn, attempts: int = 3) -> DataFrame:
-    """Call ``fn(list of prompts) -> list of texts`` per Arrow batch.
+def score_with_reviewer(requests: DataFrame, fn, attempts: int = 3, batch_size: int = 32) -> DataFrame:
+    """Call ``fn(list of prompts) -> list of texts`` on at most ``batch_size`` prompts at a time.
 
-    A failing batch is tried again; after the last attempt its prompts go one by
-    one, so a single bad prompt costs only its own answer (null).
+    A null answer, an error and a list of another length are failures.  What failed is asked
+    again one by one, so a bad prompt costs only its own answer (null); no prompt is
+    sent more than ``attempts`` times.
     """
 
-    def ask(prompts, tries):
-        for _ in range(tries):
-            try:
-                answers = list(fn(prompts))
-            except Exception:  # any reviewer failure counts as no answer
-                continue
-            if len(answers) == len(prompts):
-                return answers
-        return None
+    def ask(prompts):
+        try:
+            answers = list(fn(prompts))
+        except Exception:  # any reviewer failure counts as no answer
+            return [None] * len(prompts)
+        return answers if len(answers) == len(prompts) else [None] * len(prompts)
 
     def review(batches):
         for batch in batches:
             prompts = batch["prompt"].tolist()
-            answers = ask(prompts, attempts)
-            if answers is None:
-                answers = [(ask([p], 1) or [None])[0] for p in prompts]
+            answers = [None] * len(prompts)
+            size = batch_size
+            for _ in range(attempts):
+                open_ = [i for i, answer in enumerate(answers) if answer is None]
+                for at in range(0, len(open_), size):
+                    places = open_[at : at + size]
+                    for i, answer in zip(places, ask([prompts[i] for i in places])):
+                        answers[i] = answer
+                size = 1
             yield pd.DataFrame({"message_id": batch["message_id"], "response": answers})
 
     key_type = requests.schema["message_id"].dataType.simpleString()

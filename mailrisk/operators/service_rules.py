@@ -101,23 +101,24 @@ def _gauge_conditions() -> dict:
     }
 
 
-def _ticks(rows: DataFrame, sums: dict, conditions: dict, step: str) -> DataFrame:
-    """Rules of one table at every step, each over the window that ends there.
+def _ticks(rows: DataFrame, sums: dict, conditions: dict, step: str, series) -> DataFrame:
+    """Rules of one table at every step of each series, each over the window that ends there.
 
     The buckets are written once, since every width and the calendar read them.
     """
-    summed = monitor.tumbling(rows, step, **sums).withColumn("ts", F.col("window_start"))
+    named = rows.withColumn("series", series)
+    summed = monitor.tumbling(named, step, "series", **sums).withColumn("ts", F.col("window_start"))
     buckets = settled(summed, "buckets")
-    times = monitor.calendar(buckets, step)
+    times = monitor.calendar(buckets, step, "series")
     by_width = {}
     for rule in conditions:
         by_width.setdefault(rules.ALERT_RULES[rule][0], []).append(rule)
     parts = []
     for width, names in by_width.items():
-        windows = monitor.sliding(buckets, width, step, **{n: F.sum(n) for n in sums})
+        windows = monitor.sliding(buckets, width, step, "series", **{n: F.sum(n) for n in sums})
         last_step = F.col("window_end") - F.expr(f"interval {step}")
         ending = windows.withColumn("window_start", last_step).drop("window_end")
-        filled = times.join(ending, "window_start", "left").fillna(0, list(sums))
+        filled = times.join(ending, ["series", "window_start"], "left").fillna(0, list(sums))
         checks = [
             F.struct(
                 F.lit(rule).alias("rule"),
@@ -127,11 +128,11 @@ def _ticks(rows: DataFrame, sums: dict, conditions: dict, step: str) -> DataFram
         ]
         parts.append(
             filled.select(
-                F.col("window_start").alias("ts"), F.explode(F.array(*checks)).alias("c")
+                "series", F.col("window_start").alias("ts"), F.explode(F.array(*checks)).alias("c")
             )
         )
     ticks = reduce(DataFrame.unionByName, parts)
-    return ticks.select("c.rule", F.lit("all").alias("series"), "ts", "c.breach")
+    return ticks.select("c.rule", "series", "ts", "c.breach")
 
 
 def service_ticks(
@@ -139,12 +140,13 @@ def service_ticks(
 ) -> DataFrame:
     """``rule, series, ts, breach`` of all rules; a tick closes at ``ts + step``.
 
-    Widths are multiples of ``step``.  Gauge rules need the gauge table.
+    Widths are multiples of ``step``.  Gauge rules need the gauge table and are judged for
+    each instance, the others over all log rows.
     """
-    ticks = _ticks(logs, _log_sums(), _log_conditions(), step)
+    ticks = _ticks(logs, _log_sums(), _log_conditions(), step, F.lit("all"))
     if gauges is None:
         return ticks
-    return ticks.unionByName(_ticks(gauges, _gauge_sums(), _gauge_conditions(), step))
+    return ticks.unionByName(_ticks(gauges, _gauge_sums(), _gauge_conditions(), step, F.col("instance")))
 
 
 def service_alerts(

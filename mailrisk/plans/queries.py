@@ -31,7 +31,7 @@ from mailrisk.plans.views import gauge_view, log_view, mail_of, mail_view, table
 from mailrisk.session import settled, shared_dir
 from mailrisk.sources.cases import case_messages, read_cases
 from mailrisk.sources.eml import parse_eml
-from mailrisk.sources.logs import parse_logs, split_logs
+from mailrisk.sources.logs import read_logs, split_logs
 from mailrisk.sources.messages import (
     extract_mail_fields,
     extract_review_fields,
@@ -220,8 +220,10 @@ def read_cases_json(spark, sf_dir):
 
 
 def log_lines(spark, sf_dir):
-    """Log rows as JSON lines, every tenth cut short."""
-    line = F.to_json(F.struct(*[c for c in log_view(spark, sf_dir).columns if c != "event_id"]))
+    """Log rows as JSON lines with the service's keys, every tenth cut short."""
+    names = {"ts": "timestamp", "endpoint": "path", "status": "status_code", "duration_ms": "latency_ms", "event": "message"}
+    kept = [c for c in log_view(spark, sf_dir).columns if c != "event_id"]
+    line = F.to_json(F.struct(*[F.col(c).alias(names.get(c, c)) for c in kept]))
     return log_view(spark, sf_dir).select(
         F.when(F.col("event_id") % 10 == 3, F.left(line, F.lit(30))).otherwise(line).alias("value")
     )
@@ -229,7 +231,9 @@ def log_lines(spark, sf_dir):
 
 @query
 def read_logs_lines(spark, sf_dir):
-    good, corrupt = split_logs(parse_logs(log_lines(spark, sf_dir)))
+    path = shared_dir(spark, "logs")
+    log_lines(spark, sf_dir).write.text(path)
+    good, corrupt = split_logs(read_logs(spark, path))
     return (
         good.groupBy("endpoint", "status")
         .agg(F.count("*").alias("n"), F.sum("duration_ms").alias("total_ms"))
@@ -791,9 +795,7 @@ def stub_reviewer(prompts):
 
 @query
 def reviewer_answers(spark, sf_dir):
-    requests = accepted_mail(spark, sf_dir).select(
-        "message_id", F.col("text_body").alias("prompt")
-    )
+    requests = review_requests(heuristics(accepted_mail(spark, sf_dir)))
     return score_with_reviewer(requests, stub_reviewer)
 
 
@@ -1113,16 +1115,14 @@ def evaluated_rules(spark, sf_dir):
         n_all=F.count("*"),
         n_5xx=F.count_if(monitor.is_5xx()),
         n_phishing=F.count_if(F.col("classification") == "phishing"),
-    ).select(
-        "window_start",
-        (F.col("n") < 8).alias("quiet_hour"),
-        (F.col("n_5xx") / F.col("n_all") * 100 > 5).alias("error_burst"),
-        (F.col("n_phishing") / F.greatest("n", F.lit(1)) * 100 > 15).alias("phishing_wave"),
-    )
+    ).drop("window_end")
+    conditions = {
+        "quiet_hour": F.col("n") < 8,
+        "error_burst": monitor.percent(F.col("n_5xx"), F.col("n_all")) > 5,
+        "phishing_wave": monitor.percent(F.col("n_phishing"), F.col("n")) > 15,
+    }
     counts = settled(counts, "counts")
-    return alerts.rule_ticks(
-        counts, monitor.calendar(counts, ALERT_STEP), {r: r for r in ALERT_HOLDS}
-    )
+    return alerts.rule_ticks(counts, monitor.calendar(counts, ALERT_STEP), conditions)
 
 
 @query
@@ -1137,7 +1137,7 @@ def sustained_alert(spark, sf_dir):
 def service_alerts(spark, sf_dir):
     fired = service_rules.service_alerts(log_view(spark, sf_dir), gauge_view(spark, sf_dir))
     return fired.select(
-        "rule", "severity", time_text("since"), time_text("fired_at"), time_text("last_true"), "n_firing"
+        "rule", "series", "severity", time_text("since"), time_text("fired_at"), time_text("last_true"), "n_firing"
     )
 
 

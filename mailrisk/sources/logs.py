@@ -2,21 +2,40 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from mailrisk.schemas import LOG
 
 
+# The service's keys for columns that the log table names otherwise.
+SERVICE_KEYS = {"ts": "timestamp", "endpoint": "path", "status": "status_code", "duration_ms": "latency_ms", "event": "message"}
+
+
 def parse_logs(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Log columns plus ``corrupt``, the line itself where it is no log record."""
+    """Log columns plus ``corrupt``, the line itself where it is no log record.
+
+    Lines have the service's keys or the table's own.  A line without a time is no record.
+    """
     corrupt = "corrupt"
-    schema = StructType([*LOG.fields, StructField(corrupt, StringType())])
+    own = [StructField(f.name, DoubleType() if f.name == "duration_ms" else f.dataType) for f in LOG.fields]
+    keys = [StructField(SERVICE_KEYS[f.name], f.dataType) for f in own if f.name in SERVICE_KEYS]
+    schema = StructType([*own, *keys, StructField(corrupt, StringType())])
     parsed = F.from_json(
         F.col(column),
         schema,
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt},
     )
-    return lines.select(parsed.alias("log")).select("log.*")
+    read = lines.select(F.col(column).alias("line"), parsed.alias("log"))
+
+    def value(field):
+        either = F.col(f"log.{field.name}")
+        if field.name in SERVICE_KEYS:
+            either = F.coalesce(either, F.col(f"log.{SERVICE_KEYS[field.name]}"))
+        return either.cast(field.dataType).alias(field.name)
+
+    rows = read.select(*map(value, LOG.fields), "line", F.col("log.corrupt").alias("broken"))
+    bad = F.col("broken").isNotNull() | F.col("ts").isNull()
+    return rows.withColumn(corrupt, F.when(bad, F.col("line"))).drop("line", "broken")
 
 
 def split_logs(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:

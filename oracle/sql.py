@@ -555,8 +555,8 @@ hourly AS (
   SELECT date_trunc('hour', ts) AS ts, count(classification) AS n, count(*) AS n_all,
     {N_5XX} AS n_5xx, count(*) FILTER (classification = 'phishing') AS n_phishing FROM log GROUP BY 1),
 ruled AS (
-  SELECT ts, n < 8 AS quiet_hour, n_5xx / n_all * 100 > 5 AS error_burst,
-    n_phishing / greatest(n, 1) * 100 > 15 AS phishing_wave FROM hourly),
+  SELECT ts, coalesce(n, 0) < 8 AS quiet_hour, n_5xx / n_all * 100 > 5 AS error_burst,
+    n_phishing / nullif(n, 0) * 100 > 15 AS phishing_wave FROM hours LEFT JOIN hourly USING (ts)),
 tick AS (
   SELECT rule, h.ts, coalesce(CASE rule WHEN 'quiet_hour' THEN quiet_hour WHEN 'error_burst' THEN error_burst
       ELSE phishing_wave END, false) AS breach,
@@ -987,21 +987,25 @@ SERVICE = {
 }
 
 
+SERIES = {"log": "'all'", "gauge": "instance"}  # gauge rules are judged for each instance
+
+
 def service_windows(source, sums, minutes):
     columns = ", ".join(f"{value} AS {name}" for name, value in sums.items())
     return f"""
-{source}{minutes} AS (SELECT window_start + INTERVAL '{minutes - 1} minutes' AS ts, {columns}
-  FROM {sliding_rows(source, minutes, '1 minute')} GROUP BY 1),
-{source}{minutes}_t AS (SELECT m.ts, w.* EXCLUDE (ts) FROM {source}_minutes m LEFT JOIN {source}{minutes} w USING (ts))"""
+{source}{minutes} AS (SELECT window_start + INTERVAL '{minutes - 1} minutes' AS ts, {SERIES[source]} AS series, {columns}
+  FROM {sliding_rows(source, minutes, '1 minute')} GROUP BY 1, 2),
+{source}{minutes}_t AS (SELECT m.ts, m.series, w.* EXCLUDE (ts, series) FROM {source}_minutes m LEFT JOIN {source}{minutes} w USING (ts, series))"""
 
 
 MINUTES = ", ".join(
-    f"""{t}_minutes AS (SELECT unnest(generate_series(date_trunc('minute', min(ts)), date_trunc('minute', max(ts)), INTERVAL '1 minute')) AS ts FROM {t})"""
+    f"""{t}_minutes AS (SELECT series, unnest(generate_series(lo, hi, INTERVAL '1 minute')) AS ts FROM (
+  SELECT {SERIES[t]} AS series, date_trunc('minute', min(ts)) AS lo, date_trunc('minute', max(ts)) AS hi FROM {t} GROUP BY 1))"""
     for t in ("log", "gauge")
 )
 SERVICE_TICKS = " UNION ALL ".join(
     f"SELECT '{rule}' AS rule, '{rules.ALERT_RULES[rule][2]}' AS severity, {int(rules.ALERT_RULES[rule][1].split()[0])} AS hold,"
-    f" ts, coalesce({condition}, false) AS breach FROM {source}{minutes}_t"
+    f" series, ts, coalesce({condition}, false) AS breach FROM {source}{minutes}_t"
     for rule, (minutes, source, condition) in SERVICE.items()
 )
 SERVICE_CHAIN = ",".join(
@@ -1010,11 +1014,11 @@ SERVICE_CHAIN = ",".join(
     + [service_windows("gauge", GAUGE_SUMS, m) for m in (1, 5, 60)]
 ) + f""",
 sticks AS ({SERVICE_TICKS}),
-sruns AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY ts) - row_number() OVER (PARTITION BY rule, breach ORDER BY ts) AS run FROM sticks),
-ssince AS (SELECT *, min(ts) OVER (PARTITION BY rule, breach, run) AS since FROM sruns)"""
-oracle("service_alerts", f"""SELECT rule, severity, {times('since')}, {times('fired_at')}, {times('last_true')}, n_firing FROM (
-  SELECT rule, severity, since, min(ts) AS fired_at, max(ts) AS last_true, count(*) AS n_firing FROM ssince
-  WHERE breach AND ts - since >= hold * INTERVAL '1 minute' GROUP BY rule, severity, since)""", SERVICE_CHAIN)
+sruns AS (SELECT *, row_number() OVER (PARTITION BY rule, series ORDER BY ts) - row_number() OVER (PARTITION BY rule, series, breach ORDER BY ts) AS run FROM sticks),
+ssince AS (SELECT *, min(ts) OVER (PARTITION BY rule, series, breach, run) AS since FROM sruns)"""
+oracle("service_alerts", f"""SELECT rule, series, severity, {times('since')}, {times('fired_at')}, {times('last_true')}, n_firing FROM (
+  SELECT rule, series, severity, since, min(ts) AS fired_at, max(ts) AS last_true, count(*) AS n_firing FROM ssince
+  WHERE breach AND ts - since >= hold * INTERVAL '1 minute' GROUP BY rule, series, severity, since)""", SERVICE_CHAIN)
 oracle("log_search", f"""SELECT event_id, {times('ts')}, level, event FROM log
 WHERE level = 'ERROR' OR contains(event, 'security') OR contains(event, 'authentication') OR contains(error_type, 'authentication')
 ORDER BY log.ts DESC, event_id DESC LIMIT 50""")

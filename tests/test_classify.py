@@ -1,3 +1,4 @@
+import pandas as pd
 import json
 
 import pytest
@@ -189,7 +190,29 @@ def test_reviewer_is_retried_and_bad_prompts_cost_only_themselves(spark):
             raise ValueError("no")
         return [p.upper() for p in prompts]
 
+    calls = []
+
+    def counted(prompts):
+        calls.extend(prompts)
+        return flaky(prompts)
+
+    from mailrisk.operators import review
+
     got = {r.message_id: r.response for r in score_with_reviewer(rows.coalesce(1), flaky).collect()}
+    frame = pd.DataFrame({"message_id": range(6), "prompt": ["bad" if i == 3 else f"p{i}" for i in range(6)]})
+
+    class Requests:
+        schema = rows.schema
+
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, function, _):
+            return list(function([frame]))
+
+    answers = review.score_with_reviewer(Requests(), counted, batch_size=4)[0].response.tolist()
+    assert answers == ["P0", "P1", "P2", None, "P4", "P5"]
+    assert {p: calls.count(p) for p in calls} == {"p0": 2, "p1": 2, "p2": 2, "bad": 3, "p4": 1, "p5": 1}
     assert got == {0: "P0", 1: "P1", 2: "P2", 3: None, 4: "P4", 5: "P5"}
 
 

@@ -162,9 +162,12 @@ def test_sustained_alerts_across_days(ticks):
 
 def test_rule_ticks_fill_gaps(logs, spark):
     data = logs([(0, 500, 1, "internal_error", None), (3, 200, 1, None, None), (3.5, 500, 1, "internal_error", None)])
-    windows_ = monitor.error_rate(data, "1 minute").select("window_start", (F.col("error_pct") > 15).alias("bad"))
-    ticks_ = alerts.rule_ticks(windows_, monitor.calendar(windows_, "1 minute"), {"r": "bad"}).orderBy("ts").collect()
-    assert [(minute(r.ts), r.breach) for r in ticks_] == [(0, True), (1, False), (2, False), (3, True)]
+    counts = monitor.tumbling(data, "1 minute", n=F.count("*"), bad=F.count_if(monitor.is_5xx())).drop("window_end")
+    rules_ = {"r": monitor.percent(F.col("bad"), F.col("n")) > 15, "silent": F.col("n") < 1}
+    ticks_ = alerts.rule_ticks(counts, monitor.calendar(counts, "1 minute"), rules_).orderBy("rule", "ts").collect()
+    assert [(r.rule, minute(r.ts), r.breach) for r in ticks_] == [
+        ("r", 0, True), ("r", 1, False), ("r", 2, False), ("r", 3, True),
+        ("silent", 0, False), ("silent", 1, True), ("silent", 2, True), ("silent", 3, False)]
 
 
 def test_case_results_and_rollup(spark):

@@ -121,10 +121,13 @@ def test_cases(spark, tmp_path):
 def test_logs(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text(
         '{"ts": "2024-01-15T10:30:00Z", "level": "INFO", "event": "x", "status": 200, "duration_ms": 12}\n'
-        'plain line\n{"ts": "2024-01-15T10:30:00Z", "status": "many"}\n')
+        'plain line\n{"ts": "2024-01-15T10:30:00Z", "status": "many"}\n{"level": "INFO", "path": "/no-time"}\n'
+        '{"timestamp": "2024-01-15T10:31:00Z", "message": "HTTP request processed", "method": "POST", "path": "/classify",'
+        ' "status_code": 200, "latency_ms": 1847.0, "request_id": "r", "within_slo": true}\n')
     rows, corrupt = split_logs(read_logs(spark, str(tmp_path)))
-    row = rows.first()
-    assert rows.count() == 1 and corrupt.count() == 2 and row.duration_ms == 12 and row.ts.year == 2024
+    row, service = rows.orderBy("ts").collect()
+    assert corrupt.count() == 3 and row.duration_ms == 12 and row.ts.year == 2024
+    assert (service.endpoint, service.status, service.duration_ms, service.event) == ("/classify", 200, 1847, "HTTP request processed")
 
 
 def test_verdict_sink_round_trip(spark, messages, tmp_path):
