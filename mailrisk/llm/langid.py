@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailrisk.llm.shared import held_out, with_fields
+from mailrisk.llm.shared import held_out, small, with_fields
 
 UNKNOWN = "und"
 # languages, and labelled text of each: so many passages of so many code points at most
@@ -18,7 +18,7 @@ PASSAGE_CHARS = 400
 BLOCK = 2048
 # below so many symbols a rate says too little to call a text foreign
 SHORT = 400
-AT_ONCE = 4 << 20
+AT_ONCE = 2 << 20
 
 
 def sample(docs: DataFrame, passages: int = PASSAGES, chars: int = PASSAGE_CHARS, languages: int = LANGUAGES) -> dict[str, list[str]]:
@@ -200,7 +200,7 @@ def predict(docs: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
 
     def run(batches):
         model = parsers(shared.value)
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(0).field("text").to_pylist()
             language = np.full(len(texts), UNKNOWN, object)
             score, rate = np.zeros(len(texts)), np.ones(len(texts))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailrisk.llm.shared import settled, with_fields
+from mailrisk.llm.shared import settled, small, with_fields
 
 TOKENS = 2048
 TOKENIZER = "byte_bpe_50k.json"
@@ -122,13 +122,13 @@ def pieces(docs: DataFrame, most: int = TOKENS, tokenizer: str | None = None, en
 
     def run(batches):
         known = word_ids(path)
-        for batch in batches:
+        for batch in small(batches):
             out = ([], [], [], [], [], [])
             for doc, text in zip(batch.column(0), batch.column(1)):
                 data = known.ids(text.as_py() or "") + closing
                 for piece, start, length in cut(len(data) // 4, most):
                     own = data[4 * start : 4 * (start + length)]
-                    for column, value in zip(out, (doc, piece, start, length, zlib.crc32(own), own)):
+                    for column, value in zip(out, (doc, piece, start, length, zlib.crc32(own), own if with_ids else b"")):
                         column.append(value)
             columns = [
                 pa.array([d.as_py() for d in out[0]], pa.int64()),

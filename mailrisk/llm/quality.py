@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailrisk.llm.shared import held_out, with_fields
+from mailrisk.llm.shared import held_out, small, with_fields
 
 # labelled documents of each class that a fit reads at most, and bytes in a passage
 SAMPLE = 2000
@@ -226,11 +226,9 @@ def score(docs: DataFrame, model: Attention | None) -> DataFrame:
 
     def run(batches):
         learned = shared.value
-        for batch in batches:
+        for batch in small(batches, 256):
             texts = [(t or "").encode() for t in batch.column(0).field("text").to_pylist()]
-            p = np.full(len(texts), 0.5)
-            for at in range(0, len(texts) if learned else 0, 256):
-                p[at : at + 256] = learned.forward(*encode_all(texts[at : at + 256]))["p"]
+            p = learned.forward(*encode_all(texts))["p"].astype(np.float64) if learned else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["row", "score", "predicted"]
             )

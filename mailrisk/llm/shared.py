@@ -52,6 +52,13 @@ def matched(left: DataFrame, right: DataFrame, *columns: str) -> DataFrame:
     return left.join(renamed, condition).drop(*[f"_right_{c}" for c in columns])
 
 
+def small(batches, rows: int = 512):
+    """The rows of Arrow batches in smaller ones, so that a task's copies of texts stay small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def with_fields(rows: DataFrame, *fields: tuple[str, str]) -> StructType:
     """The schema of ``rows`` and further ``(name, type)`` fields."""
     out = StructType(list(rows.schema.fields))

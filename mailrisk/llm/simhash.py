@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailrisk.llm.components import components, roots
-from mailrisk.llm.shared import settled, with_fields
+from mailrisk.llm.shared import settled, small, with_fields
 
 WORDS = 5
 SEED = 42
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, passing:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             fps = [fingerprint(t.as_py(), words, seed) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *batch.columns[2:], pa.array(np.array(fps, np.uint64).view(np.int64))],
