@@ -19,11 +19,11 @@ BLOCK = 8192
 FEW = 32
 
 
-def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED, block: int = 1 << 15) -> int:
-    """64 bits; bit i is set if more than half of the shingle hashes have it.  0 without words."""
+def shingles(text: str | None, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """Hashes of all runs of ``words`` words, repeated ones too; of the whole text if it has fewer."""
     found = (text or "").encode().lower().split()  # bytes: A-Z only, and ASCII white space
     if not found:
-        return 0
+        return np.empty(0, "<u8")
     line = b" ".join(found)
     if len(found) <= words:
         hashes = [xxhash.xxh64_intdigest(line, seed)]
@@ -33,8 +33,15 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED, block: i
         first, last = (end - length)[: 1 - words].tolist(), end[words - 1 :].tolist()
         digest = xxhash.xxh64_intdigest
         hashes = [digest(line[i:j], seed) for i, j in zip(first, last)]
+    return np.array(hashes, "<u8")
+
+
+def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED, block: int = 1 << 15) -> int:
+    """64 bits; bit i is set if more than half of the shingle hashes have it.  0 without words."""
+    every = shingles(text, words, seed)
+    if not len(every):
+        return 0
     ones = np.zeros(64, np.int64)
-    every = np.array(hashes, "<u8")
     for at in range(0, len(every), block):
         part = every[at : at + block]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)

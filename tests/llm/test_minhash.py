@@ -1,0 +1,86 @@
+"""The near-duplicate stage against exact similarities of all pairs."""
+
+import random
+
+import corpus_pipeline
+import numpy as np
+import pytest
+
+from mailrisk.llm import minhash, simhash
+from tests.llm.test_documents import DOCS, brute_components, rows_of
+
+
+def planted(seed=5, groups=150):
+    """Texts and copies with a few changed words, at similarities around 0.8 to 0.97; texts below 0.8, short and empty ones."""
+    draw = random.Random(seed)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(5))
+    texts = [None, "", " \n", "one", "One", "one two", "a b c d e", "A b\tc d E", "a b c d e f"]
+    for g in range(groups):
+        words = [word() for _ in range(draw.choice((60, 200, 500)))]
+        texts.append(" ".join(words))
+        for changed in (0.006, 0.012, 0.02, 0.022, 0.03):
+            copy = list(words)
+            for at in draw.sample(range(len(copy)), max(1, round(changed * len(copy)))):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+            words = copy if g % 3 == 0 else words
+    return texts
+
+
+def exact_links(texts):
+    sets = [set(simhash.shingles(t).tolist()) for t in texts]
+    near = []
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            both = len(a & b)
+            if not a and not b or (a and b and 5 * both >= 4 * (len(a) + len(b) - both)):
+                near.append((i, j))
+    return near
+
+
+@pytest.mark.parametrize("block", [minhash.BLOCK, 4])
+def test_stage_takes_all_similar_texts(spark, block):
+    texts = planted()
+    edges = exact_links(texts)
+    low = brute_components(range(len(texts)), edges)
+    docs = spark.createDataFrame(rows_of(texts), DOCS)
+    stage = corpus_pipeline.near_duplicates(spark, docs, "") if block == minhash.BLOCK else minhash.without_copies(docs, block=block)
+    assert sorted(r.doc_id for r in stage.collect()) == sorted(set(low.values()))
+
+
+def test_stage_on_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    low = brute_components(range(len(rows)), exact_links([t for _, t in rows]))
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert kept == sorted(rows[i][0] for i in set(low.values()))
+
+
+def test_bands_reach_the_bound():
+    draw = np.random.default_rng(7)
+    met = 0
+    for _ in range(1500):
+        n = int(draw.integers(20, 400))
+        hashes = draw.integers(0, 1 << 63, 10 * n, np.uint64)
+        a, b = hashes[: 9 * n], np.concatenate([hashes[: 8 * n], hashes[9 * n :]])  # 8 of 10 in both
+        met += bool((minhash.bands(a) == minhash.bands(b)).any())
+    assert met == 1500
+
+
+def test_a_large_bucket_is_compared_whole(spark):
+    """Groups that share a band but no block, and outsiders that link to one member only."""
+    draw = random.Random(1)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for i in range(60):
+        copy = list(base)
+        copy[draw.randrange(100)] = f"x{i}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(base[20:]), " ".join(base[30:]), " ".join(base[:70] + [f"y{i}" for i in range(40)])]
+    sets = [int(i) for i in range(len(texts))]
+    keys = [[1, 2 + i] for i in sets]
+    frame = spark.createDataFrame(list(zip(sets, keys)), "set long, keys array<long>")
+    found = minhash.links(frame, spark.createDataFrame(list(zip(sets, texts)), "set long, text string"), block=7).collect()
+    got = brute_components(sets, [(r.a, r.b) for r in found])
+    assert got == brute_components(sets, exact_links(texts))
