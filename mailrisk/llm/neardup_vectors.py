@@ -21,9 +21,8 @@ SHARD_ROWS = 1500
 MOST_ROWS = 4096
 MOST_CENTROIDS = 4096
 SAMPLE_PER_CENTROID = 24
-# a vector belongs to its nearest clusters; queries visit all clusters nearly as near as the nearest
+# a vector belongs to its nearest clusters; queries visit every cluster that can be nearest to a linked vector
 OVERLAP = 2
-MARGIN = 0.25
 DEGREE, WIDTH = 24, 24
 QUERIES_AT_ONCE = 256
 
@@ -72,8 +71,24 @@ def centroids(classes: DataFrame, shard_rows: int = SHARD_ROWS) -> dict[str, np.
     return {s: np.array(c) for s, c in found.items()}
 
 
-def assigned(classes: DataFrame, centers: dict[str, np.ndarray], margin: float = MARGIN, overlap: int = OVERLAP) -> DataFrame:
-    """``space, rep, n, vec, home, holds, visits``: unit vectors and the clusters they lie in and look into."""
+def reach(centers: np.ndarray, best: np.ndarray, least: float = COSINE) -> np.ndarray:
+    """How much less than the cosine to centre ``best`` a query's cosine to each centre may be.
+
+    A vector at home with centre c is not nearer to any other centre b: its product with b - c is at most
+    0.  A query within the angle of ``least`` has a product of at most sin(angle) * |b - c| then.
+    """
+    if least <= 0:
+        return np.full((len(best), len(centers)), 2.0)
+    # a little more than the bound, for rounding
+    apart = np.sqrt(np.maximum(0, (centers**2).sum(1) + (centers[best] ** 2).sum(1)[:, None] - 2 * centers[best] @ centers.T))
+    return np.sqrt(max(0.0, 1 - least * least)) * apart + 1e-6
+
+
+def assigned(classes: DataFrame, centers: dict[str, np.ndarray], margin: float | None = None, overlap: int = OVERLAP, least: float = COSINE) -> DataFrame:
+    """``space, rep, n, vec, home, holds, visits``: unit vectors and the clusters they lie in and look into.
+
+    Without a ``margin`` queries look into every cluster that can be the home of a vector at ``least`` or nearer.
+    """
     shared = classes.sparkSession.sparkContext.broadcast(centers)
 
     def run(batches):
@@ -91,7 +106,8 @@ def assigned(classes: DataFrame, centers: dict[str, np.ndarray], margin: float =
                     near = points @ known[space].T
                     order = np.argsort(-near, axis=1)
                     best = np.take_along_axis(near, order[:, :1], 1)
-                    for i, o, hit in zip(rows, order, near >= best - margin):
+                    width = reach(known[space], order[:, 0], least) if margin is None else margin
+                    for i, o, hit in zip(rows, order, near >= best - width):
                         home[i], holds[i], visits[i] = o[0], o[:overlap].tolist(), np.flatnonzero(hit).tolist()
             kinds = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -159,7 +175,7 @@ def _searched(least: float):
 
 
 def near_duplicates(
-    vectors: DataFrame, least: float = COSINE, shard_rows: int = SHARD_ROWS, most_rows: int = MOST_ROWS, margin: float = MARGIN, same: str | None = "label"
+    vectors: DataFrame, least: float = COSINE, shard_rows: int = SHARD_ROWS, most_rows: int = MOST_ROWS, margin: float | None = None, same: str | None = "label"
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vectors(vec_id, embedding[, label])``.
 
@@ -168,6 +184,7 @@ def near_duplicates(
     null ids or labels link with nothing: their component is their own id.  Equal vectors of a label are one
     class, searched once and counted by its rows, repeated rows included.
 
+    Queries look into every cluster that can be home to a linked vector (``reach``); a fixed ``margin`` proves nothing.
     Each class lies in its nearest ``OVERLAP`` clusters.  A cluster's shards hold ``most_rows`` at most; one that is larger is cut into
     blocks by a hash, and its queries look into all of them, themselves in blocks.  Every shard gets a
     robust-pruned graph; the adjacency lists of a vector from all its shards are united, and a search task
@@ -183,7 +200,7 @@ def near_duplicates(
     rows = marked.where("space is not null")
     classes = settled(rows.groupBy("space", F.col("embedding").alias("vec")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vector-classes")
     known = centroids(classes, shard_rows)
-    placed = settled(assigned(classes, known, margin), "vector-clusters")
+    placed = settled(assigned(classes, known, margin, least=least), "vector-clusters")
     held = placed.select("space", F.explode("holds").alias("cluster"), "home", "rep", "n", "vec")
     sizes = held.groupBy("space", "cluster").agg(F.ceil(F.count("*") / most_rows).cast("int").alias("blocks"))
     sizes = settled(sizes, "vector-blocks")
