@@ -1,9 +1,10 @@
 """Near vectors: routing as in production, and the audit of searches."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from mailrisk.llm import neardup_vectors
+from mailrisk.llm import graph, neardup_vectors
 from mailrisk.llm.vectors import unit
 
 
@@ -21,3 +22,41 @@ def test_routing_reaches_every_link(spark, d):
     rows = {r.rep: r for r in neardup_vectors.assigned(table, centers).select("rep", "home", "visits").collect()}
     lost = sum(rows[b].home not in rows[a].visits for i in range(n) for a, b in ((i, n + i), (n + i, i)))
     assert lost == 0
+
+
+def table_of(ids, points, **more):
+    return pa.table({"rep": pa.array(ids, pa.int64()), "vec": pa.array(points.tolist(), pa.list_(pa.float64())), **more})
+
+
+def test_audit_searches_failing_shards_whole(monkeypatch):
+    """A search that loses a third of what it meets gives all links all the same."""
+    draw = np.random.default_rng(2)
+    n = 300
+    points = draw.normal(size=(n, 16))
+    points[100:160] = points[100] + draw.normal(size=(60, 16)) * 0.05
+    points = unit(points)
+    ids = np.arange(n) * 3
+    near = neardup_vectors._built((), table_of(ids, points))["near"]
+    members = table_of(ids, points, near=near, n=pa.array([1] * n, pa.int64()), own=pa.array([True] * n))
+    whole = graph.search
+
+    def lossy(*args):
+        out = whole(*args)
+        return (*out[:2], [(row[place % 3 > 0], place[place % 3 > 0]) for row, place in out[2]])
+
+    monkeypatch.setattr(graph, "search", lossy)
+    found = neardup_vectors._searched(0.93)((), members, table_of(ids, points)).to_pydict()
+    got = {r: k for r, k, low in zip(found["rep"], found["links"], found["low"]) if low < 0}
+    want = (points @ points.T >= 0.93).sum(1) - 1
+    assert got == {int(i): int(k) for i, k in zip(ids, want) if k}
+
+
+@pytest.mark.parametrize("shard_rows, most_rows", [(60, 4096), (60, 25)])
+def test_counts_as_in_production(spark, shard_rows, most_rows):
+    """Low dimension, several clusters, the production routing: all counts equal brute force."""
+    draw = np.random.default_rng(4)
+    points = unit(draw.normal(size=(600, 6)))
+    table = spark.createDataFrame([(i, p.tolist(), 1) for i, p in enumerate(points)], "vec_id long, embedding array<double>, label int")
+    found = neardup_vectors.near_duplicates(table, shard_rows=shard_rows, most_rows=most_rows).collect()
+    want = (points @ points.T >= 0.93).sum(1) - 1
+    assert {r.vec_id: r.n_links for r in found} == dict(enumerate(want.tolist()))
