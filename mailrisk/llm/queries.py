@@ -3,7 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailrisk.llm import ann, html, langid, licenses, mixing, neardup_vectors, packing, quality, shards, simhash, sql
+from mailrisk.llm import (
+    ann, html, langid, licenses, manifest, mixing, neardup_vectors, packing, quality, repair, shards, simhash, sql, urlfilter,
+)
 from mailrisk.llm.shared import held_out
 
 
@@ -79,6 +81,22 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(files).withColumnRenamed("file_id", "doc_id")
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL against four rules: the longest that fits, and its verdict."""
+    judged = urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), urlfilter.fixed_rules(spark))
+    return judged.select("row.page_id", "host", "path", "rule", "verdict")
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and the cheapest repair of every damaged conversation."""
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root, proof and verification of every document; a third is tampered with."""
+    return manifest.documents_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_html": op2_html,
@@ -90,6 +108,15 @@ QUERIES = {
     "op8_nearest": op8_nearest,
     "op9_mixing": op9_mixing,
     "op10_licences": op10_licences,
+    "op11_url_filter": op11_url_filter,
+    "op12_conversations": op12_conversations,
+    "op13_manifest": op13_manifest,
 }
 
-ORACLES: dict[str, str] = {"op9_mixing": sql.MIXING, "op10_licences": sql.LICENCES}
+ORACLES: dict[str, str] = {
+    "op9_mixing": sql.MIXING,
+    "op10_licences": sql.LICENCES,
+    "op11_url_filter": sql.URL_FILTER,
+    "op12_conversations": sql.CONVERSATIONS,
+    "op13_manifest": sql.MANIFEST,
+}

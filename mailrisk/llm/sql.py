@@ -91,3 +91,186 @@ select m.file_id as doc_id, m.path, coalesce(m.licence, c.licence) as licence,
   coalesce(m.score, c.score) as score
 from marked m left join climbed c on c.file_id = m.file_id and c.place = 1
 """
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    bits = "list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))"
+    codes = f"list_transform(string_split({text}, ''), lambda s: ord(s)::bigint)"
+    return f"xor(4294967295::bigint, list_reduce(list_concat([4294967295::bigint], {codes}), lambda c, b: {bits}))"
+
+
+URL_FILTER = f"""
+with split as (
+  select page_id, case when contains(url, '://') then url[strpos(url, '://') + 3:] else '' end as rest from pages),
+parts as (
+  select page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+  from split),
+rules(host, path, verdict) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+fits as (
+  select p.page_id, max_by(r.host || r.path, length(r.host || r.path)) as rule, max_by(r.verdict, length(r.host || r.path)) as verdict
+  from parts p join rules r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path)
+  group by p.page_id)
+select p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') as verdict
+from parts p left join fits f on f.page_id = p.page_id
+"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::varchar) || ':' || {value}::varchar, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _merkle(name: str, leaves: str, levels: int = 8) -> str:
+    """CTEs of a tree over ``leaves`` (``g, idx, node``), level by level: ``name``_paths and ``name``_top."""
+    parts = [f"{name}_0 as (select *, count(*) over (partition by g) as n from {leaves})"]
+    for k in range(1, levels + 1):
+        parts.append(
+            f"{name}_{k} as (select g, idx // 8 as idx, case when max(n) = 1 then max(node) else sha256(string_agg(node, '' order by idx)) end as node,"
+            f" (max(n) + 7) // 8 as n from {name}_{k - 1} group by g, idx // 8)"
+        )
+    sides = []
+    for k in range(levels):
+        sides.append(
+            f"select l.g, l.idx as leaf, {k} as level, coalesce(string_agg(b.node, '' order by b.idx) filter (b.idx < l.idx // {8**k}), '') as before,"
+            f" coalesce(string_agg(b.node, '' order by b.idx) filter (b.idx > l.idx // {8**k}), '') as after"
+            f" from {name}_0 l join {name}_{k} b on b.g = l.g and b.idx // 8 = l.idx // {8 ** (k + 1)} where b.n > 1 group by l.g, l.idx"
+        )
+    parts.append(f"{name}_sides as ({' union all '.join(sides)})")
+    parts.append(
+        f"{name}_paths as (select g, leaf as idx, list({{'before': before, 'after': after}} order by level) as path from {name}_sides group by g, leaf)"
+    )
+    parts.append(f"{name}_top as (select g, node from {name}_{levels})")
+    return ",\n".join(parts)
+
+
+MANIFEST = f"""
+with marked as (
+  select doc_id, coalesce('=' || lang, '') as g, {_leaf("text")} as leaf,
+    case when {crc32("doc_id::varchar")} % 3 = 0 then {_leaf(_LOWER.format("text"))} else {_leaf("text")} end as changed
+  from documents),
+rows as (select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as idx from marked),
+leaves as (select g, idx, leaf as node from rows),
+{_merkle("tree", "leaves")},
+heads as (select 0 as g, row_number() over (order by g) - 1 as idx, node, g as of from tree_top),
+crown as (select g, idx, node from heads),
+{_merkle("head", "crown", 3)},
+joined as (
+  select r.doc_id, r.leaf, r.changed, h.node as subroot, t.node as root, list_concat(coalesce(p.path, []), coalesce(q.path, [])) as path
+  from rows r join heads h on h.of = r.g cross join head_top t
+  left join tree_paths p on p.g = r.g and p.idx = r.idx left join head_paths q on q.idx = h.idx),
+folded as (
+  select *, sha256(coalesce(list_reduce(list_transform(path, lambda s: s.before || s.after), lambda a, b: a || b, ''), '')) as proof_sha256,
+    list_reduce(list_concat([{{'before': changed, 'after': ''}}], path), lambda a, s: {{'before': sha256(s.before || a.before || s.after), 'after': ''}}).before as folded_root
+  from joined)
+select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root as verified from folded
+"""
+
+_INSERTS = {"s0": [], "s1": [], "s2": ["s0", "s1", "s3"], "s3": ["s2"]}
+
+
+def _spent(state: str, cost: int, letter: str = "") -> str:
+    """A state's ``cost`` and letters as one text that sorts by cost, then by letters; null where it cannot be reached."""
+    return f"(lpad(((left({state}, 12))::bigint + {cost})::varchar, 12, '0') || substr({state}, 13) || '{letter}')"
+
+
+def _least(*options: str) -> str:
+    return f"least({', '.join(options)})"
+
+
+def _inserted(prefix: str) -> dict[str, str]:
+    """The states after any insertions that can pay."""
+    s = {k: f"{prefix}.{k}" for k in _INSERTS}
+    user = _least(s["s2"], *[_spent(s[k], 3, "I") for k in ("s0", "s1", "s3")])
+    # an assistant turn follows the user turn, of which two in a row cost six
+    assistant = _least(s["s3"], _spent(s["s2"], 3, "I"), *[_spent(s[k], 6, "II") for k in ("s0", "s1")])
+    return {"s0": s["s0"], "s1": s["s1"], "s2": user, "s3": assistant}
+
+
+def _turn() -> dict[str, str]:
+    def paid(state, cost, letter):
+        return f"case when t.fault = 'truncated' then {_spent(state, cost + 3, letter)} else {_spent(state, cost, letter)} end"
+
+    def kept(state, initial):
+        return f"case when t.ok and t.initial = '{initial}' then {paid(state, 0, 'K')} end"
+
+    def changed(state):
+        return f"case when t.ok then {paid(state, 3, 'R')} end"
+
+    def dropped(state):
+        return _spent(state, 4, "D")
+
+    ahead = ("i.s0", "i.s1", "i.s3")
+    return {
+        "s0": dropped("i.s0"),
+        "s1": _least(dropped("i.s1"), kept("i.s0", "s")),
+        "s2": _least(dropped("i.s2"), *[kept(s, "u") for s in ahead], *[changed(s) for s in ahead]),
+        "s3": _least(dropped("i.s3"), kept("i.s2", "a"), changed("i.s2")),
+    }
+
+
+def _states(columns: dict[str, str]) -> str:
+    return ", ".join(f"{sql} as {name}" for name, sql in columns.items())
+
+
+_BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+CONVERSATIONS = f"""
+with recursive drawn as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    {crc32("(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))")} % 20 as draw
+  from conversations),
+hurt as (
+  select conv_id, turn, case when draw = 4 then 'user' else role end as role,
+    case when draw = 1 then '' when draw = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(case when draw = 3 then [0, 1] else [0] end) as copy
+  from drawn where draw <> 0),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(length(role) || ':' || role || text), copy) as place from hurt),
+marked as (
+  select *, left(role, 1) as initial, right(rtrim(text, {_BLANK}), 1) as ending,
+    row_number() over (partition by conv_id, role, text order by place) > 1 as again,
+    lag(left(role, 1)) over (partition by conv_id order by place) as previous
+  from placed),
+turns as (
+  select *, coalesce(conv_id::varchar, '') as ck, fault not in ('blank', 'duplicate') as ok from (
+    select *, case when ending = '' then 'blank' when again then 'duplicate' when ending not in ('.', '!', '?') then 'truncated' else '' end as fault
+    from marked)),
+walked as (
+  select distinct ck, 0::bigint as place, repeat('0', 12) as s0, null::varchar as s1, null::varchar as s2, null::varchar as s3 from turns
+  union all
+  select t.ck, t.place, {_states(_turn())}
+  from (select w.ck, w.place, {_states(_inserted("w"))} from walked w) i join turns t on t.ck = i.ck and t.place = i.place + 1),
+ended as (
+  select i.ck, least(i.s0, i.s3) as best
+  from (select w.ck, w.place, {_states(_inserted("w"))} from walked w) i
+  join (select ck, max(place) as place from turns group by ck) l on l.ck = i.ck and l.place = i.place),
+audited as (select ck, left(best, 12)::bigint as cost, substr(best, 13) as audit from ended),
+letters as (select ck, unnest(string_split(audit, '')) as letter, unnest(range(1, length(audit) + 1)) as nth from audited where audit <> ''),
+counted as (
+  select *, sum((letter <> 'I')::int) over w as place, sum((letter <> 'D')::int) over w as put
+  from letters window w as (partition by ck order by nth)),
+made as (
+  select c.ck, c.nth, c.letter, c.put, t.role, t.text,
+    max((c.put = 1 and c.letter = 'K' and t.initial = 's')::int) over (partition by c.ck) as led
+  from counted c left join turns t on t.ck = c.ck and t.place = c.place and c.letter <> 'I'),
+repaired as (
+  select ck, string_agg(case when letter = 'K' then role when (put - led) % 2 = 1 then 'user' else 'assistant' end || ':' || coalesce(text, ''), chr(10) order by nth) as whole
+  from made where letter <> 'D' group by ck),
+faults as (
+  select ck, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+    count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+    count(*) filter (previous is not null and previous || initial not in ('su', 'ua', 'au')) as illegal
+  from turns group by ck)
+select o.conv_id, coalesce(f.gaps, 0)::bigint as gaps, coalesce(f.blank, 0)::bigint as blank, coalesce(f.duplicate, 0)::bigint as duplicate,
+  coalesce(f.truncated, 0)::bigint as truncated, coalesce(f.illegal, 0)::bigint as illegal, coalesce(a.cost, 0)::bigint as cost,
+  coalesce(a.audit, '') as audit, sha256(coalesce(r.whole, '')) as repaired_sha256
+from (select distinct conv_id, coalesce(conv_id::varchar, '') as ck from conversations) o
+left join faults f on f.ck = o.ck left join audited a on a.ck = o.ck left join repaired r on r.ck = o.ck
+"""
