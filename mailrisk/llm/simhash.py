@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from mailrisk.llm.components import components, roots
 from mailrisk.llm.shared import settled, small, with_fields
 
-WORDS = 5
+WORDS = 4
 SEED = 42
 BITS = 4
 # (first bit, width): four differing bits leave one of three segments with at most one of them
