@@ -7,7 +7,7 @@ read again, so a lost executor costs a stage's tasks at most.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailrisk.llm import langid, minhash, mixing, packing, quality
+from mailrisk.llm import langid, mixing, packing, quality, simhash
 from mailrisk.llm.shared import settled
 
 
@@ -24,8 +24,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles with a similarity of 0.8 or more."""
-    return minhash.without_copies(docs)
+    """One document of each group of near-duplicates: fingerprints of four-word shingles within four bits."""
+    return simhash.without_copies(docs, words=4, bits=4)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
