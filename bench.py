@@ -5,7 +5,7 @@ import os
 import tempfile
 import time
 
-from mailrisk.plans.queries import QUERIES
+from mailrisk.plans.catalog import QUERIES
 from mailrisk.session import build_session
 
 HEADLINE = [

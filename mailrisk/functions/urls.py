@@ -56,15 +56,18 @@ def decoded(value: Column) -> Column:
 
 
 def _links_of(tag: Column) -> Column:
-    """The first href, src and action of a tag, in this order."""
+    """The first href, src and action of a tag, in this order.
+
+    Inside a lambda nothing is shared by itself, so the attributes are bound once by ``let``.
+    """
     name, double, single, bare = (F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(g)) for g in (1, 2, 3, 4))
     pairs = F.arrays_zip(name.alias("name"), double.alias("a"), single.alias("b"), bare.alias("c"))
 
-    def value(wanted):
-        first = F.get(F.filter(pairs, lambda p: F.lower(p["name"]) == wanted), F.lit(0))
-        return decoded(F.concat(first["a"], first["b"], first["c"]))
+    def value(attributes, wanted):
+        first = F.get(F.filter(attributes, lambda p: F.lower(p["name"]) == wanted), F.lit(0))
+        return let(first, lambda p: let(F.concat(p["a"], p["b"], p["c"]), decoded))
 
-    return F.array_compact(F.array(*[value(a) for a in _ATTRIBUTES]))
+    return let(pairs, lambda attributes: F.array_compact(F.array(*[value(attributes, a) for a in _ATTRIBUTES])))
 
 
 def _visible(html: Column) -> Column:
@@ -145,8 +148,16 @@ def brand_similarity(registered: Column, exclude_exact: bool = False) -> Column:
 
 
 # --- verdict per URL ---------------------------------------------------------
-def url_facts(url: Column, exclude_exact: bool = False) -> Column:
-    """Everything the reasons and the level depend on, each computed once."""
+def url_facts(url: Column, exclude_exact: bool = False, similarity: Column | None = None) -> Column:
+    """Everything the reasons and the level depend on, each computed once.
+
+    ``similarity`` to a brand may come from a lookup; else it is measured here.
+    """
+
+    def measured(domain):
+        if similarity is not None:
+            return similarity
+        return let(registered_domain(domain), lambda r: brand_similarity(r, exclude_exact))
 
     def located(domain):
         return F.struct(
@@ -157,9 +168,7 @@ def url_facts(url: Column, exclude_exact: bool = False) -> Column:
             suspicious_pattern(url).alias("pattern"),
             ip_host(url).alias("ip"),
             shortener(domain).alias("shortener"),
-            let(
-                registered_domain(domain), lambda r: brand_similarity(r, exclude_exact)
-            ).alias("similarity"),
+            measured(domain).alias("similarity"),
         )
 
     return let(url_domain(url), located)

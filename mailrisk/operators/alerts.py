@@ -67,17 +67,50 @@ def alert_states(ticks: DataFrame, holds: dict[str, int], step: str) -> DataFram
 
 
 def sustained_alert(ticks: DataFrame, holds: dict[str, int], step: str) -> DataFrame:
-    """One row per alert that fired: when it began, fired, and was last true."""
-    return (
-        alert_states(ticks, holds, step)
-        .filter(F.col("state") == "firing")
-        .groupBy(*EPISODE, "since")
-        .agg(
-            F.min("ts").alias("fired_at"),
-            F.max("ts").alias("last_true"),
-            F.count("*").alias("n_firing"),
-        )
+    """One row per alert that fired: when it began, fired, and was last true.
+
+    Within each day of a series only the ticks where the condition changes go on, with the day's first and
+    last tick; holds are then arithmetic on the intervals between them.
+    """
+    by_day = Window.partitionBy(*EPISODE, F.date_trunc("day", "ts")).orderBy("ts")
+    edge = F.lag("breach").over(by_day).isNull() | F.lead("breach").over(by_day).isNull()
+    changed = F.lag("breach").over(by_day) != F.col("breach")
+    kept = ticks.withColumn("kept", edge | changed).where("kept").drop("kept")
+    return fired_alerts(kept, holds, step)
+
+
+def fired_alerts(changes: DataFrame, holds: dict[str, int], step: str) -> DataFrame:
+    """Alerts from ``rule, series, ts, breach`` where conditions change, and first and last ticks of days.
+
+    Rows that change nothing do no harm; a series has as many rows as its condition has changes, and two a day.
+    """
+    pairs = [F.lit(part) for item in holds.items() for part in item]
+    hold, every = F.create_map(*pairs)[F.col("rule")], step_seconds(step)
+    series = Window.partitionBy(*EPISODE)
+    in_order = series.orderBy("at")
+    before = F.lag("breach").over(in_order)
+    runs = (
+        changes.withColumn("at", F.unix_seconds(F.col("ts").cast("timestamp")))
+        .withColumn("final", F.max("at").over(series))
+        .withColumn("turns", before.isNull() | (before != F.col("breach")))
+        .where("turns")
+        .withColumn("last_at", F.coalesce(F.lead("at").over(in_order) - every, F.col("final")))
+        .where("breach")
     )
+    fires = F.col("at") + F.ceil(hold / every) * every
+    return runs.withColumn("fires", fires).where(F.col("fires") <= F.col("last_at")).select(
+        *EPISODE,
+        F.timestamp_seconds("at").alias("since"),
+        F.timestamp_seconds("fires").alias("fired_at"),
+        F.timestamp_seconds("last_at").alias("last_true"),
+        (F.expr(f"(last_at - fires) div {every}") + 1).alias("n_firing"),
+    )
+
+
+def step_seconds(width: str) -> int:
+    """Seconds of an interval text such as ``5 minutes``."""
+    number, unit = width.split()
+    return int(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
 
 
 def rule_ticks(counts: DataFrame, times: DataFrame, rules: dict, series=None) -> DataFrame:

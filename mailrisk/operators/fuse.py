@@ -5,7 +5,7 @@ several times downstream is computed once: Spark does not merge projections when
 that would repeat expensive expressions.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailrisk import rules
@@ -35,13 +35,22 @@ def redacted(messages: DataFrame) -> DataFrame:
     )
 
 
+BODIES = ("raw_headers", "raw_html", "text_body", "redacted_headers", "redacted_text", "header_fields", "clean", "lines")
+
+
 def heuristics(
-    messages: DataFrame, intel: DataFrame | None = None, as_of=None, url_limit: int | None = None
+    messages: DataFrame,
+    intel: DataFrame | None = None,
+    as_of=None,
+    url_limit: int | None = None,
+    suffixes: DataFrame | None = None,
+    brands: DataFrame | None = None,
 ) -> DataFrame:
     """Add redacted texts, findings, component scores and the weighted total.
 
-    Without ``intel`` the plan has no shuffle and works on streams.  With it the
-    URLs are exploded, joined to the domain table and regrouped by ``message_id``.
+    Without lookup tables the plan has no shuffle and works on streams.  With ``intel`` (one row per domain),
+    ``suffixes`` (public-suffix rules) or ``brands`` (imitated domains) the texts are left out of the result: features
+    are written once, and only they and thin facts about links are joined.
     """
     prepared = redacted(messages).withColumns(
         {
@@ -60,10 +69,11 @@ def heuristics(
         .withColumn("signals", N.signals_of(F.col("clean"), F.col("lines")))
         .drop("header_fields", "clean", "lines")
     )
-    if intel is None:
+    if intel is None and suffixes is None and brands is None:
         analysed = signalled.withColumn("analysed", U.analyse_urls(F.col("urls")))
     else:
-        analysed = analysed_urls(signalled, intel, as_of)
+        slim = signalled.drop(*BODIES)
+        analysed = analysed_urls(slim, intel, as_of, suffixes, brands)
     steps = ("urls", "analysed", "header_details", "signals")
     found = computed_once(
         analysed,
@@ -103,32 +113,42 @@ def _neutral_evidence(signal: str):
     )
 
 
+def gravest(review: str) -> Column:
+    """Of several parsed reviews the one with the gravest label, of equal labels the highest score."""
+    rank = F.struct(F.array_position(strings(GRAVITY), F.col(review)["label"]), F.col(review))
+    return F.max_by(F.col(review), F.when(F.col(review).isNotNull(), rank)).alias(review)
+
+
+def judged_by(rows: DataFrame) -> DataFrame:
+    """``verdict`` and ``evidence`` from the column ``review`` where it is not null, else from the score."""
+    answered = F.col("review").isNotNull()
+    names = ("label", "risk_score", "top_reasons", "summary", "actions")
+    reviewed = F.struct(*[F.col("review")[n].alias(n) for n in names])
+    return rows.withColumns(
+        {
+            "verdict": F.when(answered, reviewed).otherwise(V.fallback_verdict(F.col("total_score"))),
+            "evidence": F.when(answered, F.col("review.evidence")).otherwise(
+                _neutral_evidence(rules.FALLBACK_SIGNAL)
+            ),
+        }
+    ).drop("review")
+
+
 def combine_review(scored: DataFrame, reviews: DataFrame | None = None) -> DataFrame:
     """The reviewer's verdict where it is valid, else the score's own verdict.
 
     ``reviews`` has ``message_id, response``; should a message have several, the
     gravest label counts, of equal labels the highest score.
     """
-    fallback = V.fallback_verdict(F.col("total_score"))
     if reviews is None:
+        fallback = V.fallback_verdict(F.col("total_score"))
         return scored.withColumns({"verdict": fallback, "evidence": _neutral_evidence(rules.FALLBACK_SIGNAL)})
     parsed = (
         reviews.select("message_id", V.parse_review(F.col("response")).alias("review"))
         .groupBy("message_id")
-        .agg(F.max_by("review", F.struct(F.array_position(strings(GRAVITY), F.col("review.label")), "review")).alias("review"))
+        .agg(gravest("review"))
     )
-    joined = scored.join(parsed, "message_id", "left")
-    answered = F.col("review").isNotNull()
-    names = ("label", "risk_score", "top_reasons", "summary", "actions")
-    reviewed = F.struct(*[F.col("review")[n].alias(n) for n in names])
-    return joined.withColumns(
-        {
-            "verdict": F.when(answered, reviewed).otherwise(fallback),
-            "evidence": F.when(answered, F.col("review.evidence")).otherwise(
-                _neutral_evidence(rules.FALLBACK_SIGNAL)
-            ),
-        }
-    ).drop("review")
+    return judged_by(scored.join(parsed, "message_id", "left"))
 
 
 def apply_policy(verdicts: DataFrame) -> DataFrame:
@@ -143,15 +163,22 @@ def apply_policy(verdicts: DataFrame) -> DataFrame:
     )
 
 
-def error_verdict(failed: DataFrame) -> DataFrame:
+def error_columns() -> dict[str, Column]:
     """The fixed cautious verdict for messages that could not be analysed."""
+    return {
+        "label": F.lit(rules.ERROR_LABEL),
+        "risk_score": F.lit(rules.ERROR_SCORE),
+        "top_reasons": strings(rules.ERROR_REASONS),
+        "summary": F.lit(rules.ERROR_SUMMARY),
+        "actions": strings(rules.ERROR_ACTIONS),
+    }
+
+
+def error_verdict(failed: DataFrame) -> DataFrame:
+    """``error_columns`` as verdict rows."""
     return failed.select(
         "message_id",
-        F.lit(rules.ERROR_LABEL).alias("label"),
-        F.lit(rules.ERROR_SCORE).alias("risk_score"),
-        strings(rules.ERROR_REASONS).alias("top_reasons"),
-        F.lit(rules.ERROR_SUMMARY).alias("summary"),
-        strings(rules.ERROR_ACTIONS).alias("actions"),
+        *[c.alias(name) for name, c in error_columns().items()],
         _neutral_evidence(rules.ERROR_SIGNAL).alias("evidence"),
-        F.lit(0).alias("latency_ms"),
+        F.lit(None).cast("int").alias("latency_ms"),
     )

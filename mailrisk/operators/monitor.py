@@ -2,7 +2,8 @@
 
 Rates are counts of rows in a window; nothing here needs counters.  Sliding
 windows first aggregate to buckets of one slide and then combine buckets, so rows
-are shuffled once, already aggregated, however far windows overlap.
+are shuffled once, already aggregated, however far windows overlap.  The windowed
+functions work on streams with a watermark as they do on tables.
 """
 
 from pyspark.sql import DataFrame
@@ -10,8 +11,6 @@ from pyspark.sql import functions as F
 
 from mailrisk import rules
 from mailrisk.functions.verdict import canonical_label
-from mailrisk.session import settled
-
 
 
 def is_5xx():
@@ -24,8 +23,12 @@ def classified():
 
 def tumbling(rows: DataFrame, width: str, *keys, **sums) -> DataFrame:
     """Aggregate into windows of ``width``; ``window_start`` leads the result."""
+    return tumbling_of(rows, F.window("ts", width), *keys, **sums)
+
+
+def tumbling_of(rows: DataFrame, window, *keys, **sums) -> DataFrame:
     return (
-        rows.groupBy(F.window("ts", width).alias("w"), *keys)
+        rows.groupBy(window.alias("w"), *keys)
         .agg(*[column.alias(name) for name, column in sums.items()])
         .withColumn("window_start", F.col("w.start"))
         .withColumn("window_end", F.col("w.end"))
@@ -40,16 +43,10 @@ def sliding(rows: DataFrame, width: str, slide: str | None, *keys, **counts) ->
     buckets = (
         rows.groupBy(F.window("ts", slide).alias("w"), *keys)
         .agg(*[column.alias(name) for name, column in counts.items()])
-        .withColumn("ts", F.col("w.start"))
-        .drop("w")
-    )
-    return (
-        buckets.groupBy(F.window("ts", width, slide).alias("w"), *keys)
-        .agg(*[F.sum(name).alias(name) for name in counts])
-        .withColumn("window_start", F.col("w.start"))
-        .withColumn("window_end", F.col("w.end"))
+        .withColumn("ts", F.window_time("w"))
         .drop("w")
     )
+    return tumbling_of(buckets, F.window("ts", width, slide), *keys, **{name: F.sum(name) for name in counts})
 
 
 def seconds(width: str):
@@ -101,23 +98,50 @@ def duration_heatmap(logs: DataFrame, width: str = "1 minute") -> DataFrame:
     )
 
 
-def latency_quantiles(logs: DataFrame, width: str = "5 minutes", exact: bool = True):
+SKETCH_K = 800  # ranks are right within 0.5 % of a window's rows, with high probability
+
+
+def _points():
+    return F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))
+
+
+def latency_quantiles(
+    logs: DataFrame, width: str = "5 minutes", slide: str | None = None, exact: bool = False
+) -> DataFrame:
     """P50, P95 and P99 of durations per window.
 
-    Whole milliseconds below the request timeout take few distinct values, so the
-    exact percentile merges small value counts; ``exact=False`` uses the sketch.
+    Each bucket of one slide has a mergeable sketch of a few kilobytes, however many durations it
+    stands for, and windows merge the sketches of their buckets.  ``exact`` takes the percentile of
+    all values of a (tumbling) window instead, which keeps every distinct value in one state.
     """
-    points = F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))
-    function = F.percentile if exact else F.percentile_approx
-    return tumbling(
-        logs, width, q=function("duration_ms", points), n_requests=F.count("*")
-    ).select(
-        "window_start",
-        "n_requests",
-        *[F.col("q")[i].cast("double").alias(n) for i, n in enumerate(("p50", "p95", "p99"))],
+    names = ("p50", "p95", "p99")
+    if exact:
+        windows = tumbling(logs, width, q=F.percentile("duration_ms", _points()), n_requests=F.count("*"))
+    else:
+        windows = duration_sketches(logs, width, slide).withColumn("q", quantiles_of("sketch", _points()))
+    return windows.select(
+        "window_start", "n_requests", *[F.col("q")[i].cast("double").alias(n) for i, n in enumerate(names)]
+    )
+
+
+def duration_sketches(logs: DataFrame, width: str, slide: str | None = None) -> DataFrame:
+    """``window_start, window_end, n_requests, sketch`` of every window."""
+    sketch = F.kll_sketch_agg_bigint("duration_ms", SKETCH_K)
+    if slide is None or slide == width:
+        return tumbling(logs, width, n_requests=F.count("*"), sketch=sketch)
+    buckets = logs.groupBy(F.window("ts", slide).alias("w")).agg(F.count("*").alias("n"), sketch.alias("part"))
+    return tumbling_of(
+        buckets.withColumn("ts", F.window_time("w")).drop("w"), F.window("ts", width, slide),
+        n_requests=F.sum("n"), sketch=F.kll_merge_agg_bigint("part", SKETCH_K),
     )
 
 
+def quantiles_of(sketch: str, points):
+    """Values at the given ranks; null for a sketch of nothing."""
+    known = F.coalesce(F.kll_sketch_get_n_bigint(sketch), F.lit(0)) > 0
+    return F.when(known, F.kll_sketch_get_quantile_bigint(sketch, points))
+
+
 def request_rate(logs: DataFrame, width: str = "1 minute", slide: str | None = None):
     """Requests per minute: all, classify only, server errors."""
     counts = sliding(
@@ -212,9 +236,7 @@ def phishing_share(logs: DataFrame, width: str = "10 minutes", slide: str | None
 def calendar(windows: DataFrame, step: str, *keys) -> DataFrame:
     """Every ``step`` from the first to the last ``window_start``, of each key, empty ones included.
 
-    Takes windowed metrics, not rows; settle them first when they are read again.
-    Days are spread over the cluster before they are divided; ``step`` must divide
-    a day.
+    Days are spread over the cluster before they are divided; ``step`` must divide a day.
     """
     span = windows.groupBy(*keys).agg(F.min("window_start").alias("lo"), F.max("window_start").alias("hi"))
     one_day, one_step = F.expr("interval 1 day"), F.expr(f"interval {step}")
@@ -229,18 +251,19 @@ def calendar(windows: DataFrame, step: str, *keys) -> DataFrame:
     )
 
 
+def row_calendar(rows: DataFrame, step: str, *keys) -> DataFrame:
+    """``calendar`` from the rows themselves; reads their times and keys only."""
+    return calendar(rows.select(*keys, F.window("ts", step)["start"].alias("window_start")), step, *keys)
+
+
 def low_volume(logs: DataFrame, width: str = "10 minutes", per_minute: float = 5) -> DataFrame:
     """Windows with fewer classifications per minute than expected, empty ones too."""
-    counts = settled(tumbling(logs, width, n=F.count_if(classified())), "counts")
+    counts = tumbling(logs.filter(classified()), width, n=F.count("*")).select("window_start", "n")
     rate = F.coalesce("n", F.lit(0)) / (seconds(width) / 60)
     return (
-        calendar(counts, width)
-        .join(counts.select("window_start", "n"), "window_start", "left")
-        .select(
-            "window_start",
-            rate.alias("per_minute"),
-            (rate < per_minute).alias("breach"),
-        )
+        row_calendar(logs, width)
+        .join(counts, "window_start", "left")
+        .select("window_start", rate.alias("per_minute"), (rate < per_minute).alias("breach"))
     )
 
 
@@ -294,16 +317,24 @@ def auth_failures(
     )
 
 
-def dependency_health(logs: DataFrame, component: str = "reviewer", width: str = "5 minutes"):
-    """Request rate, error rate and P95 latency of one component, with breaches."""
+def dependency_health(
+    logs: DataFrame, component: str = "reviewer", width: str = "5 minutes", exact: bool = False
+) -> DataFrame:
+    """Request rate, error rate and P95 latency of one component, with breaches.
+
+    The latency comes from a sketch; ``exact`` keeps every distinct value instead.
+    """
     failed = is_5xx() | (F.col("level") == "ERROR")
+    p95 = F.percentile("duration_ms", 0.95) if exact else F.kll_sketch_agg_bigint("duration_ms", SKETCH_K)
     health = tumbling(
         logs.filter(F.col("component") == component),
         width,
         n_calls=F.count("*"),
         n_errors=F.count_if(failed),
-        p95_ms=F.percentile("duration_ms", 0.95),
+        p95_ms=p95,
     )
+    if not exact:
+        health = health.withColumn("p95_ms", quantiles_of("p95_ms", F.lit(0.95)).cast("double"))
     error_rate = F.col("n_errors") / seconds(width)
     return health.select(
         "window_start",

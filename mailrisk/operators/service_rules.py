@@ -7,18 +7,17 @@ the share of slower requests exceeding five percent.
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailrisk import rules
 from mailrisk.functions.verdict import canonical_label
 from mailrisk.operators import alerts, monitor
-from mailrisk.session import settled
 
 SLOW_SHARE = 0.05
 
 
-def _log_sums() -> dict:
+def log_sums() -> dict:
     classify = F.col("endpoint") == "/classify"
     reviewer = F.col("component") == "reviewer"
     failed = monitor.is_5xx()
@@ -37,7 +36,7 @@ def _log_sums() -> dict:
     }
 
 
-def _gauge_sums() -> dict:
+def gauge_sums() -> dict:
     def of(metric):
         return F.when(F.col("metric") == metric, F.col("value"))
 
@@ -54,85 +53,108 @@ def _gauge_sums() -> dict:
     }
 
 
-def _rate(count: str, width: str):
-    return F.col(count) / monitor.seconds(width)
+def _share(part, whole):
+    return monitor.percent(part, whole)
 
 
-def _share(part: str, whole: str):
-    return monitor.percent(F.col(part), F.col(whole))
+def _mean(total, n):
+    return F.when(n > 0, total / n)
 
 
-def _mean(total: str, n: str):
-    return F.when(F.col(n) > 0, F.col(total) / F.col(n))
+def seconds_of(rule: str) -> int:
+    """Width of a rule's window."""
+    return alerts.step_seconds(rules.ALERT_RULES[rule][0])
 
 
-def _log_conditions() -> dict:
-    """Condition of each log rule on the sums of its window."""
+def log_conditions() -> dict:
+    """Condition of each log rule, a function of ``of``, which gives a sum of the rule's window by name."""
+    slow = SLOW_SHARE * 100
 
-    def width(rule):
-        return rules.ALERT_RULES[rule][0]
+    def per_second(count, rule):
+        return lambda of: of(count) / seconds_of(rule)
+
+    def available(of):
+        return _share(of("n_all") - of("n_5xx"), of("n_all"))
 
-    slow = SLOW_SHARE * 100
-    good = F.col("n_all") - F.col("n_5xx")
-    per_minute = F.col("n_classified") / (monitor.seconds(width("low_volume")) / 60)
     return {
-        "high_latency": _share("n_classify_slow", "n_classify") > slow,
-        "low_availability": monitor.percent(good, F.col("n_all")) < rules.SLO_AVAILABILITY_PCT,
-        "high_error_rate": _share("n_5xx", "n_all") > 5,
-        "critical_error_rate": _share("n_5xx", "n_all") > 15,
-        "internal_errors": _rate("n_internal", width("internal_errors")) > 0.1,
-        "reviewer_errors": _rate("n_reviews_failed", width("reviewer_errors")) > 0.05,
-        "reviewer_latency": _share("n_reviews_slow", "n_reviews") > slow,
-        "auth_failures": _rate("n_auth", width("auth_failures")) > 1,
-        "possible_attack": _rate("n_auth", width("possible_attack")) > 10,
-        "low_volume": per_minute < 5,
-        "high_phishing_share": _share("n_phishing", "n_classified") > 25,
+        "high_latency": lambda of: _share(of("n_classify_slow"), of("n_classify")) > slow,
+        "low_availability": lambda of: available(of) < rules.SLO_AVAILABILITY_PCT,
+        "high_error_rate": lambda of: _share(of("n_5xx"), of("n_all")) > 5,
+        "critical_error_rate": lambda of: _share(of("n_5xx"), of("n_all")) > 15,
+        "internal_errors": lambda of: per_second("n_internal", "internal_errors")(of) > 0.1,
+        "reviewer_errors": lambda of: per_second("n_reviews_failed", "reviewer_errors")(of) > 0.05,
+        "reviewer_latency": lambda of: _share(of("n_reviews_slow"), of("n_reviews")) > slow,
+        "auth_failures": lambda of: per_second("n_auth", "auth_failures")(of) > 1,
+        "possible_attack": lambda of: per_second("n_auth", "possible_attack")(of) > 10,
+        "low_volume": lambda of: of("n_classified") / (seconds_of("low_volume") / 60) < 5,
+        "high_phishing_share": lambda of: _share(of("n_phishing"), of("n_classified")) > 25,
     }
 
 
-def _gauge_conditions() -> dict:
-    memory = _mean("used", "used_n") / _mean("limit", "limit_n") * 100
+def gauge_conditions() -> dict:
+    def memory(of):
+        return _mean(of("used"), of("used_n")) / _mean(of("limit"), of("limit_n")) * 100
+
     return {
-        "service_down": F.col("n_down") > 0,
-        "high_cpu": _mean("cpu_sum", "cpu_n") > 80,
-        "high_memory": memory > 85,
-        "frequent_restarts": F.col("n_restarts") > 3,
-        "failed_deployment": F.col("n_failed") > 0,
+        "service_down": lambda of: of("n_down") > 0,
+        "high_cpu": lambda of: _mean(of("cpu_sum"), of("cpu_n")) > 80,
+        "high_memory": lambda of: memory(of) > 85,
+        "frequent_restarts": lambda of: of("n_restarts") > 3,
+        "failed_deployment": lambda of: of("n_failed") > 0,
     }
 
 
-def _ticks(rows: DataFrame, sums: dict, conditions: dict, step: str, series) -> DataFrame:
-    """Rules of one table at every step of each series, each over the window that ends there.
+def _read_by(condition) -> set[str]:
+    """The sums that a condition looks at."""
+    names = set()
+
+    def of(name):
+        names.add(name)
+        return F.col(name)
 
-    The buckets are written once, since every width and the calendar read them.
+    condition(of)
+    return names
+
+
+def _judged(rows: DataFrame, sums: dict, conditions: dict, step: str, series) -> DataFrame:
+    """``series, day, ts, checks`` at every step of each series, each over the windows that end there.
+
+    Rows are aggregated once, to buckets of one step; empty steps come from a calendar, and every width is a frame
+    over the two together.  A day of a series is a task's work, with the buckets of the evening before.
     """
     named = rows.withColumn("series", series)
-    summed = monitor.tumbling(named, step, "series", **sums).withColumn("ts", F.col("window_start"))
-    buckets = settled(summed, "buckets")
-    times = monitor.calendar(buckets, step, "series")
-    by_width = {}
-    for rule in conditions:
-        by_width.setdefault(rules.ALERT_RULES[rule][0], []).append(rule)
-    parts = []
-    for width, names in by_width.items():
-        windows = monitor.sliding(buckets, width, step, "series", **{n: F.sum(n) for n in sums})
-        last_step = F.col("window_end") - F.expr(f"interval {step}")
-        ending = windows.withColumn("window_start", last_step).drop("window_end")
-        filled = times.join(ending, ["series", "window_start"], "left").fillna(0, list(sums))
-        checks = [
-            F.struct(
-                F.lit(rule).alias("rule"),
-                F.coalesce(conditions[rule], F.lit(False)).alias("breach"),
-            )
-            for rule in names
-        ]
-        parts.append(
-            filled.select(
-                "series", F.col("window_start").alias("ts"), F.explode(F.array(*checks)).alias("c")
-            )
+    buckets = monitor.tumbling(named, step, "series", **sums).select(
+        "series", F.col("window_start").cast("timestamp").alias("ts"), *[F.coalesce(n, F.lit(0)).alias(n) for n in sums], F.lit(False).alias("tick")
+    )
+    steps = monitor.row_calendar(named, step, "series").select(
+        "series", F.col("window_start").cast("timestamp").alias("ts"), *[F.lit(0).alias(n) for n in sums], F.lit(True).alias("tick")
+    )
+    every, widest = alerts.step_seconds(step), max(map(seconds_of, conditions))
+    later = F.col("ts") + F.expr(f"interval {widest - every} seconds")
+    days = F.array(F.date_trunc("day", "ts"), F.date_trunc("day", later))
+    rows = buckets.unionByName(steps).withColumn("at", F.unix_seconds("ts"))
+    rows = rows.withColumn("day", F.explode(F.when(F.col("tick"), F.slice(days, 1, 1)).otherwise(F.array_distinct(days))))
+    wanted = sorted({(seconds_of(rule), name) for rule, c in conditions.items() for name in _read_by(c)})
+
+    def over(width):
+        return Window.partitionBy("series", "day").orderBy("at").rangeBetween(-(width - every), 0)
+
+    summed = rows.select("series", "day", "ts", "tick", *[F.sum(n).over(over(w)).alias(f"{n}_{w}") for w, n in wanted])
+    checks = [
+        F.struct(
+            F.lit(rule).alias("rule"),
+            F.coalesce(condition(lambda name, w=seconds_of(rule): F.col(f"{name}_{w}")), F.lit(False)).alias("breach"),
         )
-    ticks = reduce(DataFrame.unionByName, parts)
-    return ticks.select("c.rule", "series", "ts", "c.breach")
+        for rule, condition in conditions.items()
+    ]
+    return summed.where("tick").select("series", "day", "ts", F.array(*checks).alias("checks"))
+
+
+def _tables(logs: DataFrame, gauges: DataFrame | None, step: str) -> list[DataFrame]:
+    judged = [_judged(logs, log_sums(), log_conditions(), step, F.lit("all"))]
+    if gauges is not None:
+        judged.append(_judged(gauges, gauge_sums(), gauge_conditions(), step, F.col("instance")))
+    return judged
 
 
 def service_ticks(
@@ -140,28 +162,38 @@ def service_ticks(
 ) -> DataFrame:
     """``rule, series, ts, breach`` of all rules; a tick closes at ``ts + step``.
 
-    Widths are multiples of ``step``.  Gauge rules need the gauge table and are judged for
+    Widths are multiples of ``step``, and at most a day.  Gauge rules need the gauge table and are judged for
     each instance, the others over all log rows.
     """
-    ticks = _ticks(logs, _log_sums(), _log_conditions(), step, F.lit("all"))
-    if gauges is None:
-        return ticks
-    return ticks.unionByName(_ticks(gauges, _gauge_sums(), _gauge_conditions(), step, F.col("instance")))
+    parts = [judged.select("series", "ts", F.explode("checks").alias("c")) for judged in _tables(logs, gauges, step)]
+    return reduce(DataFrame.unionByName, parts).select("c.rule", "series", "ts", "c.breach")
 
 
 def service_alerts(
     logs: DataFrame, gauges: DataFrame | None = None, step: str = "1 minute"
 ) -> DataFrame:
-    """Alerts that fired, with severity, after their rule's hold time."""
-    ticks = settled(service_ticks(logs, gauges, step), "ticks")
-    holds = {rule: _minutes(hold) * 60 for rule, (_, hold, _) in rules.ALERT_RULES.items()}
-    severity = F.create_map(
-        *[F.lit(part) for rule, (_, _, level) in rules.ALERT_RULES.items() for part in (rule, level)]
-    )
-    fired = alerts.sustained_alert(ticks, holds, step)
-    return fired.withColumn("severity", severity[F.col("rule")])
+    """Alerts that fired, with severity, after their rule's hold time.
+
+    A tick's checks are compared with those before it where they are made, so only changes leave a day.
+    """
+    by_day = Window.partitionBy("series", "day").orderBy("ts")
+    parts = []
+    for judged in _tables(logs, gauges, step):
+        before, after = F.lag("checks").over(by_day), F.lead("checks").over(by_day)
+        changed = F.filter(
+            F.arrays_zip(F.col("checks").alias("now"), F.col("before").alias("before")),
+            lambda c: F.col("edge") | (c["now"]["breach"] != c["before"]["breach"]),
+        )
+        marked = judged.withColumns({"edge": before.isNull() | after.isNull(), "before": F.coalesce(before, F.col("checks"))})
+        parts.append(marked.select("series", "ts", F.explode(changed).alias("c")).select("c.now.rule", "series", "ts", "c.now.breach"))
+    fired = alerts.fired_alerts(reduce(DataFrame.unionByName, parts), rule_holds(), step)
+    return fired.withColumn("severity", severity(F.col("rule")))
+
+
+def rule_holds() -> dict[str, int]:
+    return {rule: alerts.step_seconds(hold) for rule, (_, hold, _) in rules.ALERT_RULES.items()}
 
 
-def _minutes(hold: str) -> int:
-    number, unit = hold.split()
-    return int(number) * (60 if unit.startswith("hour") else 1)
+def severity(rule):
+    levels = [F.lit(part) for name, (_, _, level) in rules.ALERT_RULES.items() for part in (name, level)]
+    return F.create_map(*levels)[rule]

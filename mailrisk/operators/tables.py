@@ -7,6 +7,7 @@ from mailrisk import rules
 from mailrisk.functions import headers as H
 from mailrisk.functions.attachments import attachment_points
 from mailrisk.functions.redact import redaction_entries
+from mailrisk.operators.domains import lookup
 
 
 def redaction_ledger(
@@ -27,22 +28,28 @@ def received_hops(messages: DataFrame, headers: str = "raw_headers") -> DataFram
     return hops.withColumn("anomalies", H.hop_anomalies(F.col("received")))
 
 
-def sender_brands(messages: DataFrame, brands: DataFrame | None = None) -> DataFrame:
-    """Per sender domain and brand: does the brand send from that domain?
-
-    Suffix matches become equality joins: a domain is expanded into its own
-    suffixes, so a brand table of any size can be joined on its domain.
-    Distinct domains are judged once, then counted with their messages.
-    """
+def sender_domains(messages: DataFrame) -> DataFrame:
+    """Distinct sender domains with their numbers of messages."""
     sender = F.lower(
         F.substring_index(H.mailbox(H.header_fields(F.col("raw_headers"))["from_field"])["address"], "@", -1)
     )
-    domains = (
+    return (
         messages.select(sender.alias("domain"))
         .filter(F.col("domain") != "")
         .groupBy("domain")
         .agg(F.count("*").alias("n_messages"))
     )
+
+
+def sender_brands(messages: DataFrame, brands: DataFrame | None = None, lengths: list[int] | None = None) -> DataFrame:
+    """Per sender domain and brand: does the brand send from that domain?
+
+    Without a table every domain meets each of the few built-in brands.  With ``brands`` (``brand, domain``), of
+    any size, only legitimate pairs come out: a domain's ends are taken in the lengths that the table's
+    domains have (``lengths``, else read from it; names have 253 characters at most) and joined by equality, an end
+    that many domains share over several tasks.
+    """
+    domains = sender_domains(messages)
     if brands is None:
         brand = F.explode(H.brand_table()).alias("brand", "domains")
         return domains.select("*", brand).select(
@@ -51,15 +58,14 @@ def sender_brands(messages: DataFrame, brands: DataFrame | None = None) -> DataF
             "brand",
             F.exists("domains", lambda d: F.col("domain").endswith(d)).alias("legitimate"),
         )
-    suffix = F.explode(
-        F.transform(
-            F.sequence(F.lit(1), F.length("domain")),
-            lambda i: F.substring(F.col("domain"), i, F.length("domain")),
-        )
-    )
+    known = brands.select(F.col("domain").alias("suffix"), "brand").where(F.col("suffix") != "").distinct()
+    if lengths is None:
+        lengths = sorted(r.n for r in known.select(F.length("suffix").alias("n")).distinct().collect())
+    ends = [F.when(F.length("domain") >= n, F.right("domain", F.lit(n))) for n in lengths]
+    none = F.array().cast("array<string>")
+    tried = domains.select("*", F.explode(F.concat(none, F.array_compact(F.array(*ends))) if ends else none).alias("suffix"))
     return (
-        domains.select("*", suffix.alias("suffix"))
-        .join(brands.select(F.col("domain").alias("suffix"), "brand"), "suffix")
+        lookup(tried, known, "suffix", ["domain"], how="inner")
         .select("domain", "n_messages", "brand", F.lit(True).alias("legitimate"))
         .distinct()
     )

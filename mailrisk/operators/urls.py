@@ -3,11 +3,10 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailrisk import rules
 from mailrisk.functions import urls as U
 from mailrisk.functions.common import computed_once, let
-
-LOOKUP_SALTS = 8
+from mailrisk.operators.domains import domain_dimension, lookup, registered_domains
+from mailrisk.session import settled
 
 
 def message_urls(messages: DataFrame, limit: int | None = None) -> DataFrame:
@@ -20,20 +19,6 @@ def message_urls(messages: DataFrame, limit: int | None = None) -> DataFrame:
     )
 
 
-def lookup(facts: DataFrame, dimension: DataFrame, key: str, spread_by: list[str]):
-    """Left join facts to a dimension with one row per key, safe for hot keys.
-
-    A dimension Spark knows to be small is broadcast.  Otherwise the rows of a
-    key are spread over several partitions by the ``spread_by`` columns and the
-    dimension row is copied to each, so a key that holds a third of all rows is
-    not one task's work.
-    """
-    salts = F.sequence(F.lit(0), F.lit(LOOKUP_SALTS - 1))
-    copies = dimension.withColumn("salt", F.explode(salts))
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(LOOKUP_SALTS)).cast("int")
-    return facts.withColumn("salt", salt).join(copies, [key, "salt"], "left").drop("salt")
-
-
 def domain_intel(urls: DataFrame, intel: DataFrame, as_of) -> DataFrame:
     """Attach what is known about a URL's domain, and its age on ``as_of``.
 
@@ -96,80 +81,45 @@ def url_score(findings: DataFrame) -> DataFrame:
     )
 
 
-def analysed_urls(rows: DataFrame, intel: DataFrame, as_of) -> DataFrame:
-    """Replace ``urls`` by ``analysed`` as ``functions.urls.analyse_urls``, with lookups.
+def analysed_urls(
+    rows: DataFrame, intel: DataFrame | None = None, as_of=None, suffixes: DataFrame | None = None, brands: DataFrame | None = None
+) -> DataFrame:
+    """Replace ``urls`` by ``analysed`` as ``functions.urls.analyse_urls``, with lookups by domain.
 
-    URLs are exploded, joined and regrouped by ``message_id``, at most ten each.
-    The other columns travel with a message's first URL only, so rows are read,
-    and everything before this step is computed, once.
+    Rows must be free of bodies: they are written once, with a number each, to the shared folder.  Only thin
+    ``(row, pos, domain)`` facts travel; distinct domains are looked up once, and each row gets the
+    answers to its URLs as one array.  Rows are told apart by their number, so equal message ids stay apart.
     """
-    others = [c for c in rows.columns if c not in ("message_id", "urls")]
-    exploded = rows.select(
-        "message_id",
-        F.struct(*others).alias("others"),
-        F.posexplode_outer("urls").alias("pos", "url"),
-    )
-    carried = exploded.withColumn(
-        "others", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("others"))
+    numbered = settled(rows.withColumn("row_id", F.monotonically_increasing_id()), "features")
+    located = numbered.select("row_id", F.posexplode("urls").alias("pos", "url")).select(
+        "row_id", "pos", U.url_domain(F.col("url")).alias("domain")
     )
-    judged = F.struct("pos", F.struct("finding", "metadata").alias("row"))
-    found = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), judged)))
-    return (
-        url_analysis(carried, intel, as_of)
-        .groupBy("message_id")
-        .agg(
-            F.first("others", ignorenulls=True).alias("others"),
-            F.transform(found, lambda s: s["row"]).alias("analysed"),
-        )
-        .select("message_id", "others.*", "analysed")
+    dimension = domain_dimension(located.select("domain"), intel, as_of, suffixes, brands)
+    if intel is None:
+        dimension = dimension.withColumns({"intel": F.lit(None).cast("struct<redirects:int>"), "age_days": F.lit(None).cast("int")})
+    known = F.struct("pos", "similarity", "intel", "age_days")
+    answers = lookup(located, dimension, "domain", ["row_id", "pos"]).groupBy("row_id").agg(
+        F.array_sort(F.collect_list(known)).alias("known")
     )
 
+    def judged(url, answer):
+        def found(facts):
+            reasons = U.url_reasons(facts, answer["intel"]["redirects"], answer["age_days"])
+            metadata = U.url_metadata(facts, answer["intel"] if intel is not None else None, answer["age_days"])
+            return F.struct(let(reasons, lambda r: U.url_finding(facts, r)).alias("finding"), metadata.alias("metadata"))
 
-def registered_domain(
-    rows: DataFrame, suffixes: DataFrame, key: str = "domain", row_id: tuple[str, ...] = ()
-) -> DataFrame:
-    """Registrable domain by a public-suffix table (column ``suffix``).
+        return let(U.url_facts(url, similarity=answer["similarity"]), found)
+
+    without = F.array().cast(answers.schema["known"].dataType)
+    joined = numbered.join(answers, "row_id", "left").withColumn("known", F.coalesce("known", without))
+    return joined.withColumn("analysed", F.zip_with("urls", "known", judged)).drop("row_id", "known", "urls")
+
+
+def registered_domain(rows: DataFrame, suffixes: DataFrame, key: str = "domain", row_id: tuple[str, ...] = ()) -> DataFrame:
+    """Add the registrable domain by a public-suffix table, see ``domains.registered_domains``.
 
-    Plain, wildcard (``*.x``) and exception (``!a.x``) rules are supported; the
-    longest wins and an unknown suffix is one label.  Distinct domains are looked
-    up by equality on their candidate suffixes and the answer is joined back;
     ``row_id`` names columns that tell the rows of one domain apart.
     """
-    domains = rows.select(key).filter(F.col(key).isNotNull()).distinct()
-    labels = F.split(F.ltrim(F.col(key), F.lit(".")), r"\.")
-
-    def tail(parts, k):
-        return F.array_join(F.slice(parts, F.size(parts) - k + 1, k), ".")
-
-    # per suffix length k: the rule texts that could match, with the number of
-    # labels the suffix has when that rule applies
-    def rules_for(parts, k):
-        return F.array(
-            F.struct(tail(parts, k).alias("suffix"), k.alias("n")),
-            F.struct(F.concat(F.lit("*."), tail(parts, k - 1)).alias("suffix"), k.alias("n")),
-            F.struct(F.concat(F.lit("!"), tail(parts, k)).alias("suffix"), (k - 1).alias("n")),
-        )
-
-    candidates = let(
-        labels,
-        lambda parts: F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.size(parts)), lambda k: rules_for(parts, k)
-            )
-        ),
-    )
-    matched = (
-        domains.select(key, F.explode(candidates).alias("c"))
-        .select(key, "c.suffix", "c.n")
-        .join(suffixes.select("suffix").distinct(), "suffix", "left_semi")
-        .groupBy(key)
-        .agg(
-            F.coalesce(
-                F.max(F.when(F.col("suffix").startswith("!"), F.col("n"))), F.max("n")
-            ).alias("n")
-        )
-    )
-    size = F.least(F.coalesce("n", F.lit(1)) + 1, F.size(labels))
-    return lookup(rows, matched, key, list(row_id or rows.columns)).withColumn(
-        "registered_domain", tail(labels, size)
-    ).drop("n")
+    distinct = rows.select(F.col(key).alias("domain")).filter(F.col("domain").isNotNull()).distinct()
+    found = registered_domains(distinct, suffixes).select(F.col("domain").alias(key), F.col("registered").alias("registered_domain"))
+    return lookup(rows, found, key, list(row_id or rows.columns))

@@ -9,6 +9,8 @@ from mailrisk.functions.verdict import file_class_verdict, four_class_verdict
 
 # What the interactive service shows a reviewer of a mail and of a mail file.
 MAIL_CHARS, FILE_CHARS = 1500, 1200
+# labels from harmless to grave
+GRAVITY = ["safe", "spam", "suspicious", "phishing"]
 
 
 def review_requests(mails: DataFrame, max_chars: int | None = None) -> DataFrame:
@@ -31,14 +33,16 @@ def review_requests(mails: DataFrame, max_chars: int | None = None) -> DataFrame
 def judge(mails: DataFrame, reviews: DataFrame, files: bool = False) -> DataFrame:
     """Verdict of every mail from its review (``message_id, response``).
 
-    A mail without a review is an error with a middle score.  ``files`` uses the
-    rules for mail files.
+    A mail without a review is an error with a middle score.  Of several reviews the one with the gravest
+    label counts, of equal labels the highest score.  ``files`` uses the rules for mail files.
     """
     reads = file_class_verdict if files else four_class_verdict
-    one_each = reviews.groupBy("message_id").agg(F.max("response").alias("analysis"))
-    judged = mails.join(one_each, "message_id", "left").withColumn(
-        "v", F.when(F.col("analysis").isNotNull(), reads(F.col("analysis")))
+    read = reviews.where(F.col("response").isNotNull()).select(
+        "message_id", F.col("response").alias("analysis"), reads(F.col("response")).alias("v")
     )
+    rank = F.struct(F.array_position(strings(GRAVITY), F.col("v.label")), "v.risk_score", "analysis")
+    one_each = read.groupBy("message_id").agg(F.max_by(F.struct("analysis", "v"), rank).alias("told")).select("message_id", "told.*")
+    judged = mails.join(one_each, "message_id", "left")
     details = F.create_map(
         F.lit("sender"), F.col("sender"),
         F.lit("subject"), F.col("subject"),

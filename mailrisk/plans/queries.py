@@ -17,6 +17,7 @@ from mailrisk.functions import verdict as V
 from mailrisk.functions.attachments import attachment_score
 from mailrisk.functions.common import let, strings
 from mailrisk.operators import alerts, evaluate, monitor, service_rules, tables, urls
+from mailrisk.operators.alerts import step_seconds
 from mailrisk.operators.fuse import (
     apply_policy,
     combine_review,
@@ -28,7 +29,7 @@ from mailrisk.operators.validate import check_verdict, fill_defaults, require_co
 from mailrisk.plans import four_class
 from mailrisk.plans.classify import classify
 from mailrisk.plans.views import gauge_view, log_view, mail_of, mail_view, table
-from mailrisk.session import settled, shared_dir
+from mailrisk.session import settled, shared_dir, stateful
 from mailrisk.sources.cases import case_messages, read_cases
 from mailrisk.sources.eml import parse_eml
 from mailrisk.sources.logs import read_logs, split_logs
@@ -799,7 +800,7 @@ def reviewer_answers(spark, sf_dir):
     return score_with_reviewer(requests, stub_reviewer)
 
 
-def review_texts(rows: DataFrame) -> DataFrame:
+def review_texts(rows: DataFrame, *more: str) -> DataFrame:
     """Reviewer answers in all shapes: valid, bad label, float score, no JSON, long."""
     def answer(label, score):
         return F.concat(
@@ -824,7 +825,7 @@ def review_texts(rows: DataFrame) -> DataFrame:
         .when(case == 5, answer("seguro", score + 101))
         .otherwise("I cannot tell")
     )
-    return rows.select("message_id", response.alias("response"))
+    return rows.select("message_id", *more, response.alias("response"))
 
 
 @query
@@ -1065,7 +1066,7 @@ def log_query(name, operator, *columns, **options):
 log_query("request_counts", monitor.request_counts)
 log_query("duration_histogram", monitor.duration_histogram)
 log_query("duration_heatmap", monitor.duration_heatmap, width="6 hours")
-log_query("latency_quantiles", monitor.latency_quantiles, width="1 hour")
+log_query("latency_quantiles", monitor.latency_quantiles, width="1 hour", exact=True)
 log_query("request_rate", monitor.request_rate, width="1 hour")
 log_query("request_rate_minute", monitor.request_rate)
 log_query("availability", monitor.availability, width="6 hours", slide="1 hour")
@@ -1077,7 +1078,7 @@ log_query("low_volume", monitor.low_volume, width="10 minutes", per_minute=0.2)
 log_query("error_types", monitor.error_types, width="6 hours")
 log_query("security_events", monitor.security_events)
 log_query("auth_failures", monitor.auth_failures, width="6 hours", slide="1 hour", per_second=0.0002)
-log_query("dependency_health", monitor.dependency_health, width="6 hours")
+log_query("dependency_health", monitor.dependency_health, width="6 hours", exact=True)
 log_query("monthly_slo", monitor.monthly_slo)
 log_query("risk_level_metric", monitor.risk_level_metric)
 log_query("top_sources", monitor.top_sources)
@@ -1164,7 +1165,10 @@ def failed_requests(spark, sf_dir):
 
 # --- evaluation --------------------------------------------------------------
 def results(spark, sf_dir):
-    """Labels as cases: a document whose mail was rejected has no verdict and fails."""
+    """Labels as cases: a document whose mail was rejected has no verdict and fails.
+
+    The log row of the same number says how long the request took.
+    """
     toxic = F.col("toxic") == 1
     expected = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("name"),
@@ -1172,9 +1176,10 @@ def results(spark, sf_dir):
         F.when(toxic, "phishing").otherwise("seguro").alias("expected_label"),
         F.when(toxic, 70).otherwise(20).alias("expected_score"),
     )
+    measured = log_view(spark, sf_dir).select(F.col("event_id").alias("name"), F.col("duration_ms").alias("latency_ms"))
     actual = classify(mail_view(spark, sf_dir)).select(
-        F.col("message_id").alias("name"), "label", "risk_score", "latency_ms"
-    )
+        F.col("message_id").alias("name"), "label", "risk_score"
+    ).join(measured, "name", "left")
     return evaluate.case_result(expected, actual)
 
 
@@ -1222,13 +1227,12 @@ def threshold_sweep(spark, sf_dir):
 
 # --- streaming ---------------------------------------------------------------
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the provided tables as a file stream."""
+    """One of the provided tables, a file or a folder of files, as a file stream.
+
+    Streams read folders only, but a pattern may stand for either.
+    """
     schema = table(spark, sf_dir, name).schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .parquet(sf_dir)
-    )
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def drained(stream: DataFrame, purpose: str) -> DataFrame:
@@ -1285,10 +1289,10 @@ def alerts_stream_rows(spark, sf_dir):
         ),
     )
     ticks = counts.select(
-        F.lit("all").alias("series"), F.col("window_start").alias("ts"),
+        F.lit("all").alias("series"), F.col("window_start").alias("ts"), F.col("window_end").alias("closes"),
         F.explode(rule_rows).alias("c"),
-    ).select("c.rule", "series", "ts", "c.breach")
+    ).select("c.rule", "series", "ts", "c.breach", "closes")
     ticks.write.parquet(path)
-    stream = spark.readStream.schema(ticks.schema).parquet(path)
-    changes = drained(alerts_stream(stream, ALERT_HOLDS), "alert-stream")
+    stream = stateful(spark).readStream.schema(ticks.schema).parquet(path).withWatermark("closes", "0 seconds")
+    changes = drained(alerts_stream(stream, ALERT_HOLDS, step_seconds(ALERT_STEP)), "alert-stream")
     return changes.select("rule", time_text("ts"), "state", time_text("since"))

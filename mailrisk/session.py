@@ -44,6 +44,16 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+# State with timers and typed values needs this store.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stateful(spark: SparkSession) -> SparkSession:
+    """Let streams that start from now on keep their state in the store that ``transformWithState`` needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return spark
+
+
 def settled(rows: DataFrame, purpose: str) -> DataFrame:
     """Write a small intermediate result to the shared folder and go on from there.
 

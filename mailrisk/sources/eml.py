@@ -115,12 +115,20 @@ def parse_eml(
     )
 
 
-def read_eml(spark: SparkSession, path: str, **limits) -> DataFrame:
-    """All ``*.eml`` files below ``path``, one row per file; empty files have none.  ``limits`` as in `parse_eml`."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.eml")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-    )
-    return parse_eml(files.select("path", "content"), **limits)
+def _mail_files(reader, path: str, pattern: str) -> DataFrame:
+    files = reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    return files.load(path).select("path", "content")
+
+
+def read_eml(spark: SparkSession, path: str, pattern: str = "*.eml", **limits) -> DataFrame:
+    """All mail files below ``path``, one row per file; empty files have none.  ``limits`` as in `parse_eml`."""
+    return parse_eml(_mail_files(spark.read.format("binaryFile"), path, pattern), **limits)
+
+
+def stream_eml(spark: SparkSession, path: str, pattern: str = "*.eml", **limits) -> DataFrame:
+    """`read_eml` of files as they arrive."""
+    files = spark.readStream.schema(BINARY_FILE).format("binaryFile")
+    return parse_eml(_mail_files(files, path, pattern), **limits)
+
+
+BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"

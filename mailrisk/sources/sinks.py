@@ -17,6 +17,21 @@ def write_verdicts(
     verdicts.write.mode(mode).partitionBy("label").format(fmt).save(path)
 
 
+def answer_sink(path: str):
+    """A ``foreachBatch`` function that keeps what was answered apart from what was rejected.
+
+    One pass writes both branches below a folder of the batch's number, replacing what an earlier try
+    of that batch has left, so a batch that is run again changes nothing.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rejected = F.col("status") == "invalid_request"
+        branch = F.when(rejected, "rejected").otherwise("answered")
+        batch.withColumn("branch", branch).write.mode("overwrite").partitionBy("branch").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
 def export_metrics(logs: DataFrame) -> DataFrame:
     """Counters and the duration histogram as ``metric, labels, value`` rows.
 
