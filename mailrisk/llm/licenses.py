@@ -1,5 +1,7 @@
-"""Licences of files: TF-IDF cosine of lines to templates, then the nearest directory's licence file.
+"""Licences of files: TF-IDF cosine of header blocks and licence files to templates, then the nearest directory's licence file.
 
+What is compared are runs of neighbouring lines as they stand in headers, sentences, single lines, whole files, and
+stretches of a template's length around its longest word, so neither wrapping nor what surrounds a notice hides it.
 DataFrame functions only.
 """
 
@@ -41,13 +43,118 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+# Heads, paragraphs and whole short texts of common licences, as published.
+_AS_IS = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,'
+    " FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER"
+    " LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN"
+    " THE SOFTWARE."
+)
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal"
+    " in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"
+    " copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright"
+    " notice and this permission notice appear in all copies."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    " 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation"
+    " and/or other materials provided with the distribution."
+)
+_BSD_THIRD = (
+    " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"
+    " without specific prior written permission."
+)
+_APACHE = (
+    "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+    " Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES"
+    " OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+)
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free"
+    " Software Foundation, either version 3 of the License, or (at your option) any later version."
+)
+TEXTS = [
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("AGPL-3.0", _GNU.format("Affero ")),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); ' + _APACHE),
+    ("BSD-2-Clause", "BSD 2-Clause License " + _BSD),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License " + _BSD + _BSD_THIRD),
+    ("BSD-3-Clause", _BSD_THIRD.strip()),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", _GNU.format("")),
+    ("ISC", "ISC License"),
+    ("ISC", _ISC),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", _GNU.format("Lesser ")),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", _MIT),
+    ("MIT", "MIT License " + _MIT + " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _AS_IS),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can"
+        " obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this"
+        " software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+]
+
+# How a text is cut: lines, blocks between lines without a letter or digit, and sentences within blocks.
+_GAP = r"\n[^A-Za-z0-9\n]*\n"
+CUTS = ("\n", _GAP, rf"[.!?;:][ \t\r\n]+|{_GAP}")
+
+
+def split_words(text: str) -> list[str]:
+    return [w for w in re.split(WORDS, text.lower()) if w]
+
 
 def bags(templates=None) -> list[tuple[str, Counter]]:
-    return [(name, Counter(w for w in re.split(WORDS, text.lower()) if w)) for name, text in (templates or TEMPLATES)]
+    return [(name, Counter(split_words(text))) for name, text in (templates or [*TEMPLATES, *TEXTS])]
+
+
+def pivots(templates=None) -> list[tuple[str, int, int]]:
+    """``(word, words before it, words of the template)`` of every template's longest word, the first of equals."""
+    found = set()
+    for _, text in templates or [*TEMPLATES, *TEXTS]:
+        words = split_words(text)
+        longest = max(words, key=len)
+        found.add((longest, words.index(longest), len(words)))
+    return sorted(found)
+
 
+def text_words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), WORDS), lambda w: w != "")
 
-def line_words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), WORDS), lambda w: w != "")
+
+def units(text: Column, words: Column, templates=None) -> Column:
+    """The word lists of a text that are compared, each once: its lines, blocks, sentences, stretches and the whole.
+
+    A stretch has as many words as a template and stands so that the template's longest word is in its place.
+    """
+    by_word = {}
+    for word, before, n in pivots(templates):
+        by_word.setdefault(word, []).append(F.struct(F.lit(before).alias("before"), F.lit(n).alias("n")))
+    table = F.create_map(*[x for word, specs in by_word.items() for x in (F.lit(word), F.array(*specs))])
+    places = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda p: p["w"].isin(list(by_word)))
+    stretches = F.flatten(
+        F.transform(
+            places,
+            lambda p: F.transform(F.try_element_at(table, p["w"]), lambda s: F.slice(words, F.greatest(p["i"] - s["before"], F.lit(0)) + 1, s["n"])),
+        )
+    )
+    pieces = F.concat(*[F.split(text, cut) for cut in CUTS])
+    return F.array_distinct(F.concat(F.transform(pieces, text_words), F.array(words), stretches))
 
 
 def inverse_frequency(lines: int, df: int) -> float:
@@ -73,43 +180,50 @@ def anchors(templates: list[tuple[str, Counter]], idf: dict[str, float], least:
 
 
 def own_licences(files: DataFrame, least: float = LEAST, templates=None) -> DataFrame:
-    """``file_id, text_hash, licence, score``: files that have a line near to a template.
+    """``file_id, text_hash, licence, score``: files with a part near to a template.
 
-    Every line of every whole text is compared.  A word weighs its count in the line times ``ln((1 + lines) / (1 +
-    lines with it)) + 1`` over all lines of the table; words that no template has weigh as if no line had them.  The best
-    cosine wins, ties go to the first licence by name.  Equal (file_id, text) rows are one.
+    A word weighs its count in the part times ``ln((1 + lines) / (1 + lines with it)) + 1`` over all lines of the
+    table; words that no template has weigh as if no line had them.  The parts of every text that has one of the words
+    without which nothing comes near (`anchors`) are compared, see `units`.  The best cosine wins, ties go to the
+    first licence by name.  Equal (file_id, text) rows are one; null ids count like others; null and empty texts have
+    no licence; an empty table gives no rows.
     """
     known = bags(templates)
     vocabulary = sorted({w for _, bag in known for w in bag})
     spark = files.sparkSession
-    lines = files.where(F.col("text").isNotNull()).select("file_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("nth", "line"))
-    worded = lines.select("file_id", "text_hash", "nth", line_words(F.col("line")).alias("words"))
+    texts = files.where(F.col("text").isNotNull()).select("file_id", "text")
     listed = F.array(*map(F.lit, vocabulary))
     # null stands for the line itself, so one pass counts lines and words
-    marks = F.concat(F.array_intersect("words", listed), F.array(F.lit(None).cast("string")))
-    counted = {r["word"]: r["count"] for r in worded.select(F.explode(marks).alias("word")).groupBy("word").count().collect()}
+    marks = F.transform(
+        F.split("text", "\n"), lambda line: F.concat(F.array_intersect(text_words(line), listed), F.array(F.lit(None).cast("string")))
+    )
+    counted = {r["word"]: r["count"] for r in texts.select(F.explode(F.flatten(marks)).alias("word")).groupBy("word").count().collect()}
     total = counted.get(None, 0)
     idf = {w: inverse_frequency(total, counted.get(w, 0)) for w in vocabulary}
     rare = inverse_frequency(total, 0)
     needed = F.array(*map(F.lit, sorted(anchors(known, idf, least))))
-    candidates = worded.where(F.arrays_overlap("words", needed)).dropDuplicates(["file_id", "text_hash", "nth"])
-    line = ["file_id", "text_hash", "nth"]
-    terms = candidates.select(*line, F.explode("words").alias("word")).groupBy(*line, "word").agg(F.count("*").alias("tf"))
+
+    marked = texts.select("file_id", F.xxhash64("text").alias("text_hash"), "text", text_words(F.col("text")).alias("words"))
+    marked = marked.where(F.arrays_overlap("words", needed))
+    parted = marked.select("file_id", "text_hash", F.posexplode(units(F.col("text"), F.col("words"), templates)).alias("nth", "words"))
+    part = ["file_id", "text_hash", "nth"]
+    candidates = parted.where(F.arrays_overlap("words", needed)).dropDuplicates(part)
+    terms = candidates.select(*part, F.explode("words").alias("word")).groupBy(*part, "word").agg(F.count("*").alias("tf"))
     weights = spark.createDataFrame(sorted(idf.items()), "word string, idf double")
     terms = settled(
-        terms.join(weights, "word", "left").select(*line, "word", (F.col("tf") * F.coalesce("idf", F.lit(rare))).alias("weight")), "licence-terms"
+        terms.join(weights, "word", "left").select(*part, "word", (F.col("tf") * F.coalesce("idf", F.lit(rare))).alias("weight")), "licence-terms"
     )
     rows = []
     for number, (name, bag) in enumerate(known):
         norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in bag.items()))
         rows += [(number, name, w, n * idf[w] / norm) for w, n in sorted(bag.items())]
     shares = spark.createDataFrame(rows, "number int, licence string, word string, share double")
-    norms = terms.groupBy(*line).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    dots = terms.join(shares, "word").groupBy(*line, "number", "licence").agg(F.sum(F.col("weight") * F.col("share")).alias("dot"))
-    scored = matched(dots, norms, *line).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= least)
-    best = scored.groupBy("file_id", "text_hash").agg(F.max("score").alias("score"))
-    top = matched(scored.select("file_id", "text_hash", "licence", F.col("score").alias("own")), best, "file_id", "text_hash").where("own = score")
-    return top.groupBy("file_id", "text_hash").agg(F.min("licence").alias("licence"), F.max("score").alias("score"))
+    norms = terms.groupBy(*part).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    dots = terms.join(shares, "word").groupBy(*part, "number", "licence").agg(F.sum(F.col("weight") * F.col("share")).alias("dot"))
+    scored = matched(dots, norms, *part).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= least)
+    # the best part of a file, then the first licence by name
+    best = scored.groupBy("file_id", "text_hash").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("best"))
+    return best.select("file_id", "text_hash", "best.licence", (-F.col("best.minus")).alias("score"))
 
 
 def directory(path: Column) -> Column:
@@ -154,15 +268,24 @@ def scan(files: DataFrame, least: float = LEAST, templates=None, licence_file: s
 
 
 def document_paths(docs: DataFrame) -> DataFrame:
-    """Documents as files: a directory for each hundred ids of a source, whose first document is its licence file.
+    """Documents as files of a tree: four files to a directory, four directories to the next, below their source's.
 
-    The table has no paths.  Every ten-thousandth document is the licence file of its source's directory.
+    The table has no paths.  The first file of every directory is its licence file; that of a directory's first
+    directory stands one level higher, and so on, so a quarter of all documents are licence files, at four depths.
     """
     own = F.col("doc_id")
     source = F.coalesce("source", F.lit("none"))
+
+    def below(*parts):
+        return F.concat_ws("/", source, *[p.cast("string") for p in parts])
+
+    top, middle, low = (F.floor(own / n) for n in (64, 16, 4))
+    licence = F.lit("LICENSE")
     name = (
-        F.when(own % 10_000 == 0, F.concat(source, F.lit("/LICENSE")))
-        .when(own % 100 == 0, F.concat(source, F.lit("/"), F.floor(own / 100), F.lit("/LICENSE")))
-        .otherwise(F.concat(source, F.lit("/"), F.floor(own / 100), F.lit("/"), own, F.lit(".txt")))
+        F.when(own % 256 == 0, below(licence))
+        .when(own % 64 == 0, below(top, licence))
+        .when(own % 16 == 0, below(top, middle, licence))
+        .when(own % 4 == 0, below(top, middle, low, licence))
+        .otherwise(below(top, middle, low, F.concat(own, F.lit(".txt"))))
     )
     return docs.select(own.alias("file_id"), name.alias("path"), "text")

@@ -41,26 +41,44 @@ _TEMPLATES = ", ".join(
     for word, count in sorted(bag.items())
 )
 
+_PIVOTS = ", ".join(f"('{word}', {before}, {n})" for word, before, n in licenses.pivots())
+
+
+def _words(text: str) -> str:
+    return f"list_filter(string_split_regex(lower({text}), '{licenses.WORDS}'), lambda w: w <> '')"
+
+
 LICENCES = f"""
 with template(number, licence, word, n) as (values {_TEMPLATES}),
+longest(word, before, n) as (values {_PIVOTS}),
 vocabulary as (select distinct word from template),
 files as (
-  select doc_id as file_id, text, case
-    when doc_id % 10000 = 0 then coalesce(source, 'none') || '/LICENSE'
-    when doc_id % 100 = 0 then coalesce(source, 'none') || '/' || (doc_id // 100) || '/LICENSE'
-    else coalesce(source, 'none') || '/' || (doc_id // 100) || '/' || doc_id || '.txt' end as path
+  select doc_id as file_id, text, coalesce(source, 'none') || case
+    when doc_id % 256 = 0 then '/LICENSE'
+    when doc_id % 64 = 0 then '/' || (doc_id // 64) || '/LICENSE'
+    when doc_id % 16 = 0 then '/' || (doc_id // 64) || '/' || (doc_id // 16) || '/LICENSE'
+    when doc_id % 4 = 0 then '/' || (doc_id // 64) || '/' || (doc_id // 16) || '/' || (doc_id // 4) || '/LICENSE'
+    else '/' || (doc_id // 64) || '/' || (doc_id // 16) || '/' || (doc_id // 4) || '/' || doc_id || '.txt' end as path
   from documents),
-lines as (
-  select file_id, nth, string_split_regex(lower(string_split(text, chr(10))[nth]), '{licenses.WORDS}') as words
-  from (select file_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) as nth from files where text is not null)),
+lines as (select {_words("line")} as words from (select unnest(string_split(text, chr(10))) as line from files where text is not null)),
 total as (select count(*) as n from lines),
-seen as (
-  select word, count(*) as df from (select distinct file_id, nth, unnest(words) as word from lines) where word <> '' group by word),
+seen as (select word, count(*) as df from (select unnest(list_distinct(words)) as word from lines) group by word),
 idf as (
   select v.word, ln((1 + t.n) / (1 + coalesce(s.df, 0))::double) + 1 as idf
   from vocabulary v cross join total t left join seen s on s.word = v.word),
-terms as (
-  select file_id, nth, word, count(*) as tf from (select file_id, nth, unnest(words) as word from lines) where word <> '' group by all),
+worded as (select file_id, text, {_words("text")} as words from files where text is not null),
+parts as (
+  select file_id, unnest(list_concat({", ".join(f"string_split_regex(text, '{cut}')" for cut in licenses.CUTS)})) as part from worded),
+stretches as (
+  select w.file_id, w.words[greatest(w.i - p.before, 1) : greatest(w.i - p.before, 1) + p.n - 1] as words
+  from (select file_id, words, unnest(words) as word, unnest(range(1, len(words) + 1)) as i from worded) w join longest p on p.word = w.word),
+units as (
+  select file_id, row_number() over () as nth, words from (
+    select distinct file_id, words from (
+      select file_id, {_words("part")} as words from parts
+      union all select file_id, words from worded
+      union all select file_id, words from stretches) where len(words) > 0)),
+terms as (select file_id, nth, word, count(*) as tf from (select file_id, nth, unnest(words) as word from units) group by all),
 weighted as (
   select t.file_id, t.nth, t.word, t.tf * coalesce(i.idf, ln((1 + n.n)::double) + 1) as weight
   from terms t cross join total n left join idf i on i.word = t.word),

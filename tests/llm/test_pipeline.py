@@ -22,11 +22,63 @@ def test_licences(spark):
     assert got == sorted([
         ("a", "MIT", "own"), ("b", "MIT", "inherited"), ("b", "MIT", "inherited"), ("c", "Apache-2.0", "inherited"), ("d", "Apache-2.0", "own"),
         ("e", "Apache-2.0", "own"), ("f", None, None), ("g", None, None), ("h", "Apache-2.0", "inherited"), ("i", None, None), ("j", None, None),
-        ("None", "MIT", "inherited"), ("k", None, None),
+        ("None", "MIT", "inherited"), ("k", "MIT", "own"),
     ])
     assert licenses.scan(table.limit(0)).count() == 0
 
 
+BSD = """Copyright (c) 2020, Someone
+
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright
+ * notice, this list of conditions and the following disclaimer."""
+ISC = """Permission to use, copy, modify, and/or distribute this
+software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission
+notice appear in all copies."""
+MIT = """// Permission is hereby granted, free of charge, to any person obtaining
+// a copy of this software and associated documentation files (the
+// "Software"), to deal in the Software without restriction, including
+// without limitation the rights to use, copy, modify, merge, publish,
+// distribute, sublicense, and/or sell copies of the Software, and to
+// permit persons to whom the Software is furnished to do so, subject to
+// the following conditions:"""
+APACHE = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions. ordinary words of a long agreement follow here"""
+GPL = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Someone
+ Everyone is permitted to copy, and so on for many pages"""
+NOTICES = {
+    "bsd": (BSD, "BSD-3-Clause"), "isc": (ISC, "ISC"), "mit": (MIT, "MIT"), "apache": (APACHE, "Apache-2.0"), "gpl": (GPL, "GPL-3.0"),
+    "long": ("some words before it Released under the MIT License. and words after it without any stop " + "plain " * 40, "MIT"),
+    "talk": ("We talked about the license of a car and the version of a story, under the public bridge.\n" * 5, None),
+    "huge": ("word " * 200_000 + "\nLicensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+}
+
+
+def test_wrapped_headers_and_heads_of_licence_files(spark):
+    rows = [(name, f"{name}/{'LICENSE' if name == 'bsd' else 'x.c'}", text) for name, (text, _) in NOTICES.items()]
+    rows += [("below", "bsd/src/deep/y.c", "int main"), *[(f"p{i}", f"plain/{i}", "nothing at all to see\nhere") for i in range(40)]]
+    got = {r.file_id: (r.licence, r.origin) for r in licenses.scan(spark.createDataFrame(rows, "file_id string, path string, text string")).collect()}
+    assert {name: got[name][0] for name in NOTICES} == {name: licence for name, (_, licence) in NOTICES.items()}
+    assert got["below"] == ("BSD-3-Clause", "inherited") and got["p1"] == (None, None)
+
+
+def test_licences_are_inherited_in_the_query(spark):
+    found = queries.op10_licences(spark, "/root/testdata/sf0.01").groupBy("origin").count().collect()
+    assert {r.origin for r in found} == {"own", "inherited", None}
+
+
 def test_lines_without_an_anchor_cannot_be_near():
     known = licenses.bags()
     idf = {w: 1 + (hash(w) % 7) for _, bag in known for w in bag}
