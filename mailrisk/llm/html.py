@@ -10,18 +10,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailrisk.llm.shared import by_bytes
+
 # pages of the table that a fit reads at most, and how long those may be
 SAMPLE = 300
 SAMPLE_CHARS = 50_000
 SEED_PAGES = 900
 ROUNDS = 150
-PAGES_AT_ONCE = 512
+PAGES_AT_ONCE, BYTES_AT_ONCE = 512, 4 << 20
 
 # elements without text of their own for a reader; fixed values
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "select", "datalist")
+RAW = ("script", "style", "template", "textarea", "title", "select", "datalist")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var"
+    # formulas and drawings stand within a line, and so does what they are made of
+    " math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover"
+    " mmultiscripts mtable mtr mtd semantics svg g path text tspan textpath circle rect line polyline polygon ellipse defs use desc".split()
 )
 # a start tag of the left ends open elements of the right
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -165,7 +170,7 @@ def parse(source: str) -> Page:
                     if value != "false":
                         names.append("=hidden")
                 else:
-                    names += [f"={t}" for t in _TOKEN.findall(value)[:20]]
+                    names += [f"={t}" for t in dict.fromkeys(_TOKEN.findall(value))]
         stack.append((tag, page.add(stack[-1][1], names), links))
     flush()
     return page
@@ -349,6 +354,16 @@ def labelled_pages(count: int = SEED_PAGES, seed: int = 5) -> tuple[list[Page],
         tag = draw.choice(("div", "div", "section", "p"))
         return f"<{tag} {attribute}>{no}{words(3, 60)}</{tag}>" if tag == "p" or draw.random() < 0.5 else f"<{tag} {attribute}><p>{no}{words(3, 60)}</p></{tag}>"
 
+    def marked(page):
+        label = np.zeros(len(page.parent), np.int64)
+        for i in range(len(page.parent) - 1, -1, -1):
+            text = page.text[i]
+            if text is not None:
+                label[i] = yes in text
+            if label[i] and page.parent[i] >= 0 and page.names[page.parent[i]][0] not in ("<body", "<html", "<root"):
+                label[page.parent[i]] = 1
+        return label
+
     pages, labels = [], []
     for _ in range(count):
         body = [f"<h1>{yes}{words(2, 9, draw.random() < 0.5)}</h1>"] if draw.random() < 0.7 else []
@@ -378,38 +393,38 @@ def labelled_pages(count: int = SEED_PAGES, seed: int = 5) -> tuple[list[Page],
             main = f"<div {draw.choice(('id', 'class'))}={name}>{main}</div>" if name else f"<div>{main}</div>"
         bare = draw.random() < 0.08
         page = parse("".join(body)) if bare else parse(f"<!DOCTYPE html><html><head><title>x</title></head><body>{''.join(before[:1])}{main}{''.join(after[:1])}</body></html>")
-        label = np.zeros(len(page.parent), np.int64)
-        for i in range(len(page.parent) - 1, -1, -1):
-            text = page.text[i]
-            if text is not None:
-                label[i] = yes in text
-            if label[i] and page.parent[i] >= 0 and page.names[page.parent[i]][0] not in ("<body", "<html", "<root"):
-                label[page.parent[i]] = 1
         pages.append(page)
-        labels.append(label)
+        labels.append(marked(page))
+    for _ in range(count // 15):  # what stands in for scripts and embedded things, outside of an article and inside
+        tag = draw.choice(("noscript", "object", "iframe"))
+        aside, inside = f"<{tag}>{no}{words(3, 14)}</{tag}>", f"<{tag}><p>{yes}{words(8, 40)}</p></{tag}>"
+        body = "".join([prose(yes), inside, prose(yes)] if draw.random() < 0.4 else [prose(yes), prose(yes)])
+        main = f"<article>{body}</article>" if draw.random() < 0.5 else f"<div {named(draw.choice(CONTENT))}>{body}</div>"
+        page = parse(f"<!DOCTYPE html><html><head><title>x</title></head><body>{aside}{other('nav')}{main}{other('footer')}</body></html>")
+        pages.append(page)
+        labels.append(marked(page))
     return pages, labels
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
     """Learn from the pages put together by rule and at most ``sample`` pages of the table that name their parts.
 
-    The table's pages are chosen by hash; those over ``chars`` characters are not used for learning.
+    The table's pages are chosen by a hash of their source, so repeated ones are one; those over ``chars``
+    characters are not used for learning.  Only hashes are ranked; the driver gets the chosen pages alone.
     """
-    draw = F.xxhash64("page_id", F.lit(23))
-    rows = (
-        pages.where(F.col("html").isNotNull() & (F.length("html") <= chars) & F.col("html").rlike("(?i)<(article|main)\\b"))
-        .select("html", draw.alias("draw"))
-        .orderBy("draw", "html")
-        .limit(sample)
-        .collect()
-    )
+    draw = F.xxhash64("html", F.lit(23))
+    fitting = pages.where(F.col("html").isNotNull() & (F.length("html") <= chars) & F.col("html").rlike("(?i)<(article|main)\\b"))
+    chosen = [r.draw for r in fitting.select(draw.alias("draw")).orderBy("draw").limit(2 * sample).collect()]
+    chosen = sorted(set(chosen))[:sample]
     trees, labels = labelled_pages()
-    for row in rows:
-        page = parse(row["html"])
-        label = weak_labels(page)
-        if label is not None:
-            trees.append(page)
-            labels.append(label)
+    if chosen:
+        rows = fitting.where(draw.isin(chosen)).groupBy(draw.alias("draw")).agg(F.min("html").alias("html")).collect()
+        for row in sorted(rows, key=lambda r: r["draw"]):
+            page = parse(row["html"])
+            label = weak_labels(page)
+            if label is not None:
+                trees.append(page)
+                labels.append(label)
     return learn(trees, labels)
 
 
@@ -417,23 +432,23 @@ def extract(pages: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page: blocks with P(content) of at least ``least``.
 
     Character references are decoded, white space in a block becomes one blank, blocks are joined
-    in page order by line feeds.  Null or empty pages, and pages without content, give an empty text.
+    in page order by line feeds.  Null or empty pages, and pages without content, give an empty text.  Whole pages
+    are read, however long, a few megabytes or one page at a time.  Repeated rows give equal rows; an empty table gives
+    none; other columns are ignored.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         learned = shared.value
-        for batch in batches:
-            sources = batch.column(2)
+        for batch in by_bytes(batches, lambda b: b.column(2), BYTES_AT_ONCE, PAGES_AT_ONCE):
             texts = []
-            for at in range(0, len(sources), PAGES_AT_ONCE):
-                trees = [parse(s or "") for s in sources.slice(at, PAGES_AT_ONCE).to_pylist()]
-                content = learned.content(trees)
-                base = 0
-                for tree in trees:
-                    own = content[base : base + len(tree.text)]
-                    texts.append("\n".join(t for t, p in zip(tree.text, own) if t is not None and p >= least))
-                    base += len(tree.text)
+            trees = [parse(s or "") for s in batch.column(2).to_pylist()]
+            content = learned.content(trees)
+            base = 0
+            for tree in trees:
+                own = content[base : base + len(tree.text)]
+                texts.append("\n".join(t for t, p in zip(tree.text, own) if t is not None and p >= least))
+                base += len(tree.text)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],

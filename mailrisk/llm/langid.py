@@ -7,37 +7,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailrisk.llm.shared import held_out, small, with_fields
+from mailrisk.llm.shared import by_bytes, held_out, with_fields
 
 UNKNOWN = "und"
-# languages, and labelled text of each: so many passages of so many code points at most
-LANGUAGES = 200
+# labelled text of each language: so many passages of so many code points at most, and so many of all languages;
+# with many languages each has fewer, but one at least
 PASSAGES = 120
+ALL_PASSAGES = 4000
 PASSAGE_CHARS = 400
 # texts are parsed in blocks of so many bytes at once, and so many bytes are in memory at once
 BLOCK = 2048
-# below so many symbols a rate says too little to call a text foreign
-SHORT = 400
 AT_ONCE = 2 << 20
 
 
-def sample(docs: DataFrame, passages: int = PASSAGES, chars: int = PASSAGE_CHARS, languages: int = LANGUAGES) -> dict[str, list[str]]:
-    """At most ``passages`` passages of ``chars`` code points of each language's labelled text.
+def sample(docs: DataFrame, passages: int = PASSAGES, chars: int = PASSAGE_CHARS, every: int = ALL_PASSAGES) -> dict[str, list[str]]:
+    """At most ``passages`` passages of ``chars`` code points of each language's labelled text, ``every`` in all.
 
-    Rows with a language and a letter in their text, held-out ids left out.  Rows are chosen by
-    a hash of the id, passages by another; the number of rows per language sets the rate first, so
-    only a few times the sample is sorted.  The ``languages`` with most rows are learned.
+    Rows with a language and a letter in their text, held-out ids left out; null ids are held in.  Rows are chosen by
+    a hash of the id, ties by a hash of the text, passages by another; the number of rows per language sets the
+    rate first, so only a few times the sample is sorted.  Repeated rows may be chosen together.  Every language that has
+    such a row is learned; an empty table teaches none.
     """
     labelled = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}")
     )
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    counts = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("lang").count()
-    counts = counts.orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = labelled.groupBy("lang").count().collect()
     if not counts:
         return {}
-    rate = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], 4.0 * passages / r["count"])]), F.col("lang"))
-    chosen = labelled.where(F.col("lang").isin([r["lang"] for r in counts])).withColumn("draw", draw).where(F.col("draw") < rate)
+    passages = max(1, min(passages, every // len(counts)))
+    rate = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], (4.0 * passages + 16) / r["count"])]), F.col("lang"))
+    chosen = labelled.withColumn("draw", draw).where(F.col("draw") < rate)
     first = Window.partitionBy("lang").orderBy("draw", "doc_id", F.xxhash64("text"))
     start = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.greatest(F.lit(1), F.length("text") - chars)) + 1
     rows = (
@@ -95,12 +95,52 @@ _LETTER = np.arange(256, dtype=np.uint8)
 _LETTER[:128][[not chr(i).isalpha() for i in range(128)]] = 0
 
 
+def packed(follow: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``first, target, owner``: state ``s`` goes to ``target[first[s] + symbol]`` if ``owner`` there is ``s``.
+
+    Rows of a few entries are laid into each other's gaps, so the table is about as long as there are transitions.
+    """
+    edges = sum(map(len, follow))
+    used = bytearray(edges + 4 * width + 64)
+    first = np.zeros(len(follow), np.int64)
+    slots, targets, owners = [], [], []
+    order = sorted((s for s in range(len(follow)) if follow[s]), key=lambda s: -len(follow[s]))
+    low, single = width, False
+    for state in order:
+        out = follow[state]
+        symbols = list(out)
+        lead = symbols[0]
+        if len(symbols) == 1 and not single:
+            low, single = width, True  # these fill the gaps that the others left
+        at = low = used.find(0, low)
+        tries = 0
+        while single or any(used[at - lead + symbol] for symbol in symbols):
+            if single:
+                break
+            tries += 1
+            at = used.find(0, at + 1)
+            if tries == 8:  # crowded: leave this stretch to single ones
+                low = at
+        base = at - lead
+        first[state] = base
+        for symbol, to in out.items():
+            used[base + symbol] = 1
+            slots.append(base + symbol)
+            targets.append(to)
+            owners.append(state)
+        if len(used) - low < 4 * width:
+            used += bytes(len(used))
+    size = max(int(first.max(initial=0)), max(slots, default=0)) + width + 1
+    target, owner = np.zeros(size, np.int64), np.full(size, -1, np.int64)
+    target[slots], owner[slots] = targets, owners
+    return first, target, owner
+
+
 class Parsers:
-    """One table for the automata of all languages.
+    """The automata of all languages in one packed table.
 
-    ``go[state, symbol]`` is the next state; where the automaton has none, a phrase ends, and the
-    entry holds the state after the symbol alone, inverted.  A symbol a language never has is a phrase
-    of its own, after which the next symbol begins another.
+    Where an automaton has no transition a phrase ends, and the next one begins with the symbol.  A symbol a language
+    never has leads to a state without transitions: it is a phrase of its own.
     """
 
     def __init__(self, samples: dict[str, list[str]]):
@@ -110,23 +150,24 @@ class Parsers:
         self.width = len(known) + 1
         self.symbol = np.full(256, self.width - 1, np.int64)
         self.symbol[known] = np.arange(len(known))
-        tables, self.roots = [], []
-        base = 0
+        first, target, owner, self.roots, alone = [], [], [], [], []
+        states = slots = 0
         for text in texts:
             follow = suffix_automaton(self.symbol[text].tolist())
-            lost = len(follow)
-            alone = np.full(self.width, lost)
+            follow.append({})  # where unknown symbols lead
+            here = np.full(self.width, len(follow) - 1)
             for symbol, state in follow[0].items():
-                alone[symbol] = state
-            go = np.tile(~(alone + base), (len(follow) + 1, 1))
-            go[0] = alone + base  # the first phrase of a block has none before it
-            for state, out in enumerate(follow):
-                for symbol, target in out.items():
-                    go[state, symbol] = target + base
-            tables.append(go.astype(np.int32))
-            self.roots.append(base)
-            base += len(follow) + 1
-        self.go = np.concatenate(tables).ravel() if tables else np.empty(0, np.int32)
+                here[symbol] = state
+            f, t, o = packed(follow, self.width)
+            first.append(f + slots)
+            target.append(t + states)
+            owner.append(np.where(o < 0, -1, o + states))
+            alone.append(here + states)
+            self.roots.append(states)
+            states, slots = states + len(follow), slots + len(t)
+        empty = [np.empty(0, np.int64)]
+        self.first, self.target, self.owner = (np.concatenate(x or empty).astype(np.int32) for x in (first, target, owner))
+        self.alone = np.array(alone, np.int32).reshape(len(alone), self.width)
         # how well text of other languages can be parsed, in the middle
         self.foreign = 1.0
         if len(texts) > 1:
@@ -151,11 +192,12 @@ class Parsers:
         active = np.searchsorted(-length, -np.arange(BLOCK), side="left")
         for step in range(int(length[0]) if len(length) else 0):
             n = active[step]
-            here = state[:, :n]
-            seen = self.go[here * self.width + flat[start[:n] + step]]
-            broke = seen < 0
-            phrases[:, :n] += broke
-            state[:, :n] = np.where(broke, ~seen, seen)
+            here, read = state[:, :n], flat[start[:n] + step]
+            at = self.first[here] + read
+            broke = self.owner[at] != here
+            if step:  # the first phrase of a block has none before it
+                phrases[:, :n] += broke
+            state[:, :n] = np.where(broke, self.alone[:, read], self.target[at])
         total = np.zeros((languages, len(texts)), np.int64)
         for i in range(languages):
             total[i] = np.bincount(owner[order], weights=phrases[i], minlength=len(texts))
@@ -192,15 +234,17 @@ def predict(docs: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
     """``row, lang_pred, score, rate, known`` of every row; ``row`` is a struct of all its columns.
 
     ``rate`` is phrases per symbol in the best language, ``score`` the worse of the two best
-    rates over their sum (1 if one language is known), ``known`` whether a text (of some length) is closer to its language than other languages'
-    texts commonly are.  Ties go to the first language by name.  Null texts and texts without
-    a letter, and all texts if nothing was learned, are ``und`` with score 0.
+    rates over their sum (1 if one language is known), ``known`` whether a text is closer to its language than other
+    languages' texts commonly are: the same rule for every length, the last phrase, which the text's end cuts off, left
+    out.  Ties go to the first language by name.  Null texts and texts without a letter, and all texts if nothing was
+    learned, are ``und`` with score 0.  Whole texts are read however long; an empty table gives no rows; columns of any
+    name stay in ``row``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(samples)
 
     def run(batches):
         model = parsers(shared.value)
-        for batch in small(batches):
+        for batch in by_bytes(batches, lambda b: b.column(0).field("text")):
             texts = batch.column(0).field("text").to_pylist()
             language = np.full(len(texts), UNKNOWN, object)
             score, rate = np.zeros(len(texts)), np.ones(len(texts))
@@ -215,8 +259,8 @@ def predict(docs: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
                 ranked = np.sort(rates, axis=1)
                 language[places] = np.array(model.languages, object)[best]
                 rate[places] = ranked[:, 0]
-                short = np.fromiter(map(len, symbols), np.int64, len(symbols)) < SHORT
-                known[places] = short | (ranked[:, 0] < model.foreign)
+                length = np.fromiter(map(len, symbols), np.int64, len(symbols))
+                known[places] = ranked[:, 0] - 1 / np.maximum(length, 1) < model.foreign
                 score[places] = ranked[:, 1] / (ranked[:, 0] + ranked[:, 1]) if rates.shape[1] > 1 else 1.0
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(language.tolist(), pa.string()), pa.array(score), pa.array(rate), pa.array(known)],

@@ -1,5 +1,6 @@
 """Document quality by attention over passages, learned from document labels."""
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -7,10 +8,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailrisk.llm.shared import held_out, small, with_fields
+from mailrisk.llm.shared import by_bytes, held_out, with_fields
 
-# labelled documents of each class that a fit reads at most, and bytes in a passage
+# labelled documents of each class that a fit reads at most, passages it reads of each, and bytes in a passage
 SAMPLE = 2000
+SAMPLE_PASSAGES = 128
 PASSAGE = 512
 HIDDEN, ATTENTION = 32, 16
 EPOCHS, BATCH, RATE = 6, 64, 0.004
@@ -88,22 +90,38 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return features, first
 
 
-def encode_all(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """`encode` in chunks of about ``AT_ONCE`` bytes; longer texts are encoded part by part."""
+def chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(passages x features, the text each passage is of)`` in chunks of about ``AT_ONCE`` bytes of text.
+
+    Longer texts are encoded part by part, so a chunk's size does not depend on a text's.
+    """
     step = AT_ONCE // PASSAGE * PASSAGE
-    found, now, held = [], [], 0
-    passages = np.array([max(1, -(-len(t) // PASSAGE)) for t in texts], np.int64)
-    for text in texts:
+    now, owner, held = [], [], 0
+
+    def encoded():
+        features, first = encode(now)
+        return features, np.repeat(owner, np.diff(np.append(first, len(features))))
+
+    for number, text in enumerate(texts):
         for at in range(0, max(1, len(text)), step):
             part = text[at : at + step]
             if now and held + len(part) > AT_ONCE:
-                found.append(encode(now)[0])
-                now, held = [], 0
+                yield encoded()
+                now, owner, held = [], [], 0
             now.append(part)
+            owner.append(number)
             held += len(part)
     if now:
-        found.append(encode(now)[0])
-    return np.concatenate(found), np.cumsum(passages) - passages
+        yield encoded()
+
+
+def spread_passages(text: bytes, most: int = SAMPLE_PASSAGES) -> np.ndarray:
+    """Features of at most ``most`` passages, evenly spread over the text."""
+    count = max(1, -(-len(text) // PASSAGE))
+    if count <= most:
+        return encode([text])[0]
+    chosen = np.linspace(0, count - 1, most).astype(int)
+    return encode([b"".join(text[i * PASSAGE : (i + 1) * PASSAGE] for i in chosen)])[0][:most]
 
 
 @dataclass
@@ -127,6 +145,24 @@ class Attention:
         p = 1 / (1 + np.exp(-(z @ w["out"] + w["bias"][0])))
         return {"x": x, "h": h, "t": t, "g": g, "a": a, "z": z, "p": p, "count": count}
 
+    def pooled(self, texts: list[bytes]) -> np.ndarray:
+        """`forward`'s probabilities, chunk by chunk: sums are kept relative to the largest score so far."""
+        w, n = self.weights, len(texts)
+        top, mass, z = np.full(n, -np.inf, np.float32), np.zeros(n), np.zeros((n, HIDDEN))
+        for features, owner in chunks(texts):
+            x = np.clip((features - self.mean) / self.scale, -6, 6)
+            h = np.tanh(x @ w["encode"] + w["shift"])
+            score = (np.tanh(h @ w["content"]) / (1 + np.exp(-(h @ w["gate"])))) @ w["attend"]
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            now = owner[first]
+            higher = np.maximum(top[now], np.maximum.reduceat(score, first))
+            shrink = np.exp(top[now] - higher)
+            e = np.exp(score - np.repeat(higher, np.diff(np.append(first, len(owner)))))
+            mass[now] = mass[now] * shrink + np.add.reduceat(e, first)
+            z[now] = z[now] * shrink[:, None] + np.add.reduceat(e[:, None] * h, first)
+            top[now] = higher
+        return 1 / (1 + np.exp(-(z / mass[:, None] @ w["out"] + w["bias"][0])))
+
     def gradients(self, y: np.ndarray, weight: np.ndarray, first: np.ndarray, f: dict) -> dict[str, np.ndarray]:
         w = self.weights
         wrong = (f["p"] - y) * weight / len(y)
@@ -175,11 +211,13 @@ def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> Attenti
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Attention | None:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, passages: int = SAMPLE_PASSAGES) -> Attention | None:
     """Learn from at most about ``sample`` labelled documents per class, held-out ids left out.
 
-    Ids are chosen by hash among the labels, at a rate that the class counts set; only chosen
-    documents are encoded, by the executors.  Repeated labels of an id are averaged.  None if no label is usable.
+    Ids are chosen by hash among the labels, at a rate that the class counts set; only chosen documents are
+    encoded, by the executors, at most ``passages`` passages of each, evenly spread.  Repeated labels of an id are
+    averaged; of repeated rows of an id one is read, the least by a hash of its text.  Null and empty
+    texts are one empty passage.  None if no label is usable, as in empty tables.
     """
     truth = (
         labels.select("doc_id", F.col(label).cast("double").alias("y"))
@@ -197,38 +235,40 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     chosen = truth.where(draw < rate)
 
     def run(batches):
-        for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
-            if texts:
-                features, first = encode_all(texts)
-                ends = np.append(first, len(features))
-                data = [features[a:b].astype(np.float16).tobytes() for a, b in zip(ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["doc_id", "y", "data"])
+        for batch in by_bytes(batches, lambda b: b.column(2), AT_ONCE):
+            data = [spread_passages((t or "").encode(), passages).astype(np.float16).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(data, pa.binary()), batch.column(3)], ["doc_id", "y", "data", "text_hash"]
+            )
 
     # the sample's ids are bounded by the parameter; beside the texts they are tiny
-    rows = (
+    encoded = (
         docs.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")
-        .select(F.col("doc_id").cast("long"), "y", "text")
-        .mapInArrow(run, "doc_id long, y int, data binary")
-        .collect()
+        .select(F.col("doc_id").cast("long"), "y", "text", F.xxhash64("text").alias("text_hash"))
+        .mapInArrow(run, "doc_id long, y int, data binary, text_hash long")
     )
+    rows = encoded.groupBy("doc_id").agg(F.min(F.struct("text_hash", "y", "data")).alias("r")).select("doc_id", "r.*").collect()
     if not rows:
         return None
-    rows.sort(key=lambda r: (r["doc_id"], r["data"]))
+    rows.sort(key=lambda r: r["doc_id"])
     bags = [np.frombuffer(r["data"], np.float16).reshape(-1, FEATURES).astype(np.float32) for r in rows]
     return train(bags, np.array([r["y"] for r in rows], np.float32))
 
 
 def score(docs: DataFrame, model: Attention | None) -> DataFrame:
-    """``row, score, predicted`` of every row, ``row`` being a struct of all its columns: null texts count as empty, and without a model all score 0.5."""
+    """``row, score, predicted`` of every row, ``row`` being a struct of all its columns, whatever their names.
+
+    Whole texts are read, passage by passage, in bounded memory.  Null texts count as empty ones, equal texts have equal
+    scores, without a model all score 0.5, and an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         learned = shared.value
-        for batch in small(batches, 256):
+        for batch in by_bytes(batches, lambda b: b.column(0).field("text"), 4 * AT_ONCE):
             texts = [(t or "").encode() for t in batch.column(0).field("text").to_pylist()]
-            p = learned.forward(*encode_all(texts))["p"].astype(np.float64) if learned else np.full(len(texts), 0.5)
+            p = learned.pooled(texts).astype(np.float64) if learned else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["row", "score", "predicted"]
             )

@@ -3,6 +3,7 @@
 import tempfile
 import uuid
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -59,6 +60,22 @@ def small(batches, rows: int = 512):
             yield batch.slice(at, rows)
 
 
+def by_bytes(batches, texts, most: int = 4 << 20, rows: int = 512):
+    """Slices of Arrow batches of at most ``rows`` rows and about ``most`` bytes of text, or of one longer text.
+
+    ``texts`` gives a batch's text column.
+    """
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(texts(batch)), 0).to_numpy(zero_copy_only=False).cumsum()
+        at = 0
+        while at < batch.num_rows:
+            before = int(size[at - 1]) if at else 0
+            end = int(size.searchsorted(before + most, side="right"))
+            end = min(max(end, at + 1), at + rows, batch.num_rows)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def with_fields(rows: DataFrame, *fields: tuple[str, str]) -> StructType:
     """The schema of ``rows`` and further ``(name, type)`` fields."""
     out = StructType(list(rows.schema.fields))

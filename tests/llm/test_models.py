@@ -3,12 +3,15 @@
 import itertools
 import math
 import random
+import tracemalloc
+import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from mailrisk.llm import html, langid, quality
-from mailrisk.llm.shared import held_out
+from mailrisk.llm.shared import by_bytes, held_out
 
 SF = "/root/testdata/sf0.01"
 
@@ -77,6 +80,56 @@ def test_language_accuracy_and_odd_input(spark):
     assert blind.select("lang_pred").collect() == langid.predict(docs, samples).select("lang_pred").collect()
 
 
+POLISH = (
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec"
+    " innych w duchu braterstwa. Każdy człowiek posiada prawa i wolności zawarte w niniejszej deklaracji bez względu na różnice rasy, koloru, płci, języka. "
+)
+RUSSIAN = (
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства. "
+)
+
+
+def test_foreign_texts_of_any_length_are_rejected(spark):
+    """One rule for all lengths: texts in languages that nothing was learned of go, learned ones stay."""
+    docs = documents(spark)
+    samples = langid.sample(docs)
+    lengths = (20, 40, 60, 200, 399, 401, 2000)
+    rows = [(i * 10 + k, (text * 20)[:n]) for i, n in enumerate(lengths) for k, text in enumerate((POLISH, RUSSIAN))]
+    foreign = langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), samples)
+    assert foreign.where(langid.recognised(foreign)).count() == 0
+    own = docs.where(held_out(F.col("doc_id")) & (F.length("text") > 30))
+    for n in lengths:
+        cut = langid.predict(own.select("doc_id", F.substring("text", 1, n).alias("text")), samples)
+        assert cut.where(~langid.recognised(cut) & F.col("row.text").rlike(r"\p{L}{3}")).count() <= 0.01 * own.count()
+
+
+def test_every_language_is_learned(spark):
+    """Languages beyond any number, rare ones too; those with many rows do not crowd them out."""
+    draw = random.Random(6)
+
+    def text(alphabet):
+        return " ".join("".join(draw.choice(alphabet) for _ in range(draw.randint(2, 7))) for _ in range(40))
+
+    letters = [chr(0x61 + i) for i in range(26)]
+    alphabets = {f"l{i:03d}": draw.sample(letters, 5) for i in range(260)}
+    rows = [(i, text(alphabets[lang]), lang) for i, lang in enumerate(list(alphabets) * 3)] + [(10_000 + i, None, "l000") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = langid.sample(docs, every=520)
+    learned = {r[2] for r in rows if r[1] and zlib.crc32(str(r[0]).encode()) % 3 != 1}
+    assert set(samples) == learned and max(map(len, samples.values())) <= 2
+
+
+def test_packed_table_equals_the_automaton():
+    draw = random.Random(9)
+    for _ in range(20):
+        follow = langid.suffix_automaton([draw.randrange(6) for _ in range(draw.randint(0, 400))])
+        first, target, owner = langid.packed(follow, 7)
+        for state, out in enumerate(follow):
+            for symbol in range(7):
+                at = first[state] + symbol
+                assert (owner[at] == state) == (symbol in out) and (symbol not in out or target[at] == out[symbol])
+
+
 # --- quality -----------------------------------------------------------------
 def test_gradients():
     draw = np.random.default_rng(3)
@@ -104,14 +157,97 @@ def test_gradients():
 
 def test_encoding_does_not_depend_on_company(monkeypatch):
     texts = [b"", "One two two é!! | x".encode(), b"word " * 400, b"\n" * 700]
+
+    def by_text():
+        found = [[] for _ in texts]
+        for features, owner in quality.chunks(texts):
+            for i in range(len(texts)):
+                found[i].append(features[owner == i])
+        return [np.concatenate(parts) for parts in found]
+
     monkeypatch.setattr(quality, "AT_ONCE", 1024)
-    every, first = quality.encode_all(texts)
-    assert first.tolist() == [0, 1, 2, 6] and len(every) == 8
+    apart = by_text()
+    assert [len(x) for x in apart] == [1, 1, 4, 2]
     monkeypatch.setattr(quality, "AT_ONCE", 1 << 20)
-    joined = quality.encode_all(texts)[0]
-    for i, text in enumerate(texts):
-        alone = quality.encode_all([text])[0]
-        assert np.array_equal(alone, joined[first[i] : first[i] + len(alone)])
+    joined = by_text()
+    for text, one, other in zip(texts, apart, joined):
+        assert np.allclose(quality.encode([text])[0], other) and np.array_equal(one[:, :-6], other[:, :-6])
+
+
+def plain_encoding(text):
+    """`quality.encode` of one text, written as loops over bytes and words."""
+    blank = {i for i in range(256) if quality.CLASSES[i] <= 1}
+    words, at = [], 0
+    while at < len(text):
+        if text[at] in blank:
+            at += 1
+            continue
+        end = at
+        while end < len(text) and text[end] not in blank:
+            end += 1
+        words.append((at, text[at:end]))
+        at = end
+    rows = []
+    for start in range(0, max(1, len(text)), quality.PASSAGE):
+        part, row = text[start : start + quality.PASSAGE], np.zeros(quality.FEATURES)
+        for a, b in zip(part, part[1:]):
+            row[int(quality.CLASSES[a]) * quality.WIDTH + int(quality.CLASSES[b])] += 1
+        row = np.sqrt(row / max(1, len(part)))
+        mine = [i for i, (at, _) in enumerate(words) if start <= at < start + quality.PASSAGE]
+        n = max(1, len(mine))
+        row[-6] = sum(len(words[i][1]) / 10 for i in mine) / n
+        row[-5] = len({words[i][1] for i in mine}) / n
+        row[-4] = sum(i > 0 and words[i][1] == words[i - 1][1] for i in mine) / n
+        row[-3] = sum(i > 1 and words[i][1] == words[i - 2][1] for i in mine) / n
+        row[-2] = sum(len(words[i][1]) > 20 for i in mine) / n
+        row[-1] = len(part) / quality.PASSAGE
+        rows.append(row)
+    return np.array(rows)
+
+
+def test_scores_equal_a_plain_loop():
+    """Encoder, gated attention and weighted mean, one passage after the other."""
+    draw = random.Random(8)
+    texts = [b"", b" \n ", "Ünï códe, done.".encode()]
+    for _ in range(25):
+        words = [draw.choice(["a", "The", "12", "wörter", "x" * 25, "end.", "|", "a"]) for _ in range(draw.randint(1, 300))]
+        texts.append(draw.choice([" ", "\n", "  "]).join(words).encode())
+    bags = [plain_encoding(t) for t in texts]
+    for text, bag in zip(texts, bags):
+        assert np.allclose(quality.encode([text])[0], bag, atol=1e-5)
+    model = quality.train([b.astype(np.float32) for b in bags], np.array([i % 2 for i in range(len(bags))], np.float32))
+    w, want = model.weights, []
+    for bag in bags:
+        hidden, marks = [], []
+        for row in bag:
+            h = np.tanh(np.clip((row - model.mean) / model.scale, -6, 6) @ w["encode"] + w["shift"])
+            gate = 1 / (1 + np.exp(-(h @ w["gate"])))
+            hidden.append(h)
+            marks.append(math.exp(float((np.tanh(h @ w["content"]) * gate) @ w["attend"])))
+        z = sum(m * h for m, h in zip(marks, hidden)) / sum(marks)
+        want.append(1 / (1 + math.exp(-float(z @ w["out"] + w["bias"][0]))))
+    assert np.allclose(model.pooled(texts), want, atol=1e-4)
+
+
+def test_long_texts_take_bounded_memory(monkeypatch):
+    monkeypatch.setattr(quality, "AT_ONCE", 1 << 18)
+    model = quality.train([quality.encode([t])[0] for t in (b"good words here. " * 50, b"| | 12 12 " * 90)], np.array([1.0, 0.0], np.float32))
+    sizes = []
+    for megabytes in (2, 16):
+        text = b"some words of a very long text. " * (megabytes * 32768)
+        tracemalloc.start()
+        model.pooled([text])
+        sizes.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert sizes[1] < 1.5 * sizes[0] + (1 << 20)
+
+
+def test_batches_are_cut_by_bytes():
+    texts = ["a" * n for n in (10, 0, 50, 500, 5, 5)] + [None, "b" * 90]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    parts = [b.column(0).to_pylist() for b in by_bytes([batch], lambda b: b.column(0), most=60, rows=3)]
+    assert [t for p in parts for t in p] == texts
+    assert all(len(p) <= 3 and (len(p) == 1 or sum(len(t or "") for t in p) <= 60) for p in parts)
 
 
 def test_quality_accuracy_and_odd_input(spark):
@@ -161,6 +297,8 @@ def test_parse_blocks():
     assert blocks("<ul><li>1<li>2<ul><li>3</ul><li>4</ul>") == ["1", "2", "3", "4"]
     assert blocks("<table><tr><td>a<td>b<tr><td>c</table>") == ["a", "b", "c"]
     assert blocks("a < b <p class='x>y'>c</p>") == ["a < b", "c"]
+    assert blocks("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be <svg><text>big</text></svg>.<object><p>in</p></object><noscript>no</noscript>") == [
+        "Let x=1 be big.", "in", "no"]
     assert blocks("") == [] and blocks("<p \"open") == [] and blocks("<!-- open <p>x") == []
     deep = html.parse("<div>" * 20_000 + "x")
     assert deep.text[-1] == "x" and len(html.learn([deep], [np.ones(len(deep.parent), int)], 1).content([deep])) == len(deep.parent)
@@ -178,6 +316,12 @@ def test_pages(spark):
         article = source[r.page_id].split("<article>")[1].split("</article>")[0]
         want = [t for t in html.parse(article).text if t]
         assert r.text == "\n".join(want) and r.n_chars == len(r.text)
+    # pages without an article, as another site may write them
+    story = "<h1>Title of it</h1><p>A long first paragraph of words that say something, with a formula <math><mi>x</mi></math> in it.</p><p>And a second one that ends here.</p>"
+    shell = '<html><body><div class="navbar"><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></div>{}<div id="footer">&copy; Someone, all rights reserved.</div></body></html>'
+    for wrapped in (f'<div class="post-content">{story}</div>', f"<main>{story}</main>", f'<div id="story">{story}</div>'):
+        got = html.extract(spark.createDataFrame([(1, "u", shell.format(wrapped))], "page_id long, url string, html string"), model).first().text
+        assert got == "\n".join(t for t in html.parse(story).text if t)
     strange = [(1, None, None), (2, "u", ""), (None, "u", "<nav>x</nav>"), (3, "u", "<article><p>" + "word " * 100_000 + "</article>"), (3, "u", "&#0;<<<>>")]
     found = html.extract(spark.createDataFrame(strange, "page_id long, url string, html string"), model).collect()
     assert [r.text for r in found[:3]] == ["", "", ""] and found[3].n_chars == 499_999
