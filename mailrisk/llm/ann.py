@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from mailrisk.llm import graph
 from mailrisk.llm.shared import settled
-from mailrisk.llm.vectors import matrix, usable
+from mailrisk.llm.vectors import matrix, past, streamed, usable
 
 NEAREST = 20
-SHARD_ROWS = 4096
-QUERY_ROWS = 4096
+# a shard has as many rows as fit the bytes, but not so many that there are fewer shards than tasks at a time
+LEAST_ROWS, SHARD_BYTES = 4096, 64 << 20
+QUERY_ROWS = 262_144
 DEGREE, BUILD_WIDTH, WIDTH = 16, 96, 96
 QUERIES_AT_ONCE = 256
 
@@ -36,17 +37,22 @@ def _built(key, table):
     )
 
 
-def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def index(vectors: DataFrame, shard_rows: int | None = None) -> DataFrame:
     """``space, shard, vec_id, vec, place, near``: the graphs of all usable vectors with an id.
 
-    Vectors of one dimension are a space; its rows are dealt by a hash of the id into shards of
-    about ``shard_rows``.  Equal (vec_id, embedding) rows are one.
+    Vectors of one dimension are a space; its rows are dealt by a hash of the id into shards of about ``shard_rows``.
+    Every query meets every shard, so shards are as large as ``SHARD_BYTES`` of vectors allow, as long as each task that
+    the cluster runs at a time gets one.  Equal (vec_id, embedding) rows are one; null ids and unusable vectors are left
+    out; other columns are ignored; an empty table has no shards.
     """
     rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(
         F.size("embedding").alias("space"), F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vec")
     )
     rows = settled(rows.distinct(), "ann-rows")
-    sizes = rows.groupBy("space").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
+    tasks = vectors.sparkSession.sparkContext.defaultParallelism
+    most = F.floor(F.lit(SHARD_BYTES) / 8 / F.col("space"))
+    fair = F.greatest(F.least(most, F.ceil(F.col("n") / tasks)), F.lit(LEAST_ROWS)) if shard_rows is None else F.lit(shard_rows)
+    sizes = rows.groupBy("space").agg(F.count("*").alias("n")).select("space", F.ceil(F.col("n") / fair).cast("int").alias("shards"))
     dealt = rows.join(sizes, "space").select(
         "space", F.pmod(F.xxhash64("vec_id", F.lit(13)), F.col("shards")).cast("int").alias("shard"), "vec_id", "vec"
     )
@@ -57,64 +63,70 @@ def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     return settled(dealt.groupBy("space", "shard").applyInArrow(_built, schema), "ann-index")
 
 
-def _searched(nearest: int, width: int):
-    def run(key, shard, asking):
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if len(shard) and len(asking):
-            shard = shard.sort_by("place")
-            ids, exact = shard["vec_id"].to_numpy(), matrix(shard["vec"])
-            points = lifted(exact)[0]
-            flat = matrix(shard["near"], np.int32)
-            layers = [flat[:, : 2 * DEGREE]]
-            layers += np.split(flat[:, 2 * DEGREE :], range(DEGREE, flat.shape[1] - 2 * DEGREE, DEGREE), axis=1) if flat.shape[1] > 2 * DEGREE else []
-            lived = np.flatnonzero((layers[-1] >= 0).any(1))
-            top = lived[:1] if len(lived) else np.zeros(1, np.int64)
-            names, queries = asking["vec_id"].to_numpy(), matrix(asking["vec"])
-            for at in range(0, len(names), QUERIES_AT_ONCE):
-                own, q = names[at : at + QUERIES_AT_ONCE], queries[at : at + QUERIES_AT_ONCE]
-                flat_q = np.concatenate([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros((len(q), 1))], 1).astype(np.float32)
-                start = graph.descend(points, layers[1:], flat_q, top)
-                start = np.concatenate([start, np.broadcast_to(top, (len(q), 1))], 1)
-                place = graph.search(points, layers[0], flat_q, start, max(width, nearest + 1))[0]
-                row, column = np.nonzero(place >= 0)
-                place = place[row, column]
-                score = np.einsum("ij,ij->i", q[row], exact[place])
-                other = ids[place] != own[row]
-                row, place, score = row[other], place[other], score[other]
-                order = np.lexsort((ids[place], -score, row))
-                row, place, score = row[order], place[order], score[order]
-                count = np.bincount(row, minlength=len(q))
-                rank = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                best = rank < nearest
-                out["query_id"].append(own[row[best]])
-                out["vec_id"].append(ids[place[best]])
-                out["score"].append(score[best])
-        types = {"query_id": np.int64, "vec_id": np.int64, "score": np.float64}
-        return pa.table({k: pa.array(np.concatenate(v) if v else np.empty(0, types[k])) for k, v in out.items()})
-
-    return run
+class _Shard:
+    """A shard's graph, ready for queries."""
+
+    def __init__(self, key, table: pa.Table):
+        table = table.sort_by("place")
+        self.ids, self.exact = table["vec_id"].to_numpy(), matrix(table["vec"])
+        self.points = lifted(self.exact)[0]
+        flat = matrix(table["near"], np.int32)
+        self.layers = [flat[:, : 2 * DEGREE]]
+        if flat.shape[1] > 2 * DEGREE:
+            self.layers += np.split(flat[:, 2 * DEGREE :], range(DEGREE, flat.shape[1] - 2 * DEGREE, DEGREE), axis=1)
+        lived = np.flatnonzero((self.layers[-1] >= 0).any(1))
+        self.top = lived[:1] if len(lived) else np.zeros(1, np.int64)
+
+    def nearest(self, own: np.ndarray, q: np.ndarray, nearest: int, width: int):
+        """``(query, vec_id, score)`` of each query's best, scores in double precision."""
+        flat_q = np.concatenate([q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros((len(q), 1))], 1).astype(np.float32)
+        start = graph.descend(self.points, self.layers[1:], flat_q, self.top)
+        start = np.concatenate([start, np.broadcast_to(self.top, (len(q), 1))], 1)
+        place = graph.search(self.points, self.layers[0], flat_q, start, max(width, nearest + 1))[0]
+        row, column = np.nonzero(place >= 0)
+        place = place[row, column]
+        score = np.einsum("ij,ij->i", q[row], self.exact[place])
+        other = self.ids[place] != own[row]
+        row, place, score = row[other], place[other], score[other]
+        order = np.lexsort((self.ids[place], -score, row))
+        row, place, score = row[order], place[order], score[order]
+        count = np.bincount(row, minlength=len(q))
+        best = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) < nearest
+        return own[row[best]], self.ids[place[best]], score[best]
+
+
+GROUP = ["space", "shard", "part"]
 
 
 def search(graphs: DataFrame, vectors: DataFrame, queries: Column, nearest: int = NEAREST, width: int = WIDTH, query_rows: int = QUERY_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score``: the nearest rows of ``graphs`` for the rows of ``vectors`` that ``queries`` marks.
 
     Nearness is the inner product of the original vectors in double precision; ties go to the
-    smaller id; a query's own id is no candidate.  Each block of queries meets each shard of its space
-    in one task, and the shards' best are merged by rank.  Unusable vectors neither ask nor answer.
+    smaller id; a query's own id is no candidate.  The queries of a space stream past each of its shards, in parts of
+    about ``query_rows``; a shard moves once per part.  The shards' best are merged by rank.  Unusable
+    vectors neither ask nor answer; repeated rows ask once; an empty table gives no rows; other columns are ignored.
     """
     asking = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull() & queries).select(
         F.size("embedding").alias("space"), F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vec")
     )
     asking = settled(asking.distinct(), "ann-queries")
-    blocks = asking.groupBy("space").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("blocks"))
+    parts = asking.groupBy("space").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("parts"))
     shards = graphs.select("space", "shard").distinct()
-    part = F.pmod(F.xxhash64("vec_id", F.lit(19)), F.col("blocks")).cast("int")
-    asked = asking.join(blocks, "space").select("space", part.alias("part"), "vec_id", "vec").join(shards, "space")
-    held = graphs.join(blocks, "space").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    # names anew: both sides of the cogroup share the shards' table
-    asked = asked.toDF(*asked.columns)
-    group = ["space", "shard", "part"]
-    found = held.groupBy(*group).cogroup(asked.groupBy(*group)).applyInArrow(_searched(nearest, width), "query_id long, vec_id long, score double")
+    part = F.pmod(F.xxhash64("vec_id", F.lit(19)), F.col("parts")).cast("int")
+    asked = asking.join(parts, "space").select("space", part.alias("part"), "vec_id", "vec").join(shards, "space")
+    held = graphs.join(parts, "space").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    groups = shards.join(parts, "space").agg(F.sum("parts")).first()[0] or 1
+
+    def run(batches):
+        def asked_of(shard, batch):
+            names, q = batch.column("vec_id").to_numpy(), matrix(batch.column("vec"))
+            for at in range(0, len(names), QUERIES_AT_ONCE):
+                found = shard.nearest(names[at : at + QUERIES_AT_ONCE], q[at : at + QUERIES_AT_ONCE], nearest, width)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
+
+        yield from streamed(batches, GROUP, _Shard, asked_of)
+
+    found = past(held, asked, GROUP, "vec_id", int(groups)).mapInArrow(run, "query_id long, vec_id long, score double")
     # ids with several vectors are one candidate: the nearest counts
     single = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -1,6 +1,7 @@
 """Near-duplicate vectors by range search in robust-pruned graphs of overlapping cluster shards."""
 
 import logging
+import math
 from collections import defaultdict
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from mailrisk.llm import graph
 from mailrisk.llm.components import components, roots
 from mailrisk.llm.shared import settled
-from mailrisk.llm.vectors import matrix, unit, usable
+from mailrisk.llm.vectors import matrix, past, streamed, unit, usable
 
 COSINE = 0.93
 # expansion goes on from vectors this much below the threshold
@@ -90,7 +91,7 @@ def reach(centers: np.ndarray, best: np.ndarray, least: float = COSINE) -> np.nd
 
 
 def assigned(classes: DataFrame, centers: dict[str, np.ndarray], margin: float | None = None, overlap: int = OVERLAP, least: float = COSINE) -> DataFrame:
-    """``space, rep, n, vec, home, holds, visits``: unit vectors and the clusters they lie in and look into.
+    """``space, rep, n, vec, home, holds, visits, angles``: unit vectors, the clusters they lie in and look into, and how far off those centres are.
 
     Without a ``margin`` queries look into every cluster that can be the home of a vector at ``least`` or nearer.
     """
@@ -101,7 +102,7 @@ def assigned(classes: DataFrame, centers: dict[str, np.ndarray], margin: float |
         for batch in batches:
             spaces = np.array(batch.column(0).to_pylist(), object)
             n = len(spaces)
-            home, holds, visits, vec = np.zeros(n, np.int32), [[0]] * n, [[0]] * n, [None] * n
+            home, holds, visits, angles, vec = np.zeros(n, np.int32), [[0]] * n, [[0]] * n, [[0.0]] * n, [None] * n
             for space in set(spaces):
                 rows = np.flatnonzero(spaces == space)
                 points = unit(matrix(batch.column(3).take(pa.array(rows))))
@@ -112,16 +113,19 @@ def assigned(classes: DataFrame, centers: dict[str, np.ndarray], margin: float |
                     order = np.argsort(-near, axis=1)
                     best = np.take_along_axis(near, order[:, :1], 1)
                     width = reach(known[space], order[:, 0], least) if margin is None else margin
-                    for i, o, hit in zip(rows, order, near >= best - width):
+                    angle = np.arccos(np.clip(near, -1, 1))
+                    for i, o, hit, away in zip(rows, order, near >= best - width, angle):
                         home[i], holds[i], visits[i] = o[0], o[:overlap].tolist(), np.flatnonzero(hit).tolist()
+                        angles[i] = away[visits[i]].tolist()
             kinds = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(vec, pa.list_(pa.float64())), pa.array(home), pa.array(holds, kinds), pa.array(visits, kinds)],
-                ["space", "rep", "n", "vec", "home", "holds", "visits"],
-            )
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(vec, pa.list_(pa.float64())), pa.array(home),
+                 pa.array(holds, kinds), pa.array(visits, kinds), pa.array(angles, pa.list_(pa.float64()))],
+                ["space", "rep", "n", "vec", "home", "holds", "visits", "angles"],
+            )
 
     return classes.select("space", "rep", "n", F.col("vec").cast("array<double>")).mapInArrow(
-        run, "space string, rep long, n long, vec array<double>, home int, holds array<int>, visits array<int>"
+        run, "space string, rep long, n long, vec array<double>, home int, holds array<int>, visits array<int>, angles array<double>"
     )
 
 
@@ -133,63 +137,80 @@ def _built(key, table):
     return pa.table({"rep": pa.array(ids), "near": pa.array(lists, pa.list_(pa.int64()))})
 
 
+class _Shard:
+    """A shard's vectors and united lists, ready for queries."""
+
+    def __init__(self, key, members: pa.Table, least: float):
+        members = members.sort_by("rep")
+        self.key, self.least = key, least
+        self.ids, self.count = members["rep"].to_numpy(), members["n"].to_numpy()
+        self.own = members["own"].to_numpy(zero_copy_only=False).astype(bool)
+        self.exact = matrix(members["vec"])
+        self.points = self.exact.astype(np.float32)
+        lists = members["near"].combine_chunks()
+        flat = lists.flatten().to_numpy()
+        owner = np.repeat(np.arange(len(self.ids)), pc.list_value_length(lists).to_numpy())
+        place = np.minimum(np.searchsorted(self.ids, flat), len(self.ids) - 1)
+        here = self.ids[place] == flat
+        owner, place = owner[here], place[here]
+        degree = np.bincount(owner, minlength=len(self.ids))
+        self.near = np.full((len(self.ids), max(1, int(degree.max(initial=0)))), -1, np.int32)
+        self.near[owner, np.arange(len(owner)) - np.repeat(np.cumsum(degree) - degree, degree)] = place
+        self.start = graph.entries(self.points, self.near)
+        self.audited, self.whole = 0, False
+
+    def verified(self, q, row, place):
+        """In double precision; what is indexed here as overlap only is counted at home."""
+        cosine = np.concatenate([np.einsum("ij,ij->i", q[row[i : i + 100_000]], self.exact[place[i : i + 100_000]]) for i in range(0, max(1, len(row)), 100_000)])
+        hit = (cosine >= self.least) & self.own[place]
+        return row[hit], place[hit]
+
+    def by_graph(self, q):
+        met = graph.search(self.points, self.near, q.astype(np.float32), self.start, WIDTH, 2, self.least - SLACK)[2]
+        return self.verified(q, *(np.concatenate([m[i] for m in met]) for i in (0, 1)))
+
+    def by_all(self, q):
+        return self.verified(q, *np.nonzero(q @ self.exact.T >= self.least - 1e-9))
+
+    def linked(self, q):
+        """(query, place) of all links.  The first queries, which come by a hash, are looked up in both ways: should the
+        graph have missed one of their links, they and all later ones are compared with the whole shard.
+        """
+        if self.whole:
+            return self.by_all(q)
+        found = self.by_graph(q)
+        asked = q[: max(0, AUDIT - self.audited)]
+        self.audited += len(asked)
+        if len(asked) and (lost := len(self.by_all(asked)[0]) - int((found[0] < len(asked)).sum())):
+            log.warning("audit of shard %s: %d links of %d queries missed by the graph; the shard is searched whole", self.key, lost, len(asked))
+            self.whole = True
+            return self.by_all(q)
+        return found
+
+    def answers(self, reps: np.ndarray, queries: np.ndarray):
+        """``rep, links, low`` rows: counts of links (low -1) and the edges of trees (links 0)."""
+        for at in range(0, len(reps), QUERIES_AT_ONCE):
+            q, asker = queries[at : at + QUERIES_AT_ONCE], reps[at : at + QUERIES_AT_ONCE]
+            row, place = self.linked(q)
+            other = self.ids[place] != asker[row]
+            row, place = row[other], place[other]
+            links = np.bincount(row, weights=self.count[place], minlength=len(q)).astype(np.int64)
+            some = np.flatnonzero(links)
+            nodes, low = roots(asker[row], self.ids[place])
+            nodes, low = nodes[nodes != low], low[nodes != low]
+            rows = [np.concatenate([asker[some], nodes]), np.concatenate([links[some], np.zeros(len(nodes), np.int64)]), np.concatenate([np.full(len(some), -1), low])]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["rep", "links", "low"])
+
+
+GROUP = ["space", "cluster", "block", "part"]
+
+
 def _searched(least: float):
-    def run(key, members, asking):
-        found = {"rep": [], "links": [], "low": []}
-        if len(members) and len(asking):
-            members = members.sort_by("rep")
-            ids, count = members["rep"].to_numpy(), members["n"].to_numpy()
-            own = members["own"].to_numpy(zero_copy_only=False).astype(bool)
-            exact = matrix(members["vec"])
-            points = exact.astype(np.float32)
-            lists = members["near"].combine_chunks()
-            flat = lists.flatten().to_numpy()
-            owner = np.repeat(np.arange(len(ids)), pc.list_value_length(lists).to_numpy())
-            place = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
-            here = ids[place] == flat
-            owner, place = owner[here], place[here]
-            degree = np.bincount(owner, minlength=len(ids))
-            near = np.full((len(ids), max(1, int(degree.max(initial=0)))), -1, np.int32)
-            near[owner, np.arange(len(owner)) - np.repeat(np.cumsum(degree) - degree, degree)] = place
-            start = graph.entries(points, near)
-            reps, queries = asking["rep"].to_numpy(), matrix(asking["vec"])
-
-            def verified(q, row, place):
-                """In double precision; what is indexed here as overlap only is counted at home."""
-                cosine = np.concatenate([np.einsum("ij,ij->i", q[row[i : i + 100_000]], exact[place[i : i + 100_000]]) for i in range(0, max(1, len(row)), 100_000)])
-                hit = (cosine >= least) & own[place]
-                return row[hit], place[hit]
-
-            def by_graph(q):
-                met = graph.search(points, near, q.astype(np.float32), start, WIDTH, 2, least - SLACK)[2]
-                return verified(q, *(np.concatenate([m[i] for m in met]) for i in (0, 1)))
-
-            def by_all(q):
-                return verified(q, *np.nonzero(q @ exact.T >= least - 1e-9))
-
-            find = by_graph
-            chosen = queries[np.argsort(reps.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")[:AUDIT]]
-            lost = len(by_all(chosen)[0]) - len(by_graph(chosen)[0])
-            if lost:
-                log.warning("audit of shard %s: %d links of %d queries missed by the graph; the shard is searched whole", key, lost, len(chosen))
-                find = by_all
-            for at in range(0, len(reps), QUERIES_AT_ONCE):
-                q = queries[at : at + QUERIES_AT_ONCE]
-                row, place = find(q)
-                asker = reps[at : at + QUERIES_AT_ONCE]
-                other = ids[place] != asker[row]
-                row, place = row[other], place[other]
-                links = np.bincount(row, weights=count[place], minlength=len(q)).astype(np.int64)
-                some = np.flatnonzero(links)
-                found["rep"].append(asker[some])
-                found["links"].append(links[some])
-                found["low"].append(np.full(len(some), -1))
-                nodes, low = roots(asker[row], ids[place])
-                found["rep"].append(nodes[nodes != low])
-                found["links"].append(np.zeros(int((nodes != low).sum()), np.int64))
-                found["low"].append(low[nodes != low])
-        joined = {k: np.concatenate(v) if v else np.empty(0, np.int64) for k, v in found.items()}
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in joined.items()})
+    def run(batches):
+        def asked(shard, batch):
+            yield from shard.answers(batch.column("rep").to_numpy(), matrix(batch.column("vec")))
+
+        yield from streamed(batches, GROUP, lambda key, members: _Shard(key, members, least), asked)
 
     return run
 
@@ -204,13 +225,15 @@ def near_duplicates(
     null ids or labels link with nothing: their component is their own id.  Equal vectors of a label are one
     class, searched once and counted by its rows, repeated rows included.
 
-    Queries look into every cluster that can be home to a linked vector (``reach``); a fixed ``margin`` proves nothing.
+    Queries look into every cluster that can be home to a linked vector, by the bound of ``reach`` and by the cluster's
+    radius; a fixed ``margin`` proves nothing.
     Each class lies in its nearest ``OVERLAP`` clusters.  A cluster's shards hold ``most_rows`` at most; one that is larger is cut into
     blocks by a hash, and its queries look into all of them, themselves in blocks.  Every shard gets a
-    robust-pruned graph; the adjacency lists of a vector from all its shards are united, and a search task
-    holds a shard's vectors with the united lists.  Queries start at the medoid, go on greedily and expand from all
-    in range.  Each task audits its graph: ``AUDIT`` queries, chosen by a hash, are compared with all
-    vectors of the shard, and if a link was missed, all its queries are.  Tasks return counts and the edges of trees, never all pairs.
+    robust-pruned graph; the adjacency lists of a vector from all its shards are united.  A shard's vectors with the
+    united lists are moved once, and its queries stream past them: they start at the medoid, go on greedily and expand
+    from all in range.  Each shard audits its graph: its first ``AUDIT`` queries, in the order of a hash, are compared with
+    all its vectors, and if a link was missed, all its queries are.  Answers are counts and the edges of trees, never all pairs.
+    Other columns are ignored, whatever their names.
     """
     spark = vectors.sparkSession
     space = F.concat_ws(":", F.col(same).cast("string") if same else F.lit("all"), F.size("embedding").cast("string"))
@@ -231,16 +254,19 @@ def near_duplicates(
     lists = held.select(*key, "block", "rep", "vec").groupBy(*key, "block").applyInArrow(_built, "rep long, near array<long>")
     united = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    index = held.join(united, "rep").select(*key, "block", every(F.col("blocks")).alias("part"), "rep", "n", "vec", "near", "own")
-    asking = placed.select("space", F.explode("visits").alias("cluster"), "rep", "vec").join(sizes, key)
-    asking = asking.select(*key, block.alias("part"), every(F.col("blocks")).alias("block"), "rep", "vec")
-    # names anew: both sides of the cogroup come from one table
+    index = held.join(united, "rep").select(*key, "block", every(F.col("blocks")).alias("part"), "rep", "n", "vec", "near", "own", F.lit(0).cast("long").alias("turn"))
+    looks = F.explode(F.arrays_zip(F.col("visits").alias("cluster"), F.col("angles").alias("angle"))).alias("v")
+    # nobody at home in a cluster is farther from its centre than its radius
+    radius = placed.select("space", F.col("home").alias("cluster"), F.element_at("angles", F.array_position("visits", F.col("home")).cast("int")).alias("angle"))
+    radius = settled(radius.groupBy(*key).agg(F.max("angle").alias("radius")), "vector-radius")
+    near_enough = F.col("angle") <= F.col("radius") + math.acos(min(1.0, max(-1.0, least))) + 1e-6
+    asking = placed.select("space", looks, "rep", "vec").select("space", "v.cluster", "v.angle", "rep", "vec").join(radius, key).where(near_enough)
+    asking = asking.join(sizes, key).select(*key, block.alias("part"), every(F.col("blocks")).alias("block"), "rep", "vec", F.xxhash64("rep", F.lit(7)).alias("turn"))
+    groups = sizes.agg(F.sum(F.col("blocks") * F.col("blocks"))).first()[0] or 1
+    # names anew: both sides come from one table
     asking = asking.toDF(*asking.columns)
-    group = [*key, "block", "part"]
-    found = settled(
-        index.groupBy(*group).cogroup(asking.groupBy(*group)).applyInArrow(_searched(least), "rep long, links long, low long"),
-        "vector-links",
-    )
+    found = past(index, asking, GROUP, "turn", int(groups)).mapInArrow(_searched(least), "rep long, links long, low long")
+    found = settled(found, "vector-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.where("low >= 0").select(F.col("rep").alias("a"), F.col("low").alias("b")))
     named = (

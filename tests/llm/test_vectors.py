@@ -29,7 +29,7 @@ def sample(seed=0, n=500, d=16):
 @pytest.mark.parametrize("shard_rows, most_rows", [(1500, 4096), (60, 4096), (60, 25)])
 def test_near_duplicates(spark, shard_rows, most_rows):
     rows = sample()
-    table = spark.createDataFrame(rows, ROWS)
+    table = spark.createDataFrame(rows, ROWS).withColumns({c: F.lit(1) for c in ("rep", "shard", "part", "kind", "cluster", "place")})
     found = neardup_vectors.near_duplicates(table, shard_rows=shard_rows, most_rows=most_rows, margin=0.4).collect()
     assert len(found) == len(rows)
     good = [r for r in rows if r[0] is not None and r[2] is not None and r[0] < 9001]
@@ -56,7 +56,7 @@ def test_near_duplicates(spark, shard_rows, most_rows):
 @pytest.mark.parametrize("shard_rows, query_rows", [(4096, 4096), (90, 7)])
 def test_nearest(spark, shard_rows, query_rows):
     rows = sample(3)
-    table = spark.createDataFrame(rows, ROWS)
+    table = spark.createDataFrame(rows, ROWS).withColumns({c: F.lit(1) for c in ("rep", "shard", "part", "kind", "cluster", "place")})
     found = ann.search(ann.index(table, shard_rows), table, F.col("vec_id") % 20 == 0, query_rows=query_rows).collect()
     good = {r[0]: np.array(r[1]) for r in rows if r[0] is not None and r[0] < 9001} | {9007: np.array(rows[60][1])}
     ids = np.array(sorted(good))
