@@ -5,6 +5,9 @@ import os
 import tempfile
 import time
 
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
+
 from mailrisk.plans.catalog import QUERIES
 from mailrisk.session import build_session
 
@@ -35,6 +38,8 @@ HEADLINE = [
     "export_metrics_table",
     "classify_stream_rows",
     "metrics_stream_rows",
+    "service_alerts_stream",
+    "answered_mail",
 ]
 
 
@@ -60,9 +65,12 @@ def main():
     QUERIES["request_counts"](spark, sf_dir).collect()  # start the JVM's machinery
     seconds = {}
     for name in HEADLINE:
+        counted = Observation()
         start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        QUERIES[name](spark, sf_dir).observe(counted, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        # a query that reads nothing is no fast one
+        assert counted.get["rows"] > 0, name
     messages = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     print(

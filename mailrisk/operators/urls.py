@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from mailrisk.functions import urls as U
 from mailrisk.functions.common import computed_once, let
-from mailrisk.operators.domains import domain_dimension, lookup, registered_domains
+from mailrisk.operators.domains import TASK_ROWS, domain_dimension, lookup, registered_domains
 from mailrisk.session import settled
 
 
@@ -19,10 +19,11 @@ def message_urls(messages: DataFrame, limit: int | None = None) -> DataFrame:
     )
 
 
-def domain_intel(urls: DataFrame, intel: DataFrame, as_of) -> DataFrame:
+def domain_intel(urls: DataFrame, intel: DataFrame, as_of, task_rows: int = TASK_ROWS) -> DataFrame:
     """Attach what is known about a URL's domain, and its age on ``as_of``.
 
-    ``intel`` has one row per domain (see ``schemas.DOMAIN_INTEL``).
+    ``intel`` has one row per domain (see ``schemas.DOMAIN_INTEL``).  Domains with more than ``task_rows`` URLs
+    are spread over several tasks.
     """
     known = intel.select(
         "domain",
@@ -30,7 +31,7 @@ def domain_intel(urls: DataFrame, intel: DataFrame, as_of) -> DataFrame:
     )
     located = urls.withColumn("domain", U.url_domain(F.col("url")))
     age = F.datediff(F.lit(as_of).cast("date"), F.col("intel.registered_on"))
-    joined = lookup(located, known, "domain", ["message_id", "pos"])
+    joined = lookup(located, known, "domain", ["message_id", "pos"], task_rows)
     return joined.withColumn("age_days", age)
 
 

@@ -192,7 +192,7 @@ def test_hot_domain_is_spread_over_tasks(spark):
         )
         intel = spark.createDataFrame([("hot.org", datetime.date(2024, 1, 1), 1, None, 200, False)],
             "domain string, registered_on date, redirects int, final_url string, status int, blacklisted boolean")
-        joined = O.domain_intel(urls, intel, "2024-02-01")
+        joined = O.domain_intel(urls, intel, "2024-02-01", task_rows=200)
         assert joined.count() == 4000
         hot = joined.filter("domain = 'hot.org'").groupBy(F.spark_partition_id().alias("p")).count().collect()
         assert len(hot) > 1 and sum(r["count"] for r in hot) == 1334
