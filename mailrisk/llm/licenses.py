@@ -179,6 +179,28 @@ def anchors(templates: list[tuple[str, Counter]], idf: dict[str, float], least:
     return found
 
 
+def reachable(words: Column, known: list[tuple[str, Counter]], idf: dict[str, float], rare: float, least: float) -> Column:
+    """False only for parts whose foreign words alone keep every cosine below ``least``.
+
+    With k foreign words, d distinct ones, a part's norm beside the templates' words is at least ``rare * k / sqrt(d)``.
+    Its product with a unit template is at most the sum over its other words of what each can add to any template:
+    the largest such value for the few heavy words, an eighth of it for the rest.
+    """
+    adds = {}
+    for _, bag in known:
+        norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in bag.items()))
+        for w, n in bag.items():
+            adds[w] = max(adds.get(w, 0.0), n * idf[w] ** 2 / norm)
+    most = max(adds.values())
+    heavy = sorted(w for w, x in adds.items() if x > most / 8)
+    light = sorted(w for w, x in adds.items() if x <= most / 8)
+    foreign = F.filter(words, lambda w: ~w.isin([*heavy, *light]))
+    n_heavy = F.size(F.filter(words, lambda w: w.isin(heavy))) if heavy else F.lit(0)
+    product = n_heavy * most + (F.size(words) - F.size(foreign) - n_heavy) * (most / 8)
+    beside = F.size(foreign) / F.sqrt(F.greatest(F.size(F.array_distinct(foreign)), F.lit(1))) * rare
+    return product * (1 + 1e-9) >= least / math.sqrt(max(1e-12, 1 - least * least)) * beside * (1 - 1e-9)
+
+
 def own_licences(files: DataFrame, least: float = LEAST, templates=None) -> DataFrame:
     """``file_id, text_hash, licence, score``: files with a part near to a template.
 
@@ -207,7 +229,8 @@ def own_licences(files: DataFrame, least: float = LEAST, templates=None) -> Data
     marked = marked.where(F.arrays_overlap("words", needed))
     parted = marked.select("file_id", "text_hash", F.posexplode(units(F.col("text"), F.col("words"), templates)).alias("nth", "words"))
     part = ["file_id", "text_hash", "nth"]
-    candidates = parted.where(F.arrays_overlap("words", needed)).dropDuplicates(part)
+    # rows that occur several times count every word as often more, which no cosine notices
+    candidates = parted.where(F.arrays_overlap("words", needed) & reachable(F.col("words"), known, idf, rare, least))
     terms = candidates.select(*part, F.explode("words").alias("word")).groupBy(*part, "word").agg(F.count("*").alias("tf"))
     weights = spark.createDataFrame(sorted(idf.items()), "word string, idf double")
     terms = settled(

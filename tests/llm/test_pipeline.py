@@ -1,5 +1,9 @@
 """Licences, the pipeline and the entry."""
 
+import math
+import random
+from collections import Counter
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +31,31 @@ def test_licences(spark):
     assert licenses.scan(table.limit(0)).count() == 0
 
 
+def test_parts_out_of_reach_are_below_the_threshold(spark):
+    """What is left out before words are counted could not have come near; random mixtures of templates and other words."""
+    draw = random.Random(5)
+    known = licenses.bags()
+    vocabulary = sorted({w for _, bag in known for w in bag})
+    idf = {w: 1 + 9 * draw.random() for w in vocabulary}
+    rare, parts = 11.0, []
+    for _ in range(1500):
+        words = [w for w in draw.choice(known)[1].elements() if draw.random() < 0.95] * draw.choice([1, 1, 3])
+        words += [f"z{draw.randrange(draw.choice([2, 400]))}" for _ in range(draw.choice([0, 1, 3, 10, 100]))] + draw.choices(vocabulary, k=draw.choice([0, 2, 20]))
+        parts.append(words or ["z"])
+    table = spark.createDataFrame(list(enumerate(parts)), "i int, words array<string>")
+    kept = {r.i for r in table.where(licenses.reachable(F.col("words"), known, idf, rare, 0.8)).select("i").collect()}
+    near = set()
+    for i, words in enumerate(parts):
+        own = {w: n * idf.get(w, rare) for w, n in Counter(words).items()}
+        norm = math.sqrt(sum(x * x for x in own.values()))
+        for _, bag in known:
+            other = {w: n * idf[w] for w, n in bag.items()}
+            cosine = sum(x * other.get(w, 0) for w, x in own.items()) / norm / math.sqrt(sum(x * x for x in other.values()))
+            if cosine >= 0.8:
+                near.add(i)
+    assert near <= kept and len(near) > 100 and len(kept) < len(parts)
+
+
 BSD = """Copyright (c) 2020, Someone
 
  * Redistribution and use in source and binary forms, with or without
