@@ -86,10 +86,16 @@ UNION ALL SELECT NULL, count(*), 'corrupt', 'corrupt' FROM log WHERE event_id %
 
 # --- streams: windows that the watermark, ten minutes behind the last row, has passed ----
 PASSED = "(SELECT max(ts) - INTERVAL '10 minutes' FROM events)"
+# a stream of chosen rows has the watermark of those rows: filters are applied before it
+CHOSEN = {
+    "label_counts": "event_type NOT IN ('error', 'view')", "phishing_share": "event_type NOT IN ('error', 'view')",
+    "error_types": "event_type = 'error'", "auth_failures": "event_type = 'error' AND event_id % 3 = 2",
+}
 for name, width in WIDTHS.items():
+    passed = PASSED.replace("FROM events", f"FROM events WHERE {CHOSEN.get(name, 'true')}")
     ORACLES[f"{name}_stream"] = (
         f"SELECT * FROM ({sql.ORACLES[name]}) AS batch\n"
-        f"WHERE strptime(window_start, '%Y-%m-%d %H:%M:%S') + INTERVAL '{width}' <= {PASSED}"
+        f"WHERE strptime(window_start, '%Y-%m-%d %H:%M:%S') + INTERVAL '{width}' <= {passed}"
     )
 oracle("request_counts_stream", f"""SELECT method, endpoint, status, count(*) AS n_requests FROM log
 WHERE date_trunc('hour', log.ts) + INTERVAL '1 hour' <= {PASSED} GROUP BY ALL""")

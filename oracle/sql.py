@@ -510,8 +510,8 @@ judged AS (SELECT f.*, expected_label, expected_score, lang FROM final f
   JOIN truth USING (message_id) JOIN acc USING (message_id)),
 results AS (
   SELECT l.doc_id AS name, 'quality ' || quality AS category, expected_label, coalesce(label, '') AS label,
-    coalesce(abs(risk_score - expected_score), -1) AS score_diff, coalesce(label = expected_label, false) AS label_ok,
-    coalesce(abs(risk_score - expected_score) <= 20, false) AS score_ok,
+    coalesce(abs(f.risk_score - expected_score), -1) AS score_diff, coalesce(label = expected_label, false) AS label_ok,
+    coalesce(abs(f.risk_score - expected_score) <= 20, false) AS score_ok,
     label_ok AND score_ok AS passed, f.label IS NOT NULL AND coalesce(duration_ms <= 3000, false) AS latency_ok
   FROM labels l JOIN truth t ON t.message_id = l.doc_id LEFT JOIN final f ON f.message_id = l.doc_id
   LEFT JOIN log ON event_id = l.doc_id)"""
