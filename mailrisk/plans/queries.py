@@ -1236,18 +1236,27 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, purpose: str) -> DataFrame:
-    """Run a stream over all input there is and read what it wrote."""
+    """Run a stream over all input there is and read what it wrote.
+
+    Every partition of every stateful step keeps a store of its own, so there are no more than tasks at a time.
+    """
     spark = stream.sparkSession
     path = shared_dir(spark, purpose)
-    run = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", f"{path}/rows")
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, min(int(before), max(4, spark.sparkContext.defaultParallelism)))
+    try:
+        run = (
+            stream.writeStream.format("parquet")
+            .outputMode("append")
+            .option("path", f"{path}/rows")
+            .option("checkpointLocation", f"{path}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        run.awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
