@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mailrisk.llm import graph
 from mailrisk.llm.shared import settled
-from mailrisk.llm.vectors import matrix, past, streamed, usable
+from mailrisk.llm.vectors import SPARSE, matrix, past, streamed, usable
 
 NEAREST = 20
 # a shard has as many rows as fit the bytes, but not so many that there are fewer shards than tasks at a time
@@ -56,9 +56,9 @@ def index(vectors: DataFrame, shard_rows: int | None = None) -> DataFrame:
     dealt = rows.join(sizes, "space").select(
         "space", F.pmod(F.xxhash64("vec_id", F.lit(13)), F.col("shards")).cast("int").alias("shard"), "vec_id", "vec"
     )
-    # a task per shard: small shards would else be put together, and building is what takes time
+    # a task per shard, as building is what takes time: more partitions than shards, so that few hash to the same one
     shards = sizes.agg(F.coalesce(F.sum("shards"), F.lit(1))).first()[0]
-    dealt = dealt.repartition(int(shards), "space", "shard")
+    dealt = dealt.repartition(SPARSE * int(shards), "space", "shard")
     schema = "space int, shard int, vec_id long, vec array<double>, place int, near array<int>"
     return settled(dealt.groupBy("space", "shard").applyInArrow(_built, schema), "ann-index")
 

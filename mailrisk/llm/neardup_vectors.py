@@ -19,8 +19,9 @@ COSINE = 0.93
 # expansion goes on from vectors this much below the threshold
 SLACK = 0.03
 # vectors in a shard; centroids in all, which bounds what the driver holds; sample per centroid
-SHARD_ROWS = 1500
-MOST_ROWS = 4096
+# (few large shards: a query's search costs about as much in a large graph as in a small one, and it visits fewer)
+SHARD_ROWS = 6000
+MOST_ROWS, MOST_BYTES = 16_384, 64 << 20
 MOST_CENTROIDS = 4096
 SAMPLE_PER_CENTROID = 24
 # a vector belongs to its nearest clusters; queries visit every cluster that can be nearest to a linked vector
@@ -246,7 +247,8 @@ def near_duplicates(
     known = centroids(classes, shard_rows)
     placed = settled(assigned(classes, known, margin, least=least), "vector-clusters")
     held = placed.select("space", F.explode("holds").alias("cluster"), "home", "rep", "n", "vec")
-    sizes = held.groupBy("space", "cluster").agg(F.ceil(F.count("*") / most_rows).cast("int").alias("blocks"))
+    fit = F.greatest(F.least(F.lit(most_rows), F.floor(F.lit(MOST_BYTES) / 8 / F.max(F.size("vec")))), F.lit(1))
+    sizes = held.groupBy("space", "cluster").agg(F.ceil(F.count("*") / fit).cast("int").alias("blocks"))
     sizes = settled(sizes, "vector-blocks")
     key = ["space", "cluster"]
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")

@@ -32,13 +32,17 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+# partitions for each group that is one task's work: hashes seldom put two into one then
+SPARSE = 4
+
+
 def past(index: DataFrame, asking: DataFrame, group: list[str], order: str, groups: int) -> DataFrame:
     """Both tables' rows with ``kind`` 0 and 1, sorted by group, kind and ``order`` within partitions, for `streamed`.
 
     A group's index is moved once; queries follow it as a stream of any length.
     """
     both = index.withColumn("kind", F.lit(0)).unionByName(asking.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-    return both.repartition(max(1, groups), *group).sortWithinPartitions(*group, "kind", order)
+    return both.repartition(max(1, SPARSE * groups), *group).sortWithinPartitions(*group, "kind", order)
 
 
 def streamed(batches: Iterator[pa.RecordBatch], group: list[str], opened: Callable, asked: Callable) -> Iterator[pa.RecordBatch]:

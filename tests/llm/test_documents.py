@@ -79,6 +79,15 @@ def test_near_duplicates(spark, block):
     assert len(got) == 150 and len(edges) > 20
 
 
+def test_very_long_texts_have_the_fingerprint_of_a_plain_count():
+    """Megabytes of words, counted block by block, against one count of all shingles."""
+    draw = np.random.default_rng(7)
+    text = " ".join(f"w{i}" for i in draw.integers(0, 5000, 300_000).tolist())
+    every = simhash.shingles(text, 4)
+    bits = [2 * int(((every >> np.uint64(b)) & np.uint64(1)).sum()) > len(every) for b in range(64)]
+    assert simhash.fingerprint(text, 4) == sum(1 << b for b, one in enumerate(bits) if one) == simhash.fingerprint(text, 4, block=977)
+
+
 def test_near_finds_what_all_pairs_connect():
     draw = np.random.default_rng(0)
     centres = draw.integers(-(1 << 63), (1 << 63) - 1, 4)
