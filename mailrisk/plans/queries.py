@@ -28,7 +28,7 @@ from mailrisk.operators.review import review_requests, score_with_reviewer
 from mailrisk.operators.validate import check_verdict, fill_defaults, require_content
 from mailrisk.plans import four_class
 from mailrisk.plans.classify import classify
-from mailrisk.plans.views import gauge_view, log_view, mail_of, mail_view, table
+from mailrisk.plans.views import gauge_view, log_of, log_view, mail_of, mail_view, table
 from mailrisk.session import settled, shared_dir, stateful
 from mailrisk.sources.cases import case_messages, read_cases
 from mailrisk.sources.eml import parse_eml
@@ -40,7 +40,9 @@ from mailrisk.sources.messages import (
     typed_ingest,
 )
 from mailrisk.sources.sinks import export_metrics, write_verdicts
-from mailrisk.streaming.streams import alerts_stream, classify_stream, metrics_stream
+from mailrisk.streaming import streams
+from mailrisk.streaming.stateful import alerts_stream, sliding_stream
+from mailrisk.streaming.streams import classify_stream, metrics_stream
 
 QUERIES = {}
 
@@ -1269,8 +1271,6 @@ def classify_stream_rows(spark, sf_dir):
 
 
 def streamed_metrics(spark, sf_dir):
-    from mailrisk.plans.views import log_of
-
     logs = log_of(stream_of(spark, sf_dir, "events")).withColumn(
         "ts", F.col("ts").cast("timestamp")
     )
@@ -1286,22 +1286,20 @@ def metrics_stream_rows(spark, sf_dir):
 
 @query
 def alerts_stream_rows(spark, sf_dir):
-    path = shared_dir(spark, "ticks")
-    counts = streamed_metrics(spark, sf_dir)
-    rule_rows = F.array(
-        F.struct(
-            F.lit("error_burst").alias("rule"),
-            (F.col("n_5xx") / F.col("n_requests") * 100 > 5).alias("breach"),
-        ),
-        F.struct(
-            F.lit("quiet_hour").alias("rule"), (F.col("n_classified") < 8).alias("breach")
-        ),
-    )
-    ticks = counts.select(
-        F.lit("all").alias("series"), F.col("window_start").alias("ts"), F.col("window_end").alias("closes"),
-        F.explode(rule_rows).alias("c"),
-    ).select("c.rule", "series", "ts", "c.breach", "closes")
-    ticks.write.parquet(path)
-    stream = stateful(spark).readStream.schema(ticks.schema).parquet(path).withWatermark("closes", "0 seconds")
-    changes = drained(alerts_stream(stream, ALERT_HOLDS, step_seconds(ALERT_STEP)), "alert-stream")
+    """Two rules on every hour of the log, hours without rows included, and their changes of state."""
+    logs = log_of(stream_of(stateful(spark), sf_dir, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+    sums = {
+        "n_requests": F.count("*"),
+        "n_5xx": F.count_if(monitor.is_5xx()),
+        "n_classified": F.count_if(monitor.classified()),
+    }
+    conditions = {
+        "error_burst": lambda of: monitor.percent(of("n_5xx"), of("n_requests")) > 5,
+        "quiet_hour": lambda of: of("n_classified") < 8,
+    }
+    step = step_seconds(ALERT_STEP)
+    buckets = streams.step_buckets(logs, ALERT_STEP, F.lit("all"), "10 minutes", sums)
+    windows = sliding_stream(buckets, list(sums), [step], step, "series")
+    ticks = streams.alerts_of_windows(windows, conditions, lambda rule: step)
+    changes = drained(alerts_stream(ticks, ALERT_HOLDS, step), "alert-stream")
     return changes.select("rule", time_text("ts"), "state", time_text("since"))

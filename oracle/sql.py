@@ -1058,10 +1058,14 @@ closed AS (
   HAVING date_trunc('hour', min(ts)) + INTERVAL '1 hour' <= (SELECT max(ts) FROM log) - INTERVAL '10 minutes')"""
 oracle("metrics_stream_rows", f"SELECT {times()}, n_requests, n_5xx, n_4xx, n_auth, n_classified, n_phishing FROM closed", CLOSED)
 STATES = CLOSED + """,
+closed_hours AS (
+  SELECT unnest(generate_series(date_trunc('hour', min(ts)), date_trunc('hour', max(ts) - INTERVAL '10 minutes') - INTERVAL '1 hour', INTERVAL '1 hour')) AS window_start
+  FROM log),
 st AS (
-  SELECT rule, window_start AS ts, CASE rule WHEN 'error_burst' THEN n_5xx / n_requests * 100 > 5 ELSE n_classified < 8 END AS breach,
+  SELECT rule, window_start AS ts,
+    CASE rule WHEN 'error_burst' THEN coalesce(n_5xx / n_requests * 100 > 5, false) ELSE coalesce(n_classified, 0) < 8 END AS breach,
     CASE rule WHEN 'error_burst' THEN 1 ELSE 2 END AS hold_hours
-  FROM closed CROSS JOIN (VALUES ('error_burst'), ('quiet_hour')) r(rule)),
+  FROM closed_hours LEFT JOIN closed USING (window_start) CROSS JOIN (VALUES ('error_burst'), ('quiet_hour')) r(rule)),
 sr AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY ts) - row_number() OVER (PARTITION BY rule, breach ORDER BY ts) AS run FROM st),
 ss AS (SELECT *, CASE WHEN breach THEN min(ts) OVER (PARTITION BY rule, breach, run) END AS since FROM sr),
 sn AS (SELECT *, CASE WHEN NOT breach THEN 'inactive' WHEN ts - since >= hold_hours * INTERVAL '1 hour' THEN 'firing' ELSE 'pending' END AS state FROM ss),
