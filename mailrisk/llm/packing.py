@@ -36,53 +36,55 @@ def _packed_ids(ids: list[int]) -> bytes:
 
 
 class WordIds(dict):
-    """Ids of a blank and the word behind it, as little-endian bytes, remembered.
+    """Ids of a blank and the word behind it, as little-endian bytes, remembered under the word.
 
     Byte-level tokenizers never merge across a blank that a word follows, so a text's ids
     are those of its parts.  Two generations of words are kept: memory stays bounded and
-    frequent words stay known.
+    frequent words stay known.  ``bare`` knows parts that no blank precedes.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, blank: str = " ", model=None):
+        if model is None:
+            from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
+            model = Tokenizer.from_file(path)
+        self.whole, self.model, self.blank = model, model.model, blank
         self.old: dict[str, bytes] = {}
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in kept]
         # the byte alphabet of such vocabularies: printable bytes stand for themselves
         self.alphabet = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.bare = WordIds(path, "", model) if blank else self
 
-    def letters(self, part: str) -> bytes:
+    def letters(self, word: str) -> bytes:
         """Ids of letters, with or without a blank before them: one word for the model."""
-        if part.isascii():
-            known = "\u0120" + part[1:] if part[0] == " " else part
+        if word.isascii():
+            known = "\u0120" + word if self.blank else word
         else:
-            known = part.encode().decode("latin-1").translate(self.alphabet)
+            known = (self.blank + word).encode().decode("latin-1").translate(self.alphabet)
         return _packed_ids([t.id for t in self.model.tokenize(known)])
 
-    def encode(self, part: str) -> bytes:
-        word = part[1:] if part[:1] == " " else part
+    def encode(self, word: str) -> bytes:
         if word.isalpha() and max(word) < "ɐ":
-            return self.letters(part)
+            return self.letters(word)
         # marks and a lone line feed behind a letter, and what follows, are words of their own
-        if len(word) > 1 and part[-1] in ".,;:!?" and word[-2].isalpha() and word[-2] < "ɐ":
-            return self[part[:-1]] + self[part[-1]]
-        line, feed, rest = part.partition("\n")
+        if len(word) > 1 and word[-1] in ".,;:!?" and word[-2].isalpha() and word[-2] < "ɐ":
+            return self[word[:-1]] + self.bare[word[-1]]
+        line, feed, rest = word.partition("\n")
         if feed and line.strip() and rest and not line[-1].isspace() and not rest[0].isspace():
-            return self[line] + self[feed] + self[rest]
-        return _packed_ids(self.whole.encode(part, add_special_tokens=False).ids)
+            return self[line] + self.bare[feed] + self.bare[rest]
+        return _packed_ids(self.whole.encode(self.blank + word, add_special_tokens=False).ids)
 
-    def __missing__(self, part: str) -> bytes:
-        ids = self.old.get(part)
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
         if ids is None:
-            ids = self.encode(part)
+            ids = self.encode(word)
         if len(self) >= CACHE:
             self.old = dict(self)
             self.clear()
-        if len(part) < 200:
-            self[part] = ids
+        # what spans lines hardly ever comes again
+        if len(word) < 200 and "\n" not in word[:-1]:
+            self[word] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
@@ -90,8 +92,8 @@ class WordIds(dict):
             first, *words = _BEFORE_WORD.split(text)
         else:
             first, *words = text.split(" ")
-        head = self.encode(first) if first else b""
-        return head + b"".join(map(self.__getitem__, [" " + w for w in words]))
+        head = self.bare.encode(first) if first else b""
+        return head + b"".join(map(self.__getitem__, words))
 
 
 _KNOWN: dict[str, WordIds] = {}
