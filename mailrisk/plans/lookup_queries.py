@@ -156,7 +156,7 @@ def read_log_fields(spark, sf_dir):
     path = shared_dir(spark, "log-fields")
     logs.select(F.when(F.col("event_id") % 10 == 3, F.left(line, F.lit(30))).otherwise(line).alias("value")).write.text(path)
     good, corrupt = split_logs(read_logs(spark, path, open_fields=True))
-    rows = good.select(open_field("request_id", "string").alias("request_id"), open_field("within_slo", "boolean").alias("within_slo"))
+    rows = good.select(open_field("request_id", "string").alias("request_id"), open_field("within_slo", "boolean").cast("string").alias("within_slo"))
     return rows.groupBy("within_slo").agg(F.count("*").alias("n"), F.min("request_id").alias("first_id"), F.max("request_id").alias("last_id")).unionByName(
-        corrupt.agg(F.lit(None).cast("boolean").alias("within_slo"), F.count("*").alias("n"), F.lit("corrupt").alias("first_id"), F.lit("corrupt").alias("last_id"))
+        corrupt.agg(F.lit("corrupt").alias("within_slo"), F.count("*").alias("n"), F.lit("corrupt").alias("first_id"), F.lit("corrupt").alias("last_id"))
     )

@@ -80,9 +80,9 @@ LEFT JOIN (
 oracle("review_several", """SELECT message_id, CASE message_id % 2 WHEN 0 THEN 'phishing' ELSE 'spam' END AS label,
   CASE message_id % 2 WHEN 0 THEN 85 ELSE 35 END AS risk_score,
   CASE message_id % 2 WHEN 0 THEN 'VEREDICTO: PHISHING' ELSE 'VEREDICTO: SPAM' END AS analysis FROM acc""")
-oracle("read_log_fields", """SELECT duration_ms <= 2000 AS within_slo, count(*) AS n, min('r-' || event_id) AS first_id, max('r-' || event_id) AS last_id
+oracle("read_log_fields", """SELECT (duration_ms <= 2000)::VARCHAR AS within_slo, count(*) AS n, min('r-' || event_id) AS first_id, max('r-' || event_id) AS last_id
 FROM log WHERE event_id % 10 <> 3 GROUP BY 1
-UNION ALL SELECT NULL, count(*), 'corrupt', 'corrupt' FROM log WHERE event_id % 10 = 3""")
+UNION ALL SELECT 'corrupt', count(*), 'corrupt', 'corrupt' FROM log WHERE event_id % 10 = 3""")
 
 # --- streams: windows that the watermark, ten minutes behind the last row, has passed ----
 PASSED = "(SELECT max(ts) - INTERVAL '10 minutes' FROM events)"
