@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from mailrisk import rules
 from mailrisk.functions import headers as H
 from mailrisk.functions.attachments import attachment_points
+from mailrisk.functions.common import computed_once
 from mailrisk.functions.redact import redaction_entries
 from mailrisk.operators.domains import lookup
 
@@ -94,9 +95,13 @@ def attachment_hash(
 
 
 def top_brands(messages: DataFrame, brands: str = "brands") -> DataFrame:
-    """Messages per mentioned brand."""
+    """Messages per mentioned brand.
+
+    Spark filters empty lists before it explodes, by repeating what makes them; so they are made first.
+    """
     return (
-        messages.select(F.explode(brands).alias("brand"))
+        computed_once(messages, [], {"brands": F.col(brands)})
+        .select(F.explode("brands").alias("brand"))
         .groupBy("brand")
         .agg(F.count("*").alias("n_messages"))
     )
