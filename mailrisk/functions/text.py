@@ -119,7 +119,8 @@ def brand_mentions(clean: Column, whole_word: bool = False) -> Column:
     """Brand names in the text, in rule order; ``whole_word`` avoids "ing" in words."""
     names = [name for group in rules.BRAND_NAMES.values() for name in group]
     if whole_word:
-        return kept(*[(clean.rlike(whole_words([n])), F.lit(n)) for n in names])
+        # a plain search rules most names out before their pattern is tried
+        return kept(*[(clean.contains(n) & clean.rlike(whole_words([n])), F.lit(n)) for n in names])
     return kept(*[(clean.contains(n), F.lit(n)) for n in names])
 
 
