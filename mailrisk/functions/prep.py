@@ -3,6 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mailrisk.functions.common import let
 from mailrisk.functions.regex import BLANK_RUN
 
 # What the interactive service keeps of a mail without a blank line.
@@ -25,9 +26,17 @@ def replace_closed(text: Column, pattern: str, closing: str, by: str) -> Column:
     Nothing behind the last closing can match, so openings there are not tried: each
     would scan the rest of the text.
     """
-    closed = F.regexp_extract(text, rf"(?is)\A(.*{closing})", 1)
-    rest = F.substring(text, F.length(closed) + 1, F.length(text))
-    return F.concat(F.regexp_replace(closed, pattern, by), rest)
+    def replaced(whole, closed):
+        rest = F.substring(whole, F.length(closed) + 1, F.length(whole))
+        return F.concat(F.regexp_replace(closed, pattern, by), rest)
+
+    # bound, as several of these steps on one another would else repeat their text each time
+    return let(
+        text,
+        lambda whole: let(
+            F.regexp_extract(whole, rf"(?is)\A(.*{closing})", 1), lambda closed: replaced(whole, closed)
+        ),
+    )
 
 
 def without_elements(html: Column, *elements: str) -> Column:
@@ -48,7 +57,8 @@ def html_to_text(html: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Entities to blanks, blanks squeezed, lower case."""
-    text = F.regexp_replace(text, "&[a-zA-Z0-9#]+;", " ")
+    entities = F.regexp_replace(text, "&[a-zA-Z0-9#]+;", " ")
+    text = F.when(text.contains("&"), entities).otherwise(text)
     return F.lower(F.trim(F.regexp_replace(text, BLANK_RUN, " ")))
 
 
