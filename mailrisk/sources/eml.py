@@ -120,9 +120,20 @@ def _mail_files(reader, path: str, pattern: str) -> DataFrame:
     return files.load(path).select("path", "content")
 
 
+# So many of a scan's partitions go to one task.
+_PARTITIONS_A_TASK = 32
+
+
+def _packed(files: DataFrame) -> DataFrame:
+    """Fewer tasks, without a shuffle: a scan counts a file as some megabytes at least, so few small ones fill a partition."""
+    n = files.rdd.getNumPartitions()
+    least = min(n, 4 * files.sparkSession.sparkContext.defaultParallelism)
+    return files.coalesce(max(least, n // _PARTITIONS_A_TASK, 1))
+
+
 def read_eml(spark: SparkSession, path: str, pattern: str = "*.eml", **limits) -> DataFrame:
     """All mail files below ``path``, one row per file; empty files have none.  ``limits`` as in `parse_eml`."""
-    return parse_eml(_mail_files(spark.read.format("binaryFile"), path, pattern), **limits)
+    return parse_eml(_packed(_mail_files(spark.read.format("binaryFile"), path, pattern)), **limits)
 
 
 def stream_eml(spark: SparkSession, path: str, pattern: str = "*.eml", **limits) -> DataFrame:
