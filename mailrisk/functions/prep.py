@@ -48,18 +48,26 @@ def without_elements(html: Column, *elements: str) -> Column:
     return text
 
 
+def squeezed(text: Column) -> Column:
+    """Runs of blanks to one space: first those with other blanks than spaces, then what is left of spaces."""
+    return let(
+        F.regexp_replace(text, BLANK_RUN, " "),
+        lambda t: F.when(t.contains("  "), F.regexp_replace(t, " {2,}", " ")).otherwise(t),
+    )
+
+
 def html_to_text(html: Column) -> Column:
     """Drop style and script elements, turn tags into spaces, squeeze blanks."""
     text = without_elements(html, "style", "script")
     text = replace_closed(text, "<[^>]*>", ">", " ")
-    return F.trim(F.regexp_replace(text, BLANK_RUN, " "))
+    return F.trim(squeezed(text))
 
 
 def clean_text(text: Column) -> Column:
     """Entities to blanks, blanks squeezed, lower case."""
     entities = F.regexp_replace(text, "&[a-zA-Z0-9#]+;", " ")
     text = F.when(text.contains("&"), entities).otherwise(text)
-    return F.lower(F.trim(F.regexp_replace(text, BLANK_RUN, " ")))
+    return F.lower(F.trim(squeezed(text)))
 
 
 def truncate_fields(

@@ -33,9 +33,10 @@ _PHRASES = (
     + rules.THREAT_PATTERNS
 )
 _LONGEST = 5
+# The character before a word: a plain class rules most places out, the full word edge is for hits only.
 _SCAN = (
-    rf"(?<![{WORD}])(?=((?:{by_first_letter(_PHRASES)})(?![{WORD}])"
-    rf"[^ ]*(?: [^ ]+){{0,{_LONGEST}}}))"
+    rf"[^abcdefghijklmnopqrstuvwxyz0123456789_](?=((?:{by_first_letter(_PHRASES)})(?![{WORD}])"
+    rf"[^ ]*(?: [^ ]+){{0,{_LONGEST}}}))(?<![{WORD}])"
 )
 
 
@@ -46,9 +47,9 @@ def phrase_lines(clean: Column) -> Column:
     starts of these few lines: cleaned text has single blanks and no newlines, so a
     line holds every phrase that starts at its place, whole.
     """
-    return F.array_join(
-        F.regexp_extract_all(folded(clean), F.lit(_SCAN), F.lit(1)), "\n"
-    )
+    # the blank stands before the first word
+    text = F.concat(F.lit(" "), folded(clean))
+    return F.array_join(F.regexp_extract_all(text, F.lit(_SCAN), F.lit(1)), "\n")
 
 
 def _at_line_start(patterns) -> str:
