@@ -7,9 +7,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailrisk import rules
-from mailrisk.functions.common import contains_any, kept, let
+from mailrisk.functions.common import any_of, kept, let
 from mailrisk.functions.prep import clean_text
-from mailrisk.functions.regex import WORD, by_first_letter, whole_words, word_bodies
+from mailrisk.functions.regex import WORD, by_first_letter, rare_end, rare_ends, whole_words, word_bodies
 
 
 def folded(clean: Column) -> Column:
@@ -52,6 +52,35 @@ def phrase_lines(clean: Column) -> Column:
     return F.array_join(F.regexp_extract_all(text, F.lit(_SCAN), F.lit(1)), "\n")
 
 
+_NAMES = [name for group in rules.BRAND_NAMES.values() for name in group]
+# Everything that is searched anywhere in a text, inside of words too.
+_ANYWHERE = (
+    _NAMES
+    + rules.THREAT_PHRASES
+    + rules.CREDENTIAL_WORDS
+    + rules.CREDENTIAL_ACTIONS
+    + rules.PAYMENT_WORDS
+    + rules.PAYMENT_ACTIONS
+)
+_ENDS = rare_ends(_ANYWHERE)
+
+
+def word_ends(clean: Column) -> Column:
+    """The rare ends of the names and words in a text, one line each, found by one scan."""
+    return F.array_join(F.array_distinct(F.regexp_extract_all(clean, F.lit(_ENDS), F.lit(1))), "\n")
+
+
+def _contains(clean: Column, ends: Column | None, word: str) -> Column:
+    """Is ``word`` in the text?  With ``word_ends`` the text is only searched if its rare end was found."""
+    end = rare_end(word)
+    found = clean.contains(word)
+    return found if ends is None or end is None else ends.contains(end) & found
+
+
+def _contains_any(clean: Column, ends: Column | None, words) -> Column:
+    return any_of(_contains(clean, ends, w) for w in words)
+
+
 def _at_line_start(patterns) -> str:
     return rf"(?dm)^(?:{word_bodies(patterns)})(?![{WORD}])"
 
@@ -70,17 +99,17 @@ def urgency(lines: Column) -> Column:
     return F.least(weighted / len(rules.URGENCY_PATTERNS), F.lit(1.0))
 
 
-def credential_request(clean: Column, lines: Column) -> Column:
+def credential_request(clean: Column, lines: Column, ends: Column | None = None) -> Column:
     return _found(lines, rules.CREDENTIAL_PATTERNS) | (
-        contains_any(clean, rules.CREDENTIAL_WORDS)
-        & contains_any(clean, rules.CREDENTIAL_ACTIONS)
+        _contains_any(clean, ends, rules.CREDENTIAL_WORDS)
+        & _contains_any(clean, ends, rules.CREDENTIAL_ACTIONS)
     )
 
 
-def payment_request(clean: Column, lines: Column) -> Column:
+def payment_request(clean: Column, lines: Column, ends: Column | None = None) -> Column:
     return _found(lines, rules.PAYMENT_PATTERNS) | (
-        contains_any(clean, rules.PAYMENT_WORDS)
-        & contains_any(clean, rules.PAYMENT_ACTIONS)
+        _contains_any(clean, ends, rules.PAYMENT_WORDS)
+        & _contains_any(clean, ends, rules.PAYMENT_ACTIONS)
     )
 
 
@@ -116,36 +145,36 @@ def language_mixing(clean: Column, min_hits: int = 3) -> Column:
     )
 
 
-def brand_mentions(clean: Column, whole_word: bool = False) -> Column:
+def brand_mentions(clean: Column, whole_word: bool = False, ends: Column | None = None) -> Column:
     """Brand names in the text, in rule order; ``whole_word`` avoids "ing" in words."""
-    names = [name for group in rules.BRAND_NAMES.values() for name in group]
+    held = {n: _contains(clean, ends, n) for n in _NAMES}
     if whole_word:
         # a plain search rules most names out before their pattern is tried
-        return kept(*[(clean.contains(n) & clean.rlike(whole_words([n])), F.lit(n)) for n in names])
-    return kept(*[(clean.contains(n), F.lit(n)) for n in names])
+        return kept(*[(c & clean.rlike(whole_words([n])), F.lit(n)) for n, c in held.items()])
+    return kept(*[(c, F.lit(n)) for n, c in held.items()])
 
 
-def threat_phrases(clean: Column, lines: Column) -> Column:
+def threat_phrases(clean: Column, lines: Column, ends: Column | None = None) -> Column:
     """Distinct threats found by pattern or phrase, sorted."""
     found = F.regexp_extract_all(
         lines, F.lit(_at_line_start(rules.THREAT_PATTERNS)), F.lit(0)
     )
-    phrases = kept(*[(clean.contains(t), F.lit(t)) for t in rules.THREAT_PHRASES])
+    phrases = kept(*[(_contains(clean, ends, t), F.lit(t)) for t in rules.THREAT_PHRASES])
     return F.array_sort(F.array_distinct(F.concat(found, phrases)))
 
 
 def signals_of(
-    clean: Column, lines: Column, whole_word: bool = False, min_hits: int = 3
+    clean: Column, lines: Column, whole_word: bool = False, min_hits: int = 3, ends: Column | None = None
 ) -> Column:
-    """All signals of a cleaned text and its ``phrase_lines``."""
+    """All signals of a cleaned text and its ``phrase_lines``; its ``word_ends`` save searches."""
     return F.struct(
         urgency(lines).alias("urgency"),
-        credential_request(clean, lines).alias("credential_request"),
-        payment_request(clean, lines).alias("payment_request"),
+        credential_request(clean, lines, ends).alias("credential_request"),
+        payment_request(clean, lines, ends).alias("payment_request"),
         lexical_errors(clean, lines).alias("lexical_errors"),
         language_mixing(clean, min_hits).alias("language_mixing"),
-        brand_mentions(clean, whole_word).alias("brands"),
-        threat_phrases(clean, lines).alias("threats"),
+        brand_mentions(clean, whole_word, ends).alias("brands"),
+        threat_phrases(clean, lines, ends).alias("threats"),
     )
 
 
@@ -154,8 +183,8 @@ def text_signals(text: Column, whole_word: bool = False, min_hits: int = 3) -> C
     return let(
         clean_text(text),
         lambda clean: let(
-            phrase_lines(clean),
-            lambda lines: signals_of(clean, lines, whole_word, min_hits),
+            F.struct(phrase_lines(clean).alias("lines"), word_ends(clean).alias("ends")),
+            lambda found: signals_of(clean, found["lines"], whole_word, min_hits, found["ends"]),
         ),
     )
 

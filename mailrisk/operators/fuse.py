@@ -35,7 +35,7 @@ def redacted(messages: DataFrame) -> DataFrame:
     )
 
 
-BODIES = ("raw_headers", "raw_html", "text_body", "redacted_headers", "redacted_text", "header_fields", "clean", "lines")
+BODIES = ("raw_headers", "raw_html", "text_body", "redacted_headers", "redacted_text", "header_fields", "clean", "lines", "ends")
 
 
 def heuristics(
@@ -64,10 +64,11 @@ def heuristics(
             {
                 "header_details": H.header_details(F.col("header_fields")),
                 "lines": N.phrase_lines(F.col("clean")),
+                "ends": N.word_ends(F.col("clean")),
             }
         )
-        .withColumn("signals", N.signals_of(F.col("clean"), F.col("lines")))
-        .drop("header_fields", "clean", "lines")
+        .withColumn("signals", N.signals_of(F.col("clean"), F.col("lines"), ends=F.col("ends")))
+        .drop("header_fields", "clean", "lines", "ends")
     )
     if intel is None and suffixes is None and brands is None:
         analysed = signalled.withColumn("analysed", U.analyse_urls(F.col("urls")))
