@@ -130,25 +130,32 @@ def registered_domain(domain: Column, suffixes=rules.PUBLIC_SUFFIXES) -> Column:
     return F.when(two.isin(list(suffixes)), three).otherwise(two)
 
 
+def _near_lengths(n: int) -> tuple[int, int]:
+    """The least and the greatest length whose distance from ``n`` is below 0.3 of the longer one."""
+    near = [m for m in range(2 * n + 1) if abs(m - n) < 0.3 * max(m, n)]
+    return near[0], near[-1]
+
+
 def brand_similarity(registered: Column, exclude_exact: bool = False) -> Column:
     """Best edit similarity to a known brand domain; null unless above 0.7.
 
     Brands whose length alone keeps the similarity at or below 0.7 are skipped.
     """
 
-    def similarity(brand):
-        n = len(brand)
-        longest = F.greatest(F.length(registered), F.lit(n))
-        reachable = F.abs(F.length(registered) - n) < 0.3 * longest
-        if exclude_exact:
-            reachable = reachable & (registered != brand)
-        # above 0.7 there are fewer than 0.3 of at most n / 0.7 edits; counting stops there with -1
-        edits = F.levenshtein(registered, F.lit(brand), n * 3 // 7 + 1)
-        return F.when(reachable, 1.0 - edits / longest)
-
-    measured = F.array(*[similarity(b) for b in rules.LOOKALIKE_BRANDS])
-    best = F.array_max(F.filter(measured, lambda s: s <= 1.0))
-    return F.when(best > 0.7, best)
+    def best(length):
+        def similarity(brand):
+            n = len(brand)
+            reachable = length.between(*_near_lengths(n))
+            if exclude_exact:
+                reachable = reachable & (registered != brand)
+            # above 0.7 there are fewer than 0.3 of at most n / 0.7 edits; counting stops there with -1
+            edits = F.levenshtein(registered, F.lit(brand), n * 3 // 7 + 1)
+            return F.when(reachable, 1.0 - edits / F.greatest(length, F.lit(n)))
+
+        measured = F.array(*[similarity(b) for b in rules.LOOKALIKE_BRANDS])
+        return F.array_max(F.filter(measured, lambda s: s <= 1.0))
+
+    return let(let(F.length(registered), best), lambda most: F.when(most > 0.7, most))
 
 
 # --- verdict per URL ---------------------------------------------------------

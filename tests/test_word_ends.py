@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mailrisk import rules
 from mailrisk.functions import redact
 from mailrisk.functions import text as N
+from mailrisk.functions import urls as U
 from mailrisk.functions.regex import rare_end, rare_ends
 
 
@@ -55,3 +56,15 @@ def test_accounts_by_two_letters(values):
     rule = re.compile(rules.ACCOUNT_PATTERN, re.IGNORECASE)
     texts = [f"{a}{w}{b}123456" for w in ("account", "ACCOUNT", "Cuenta", "número", "NÚMERO", "Number", "nu", "cc") for a in ("", "x", "é ", "-") for b in ("", " ", "#: ", "x")]
     assert values(redact.find_accounts, texts) == [rule.findall(t) for t in texts]
+
+
+def test_brands_by_length(values):
+    for n in range(1, 40):
+        low, high = U._near_lengths(n)
+        assert [m for m in range(200) if abs(m - n) < 0.3 * max(m, n)] == list(range(low, high + 1))
+    # a length is taken once, not once or more for every brand
+    assert str(U.brand_similarity(F.col("registered_name"))).count("length(registered_name)") == 1
+    names = ["paypal.com", "paypa1.com", "paypal.comxxx", "paypal.comxxxxx", "", None, "ebay.co", "é" * 12]
+    got = values(lambda r: F.struct(U.brand_similarity(r).alias("a"), U.brand_similarity(r, True).alias("b")), names)
+    assert [r.a for r in got] == [1.0, 0.9, 1 - 3 / 13, None, None, None, 1 - 1 / 8, None]
+    assert [r.b for r in got] == [None, 0.9, 1 - 3 / 13, None, None, None, 1 - 1 / 8, None]
