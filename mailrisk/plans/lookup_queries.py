@@ -11,6 +11,7 @@ from mailrisk.plans.views import log_view, mail_view, table
 from mailrisk.session import shared_dir
 from mailrisk.sources.eml import read_eml
 from mailrisk.sources.logs import open_field, read_logs, split_logs
+from mailrisk.sources.sinks import write_files
 
 QUERIES = {}
 
@@ -100,7 +101,7 @@ def mail_files(spark, sf_dir) -> str:
     )
     mail = mail_view(spark, sf_dir).where(F.col("text_body") != "")
     path = shared_dir(spark, "mail-files")
-    mail.select("message_id", lines.alias("value")).write.option("maxRecordsPerFile", 1).partitionBy("message_id").text(path)
+    write_files(mail.select("message_id", lines.alias("value")), path)
     return path
 
 

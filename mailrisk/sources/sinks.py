@@ -1,6 +1,11 @@
-"""Verdict and metric sinks."""
+"""Verdict, file and metric sinks."""
 
-from pyspark.sql import DataFrame
+import os
+import shutil
+
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailrisk import rules
@@ -32,6 +37,62 @@ def answer_sink(path: str):
     return write
 
 
+def _local_folder(spark: SparkSession, path: str) -> str | None:
+    """The folder's plain path if it is in the file system of the machine, or one mounted there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return folder.toUri().getPath() if system.getUri().getScheme() == "file" else None
+
+
+def _local_writer(folder: str, key: str):
+    """A function that writes batches of numbers and bytes, for `mapInArrow`; gives the number of files.
+
+    A try of a task has a folder of its own, which readers skip for its name; the first try that ends gives
+    it the task's name, others are thrown away.
+    """
+
+    def run(batches):
+        context = TaskContext.get()
+        own = f"{folder}/_tries/{context.taskAttemptId()}"
+        n = 0
+        for batch in batches:
+            os.makedirs(own, exist_ok=True)
+            for number, value in zip(*batch.columns, strict=True):
+                with open(f"{own}/{key}={number}.{n}.txt", "xb") as file:
+                    file.write(value.as_buffer())
+                    file.write(b"\n")
+                n += 1
+        if n:
+            done = f"{folder}/part-{context.partitionId():05d}"
+            try:
+                os.rename(own, done)
+            except OSError:
+                if not os.path.isdir(done):
+                    raise
+                shutil.rmtree(own)
+        yield pa.RecordBatch.from_pydict({"files": pa.array([n], pa.int64())})
+
+    return run
+
+
+def write_files(rows: DataFrame, path: str) -> None:
+    """Every row as a text file of its own below the new folder ``path``.
+
+    Takes a whole number, whose column and value are in the file's path, and ``value``.  Spark's writer makes
+    a folder for each number and moves them one by one when all are written; Hadoop's local file system
+    starts processes for every file too.  So tasks write local files themselves.
+    """
+    spark, key = rows.sparkSession, rows.columns[0]
+    folder = _local_folder(spark, path)
+    if folder is None:
+        rows.write.option("maxRecordsPerFile", 1).partitionBy(key).text(path)
+        return
+    os.makedirs(folder)
+    number = F.coalesce(F.col(key).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    content = F.coalesce("value", F.lit("")).cast("binary")
+    rows.select(number, content).mapInArrow(_local_writer(folder, key), "files long").write.format("noop").mode("overwrite").save()
+
+
 def export_metrics(logs: DataFrame) -> DataFrame:
     """Counters and the duration histogram as ``metric, labels, value`` rows.
 
