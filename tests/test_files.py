@@ -11,9 +11,13 @@ from mailrisk.sources import sinks
 from mailrisk.sources.eml import read_eml
 
 
+def documents(spark, path):
+    rows = spark.range(80).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("en").alias("lang"))
+    rows.repartition(3).write.parquet(str(path / "documents.parquet"))
+
+
 def test_mail_files_need_no_folder_each(spark, tmp_path):
-    documents = spark.range(80).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("en").alias("lang"))
-    documents.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    documents(spark, tmp_path)
     found = [*os.walk(lookup_queries.mail_files(spark, str(tmp_path)).removeprefix("file:"))]
     assert sum(name.endswith(".txt") for _, _, names in found for name in names) == 70
     assert len(found) < 10 and not any(name.endswith(".crc") for _, _, names in found for name in names)
@@ -21,6 +25,18 @@ def test_mail_files_need_no_folder_each(spark, tmp_path):
     assert sorted(r.message_id for r in lookup_queries.read_mail_files(spark, str(tmp_path)).collect()) == [i for i in range(80) if i % 8 != 7]
 
 
+def test_files_are_found_without_a_task_each(spark, tmp_path):
+    documents(spark, tmp_path)
+    spark.sparkContext.setJobGroup("found", "mail files")
+    try:
+        assert len(lookup_queries.read_eml_files(spark, str(tmp_path)).collect()) == 70
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("found") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and sum(s.numTasks for s in stages) < 70
+
+
 ROWS = [(1, "From: ñ\n\na\r\nb\n"), (1, "From: ñ\n\na\r\nb\n"), (2, ""), (3, None), (None, "x"), (40, "Subject: s\n\n" + "y" * 5000)]
 
 
